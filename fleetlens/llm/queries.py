@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from fleetlens.llm.byte_bpe import op2_byte_bpe
 from fleetlens.llm.fingerprints import op1_fingerprints
 from fleetlens.llm.source_mix import op3_source_mix
+from fleetlens.llm.toxicity import op6_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fingerprints, op2_byte_bpe, op3_source_mix)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_byte_bpe, op3_source_mix, op6_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
