@@ -17,7 +17,6 @@ from __future__ import annotations
 import base64
 import heapq
 import struct
-from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
@@ -29,7 +28,7 @@ from fleetlens.llm.common import packed_row
 
 #: Characters at a chunk's end whose boundaries depend on what follows: the longest lookahead or fixed alternative.
 MARGIN = 8
-KEPT_PIECES, KEPT_LENGTH = 400_000, 64
+KEPT_PIECES, KEPT_LENGTH = 100_000, 48
 
 
 class Encoder(dict):
@@ -107,43 +106,47 @@ def _vocabulary(df: DataFrame, path: str):
         return df.sparkSession.sparkContext.broadcast(f.read())
 
 
-def encode(df: DataFrame, vocabulary_path: str, pattern: str, text: str = "text", chunk: int = 16_384, overlap: int = 256) -> DataFrame:
-    """The columns of df without the text, and `ids` binary (little-endian unsigned 32-bit integers), `n_tokens` long."""
+def encode(
+    df: DataFrame, vocabulary_path: str, pattern: str, text: str = "text", chunk: int = 16_384, overlap: int = 256, decoded: str | None = None,
+) -> DataFrame:
+    """The columns of df without the text, and `ids` binary (little-endian unsigned 32-bit integers), `n_tokens` long.
+    With decoded, the bytes of the ids come back in a column of that name, from the same pass over each piece."""
     vocabulary = _vocabulary(df, vocabulary_path)
 
-    @F.pandas_udf("binary")
-    def whole(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def both(e: Encoder, packed: list[bytes | None]) -> pd.DataFrame:
+        back = [None if p is None or not decoded else e.decode(p) for p in packed]
+        return pd.DataFrame({"ids": pd.Series(packed, dtype=object), "back": pd.Series(back, dtype=object)})
+
+    @F.pandas_udf("ids binary, back binary")
+    def whole(texts: pd.Series) -> pd.DataFrame:
         e = encoder(vocabulary.value, pattern)
-        for texts in batches:
-            yield pd.Series([e.encode(t) for t in texts], dtype=object)
+        return both(e, [None if t is None else e.encode(t) for t in texts])
 
     @F.pandas_udf("left array<int>, right array<int>")
-    def edges(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+    def edges(texts: pd.Series, numbers: pd.Series, lasts: pd.Series) -> pd.DataFrame:
         """Boundaries, from the document's start, in the overlaps with the chunks before and after."""
         e = encoder(vocabulary.value, pattern)
-        for texts, numbers, lasts in batches:
-            rows = []
-            for t, k, last in zip(texts, numbers, lasts, strict=True):
-                at, left, right, sure = 0, [], [], len(t) if last else len(t) - MARGIN
-                for piece in e.find(t):
-                    if at < overlap - MARGIN:
-                        left.append(k * chunk + at)
-                    if at >= chunk and at <= sure:
-                        right.append(k * chunk + at)
-                    at += len(piece)
-                rows.append((left, right))
-            yield pd.DataFrame(rows, columns=["left", "right"])
-
-    @F.pandas_udf("binary")
-    def between(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        rows = []
+        for t, k, last in zip(texts, numbers, lasts, strict=True):
+            at, left, right, sure = 0, [], [], len(t) if last else len(t) - MARGIN
+            for piece in e.find(t):
+                if at < overlap - MARGIN:
+                    left.append(k * chunk + at)
+                if at >= chunk and at <= sure:
+                    right.append(k * chunk + at)
+                at += len(piece)
+            rows.append((left, right))
+        return pd.DataFrame(rows, columns=["left", "right"])
+
+    @F.pandas_udf("ids binary, back binary")
+    def between(texts: pd.Series, starts: pd.Series, stops: pd.Series) -> pd.DataFrame:
         e = encoder(vocabulary.value, pattern)
-        for texts, starts, stops in batches:
-            yield pd.Series([e.encode_between(t, a, b) for t, a, b in zip(texts, starts, stops, strict=True)], dtype=object)
+        return both(e, [None if t is None else e.encode_between(t, int(a), int(b)) for t, a, b in zip(texts, starts, stops, strict=True)])
 
-    made = ["ids", "n_tokens"]
+    made = ["ids", "n_tokens", *([decoded] if decoded else [])]
     rows = packed_row(df.withColumn("_text_", F.coalesce(F.col(f"`{text}`"), F.lit(""))), ["_text_"], ["_text_", text, *made]).withColumnRenamed("__text_", "_text")
     rows = rows.withColumn("_n", F.length("_text"))
-    short = rows.filter(F.col("_n") <= chunk).select("_row", whole("_text").alias("ids"))
+    short = rows.filter(F.col("_n") <= chunk).select("_row", whole("_text").alias("_out"))
 
     # Chunk k holds the characters from k * chunk on, and `overlap` more than its share.
     long = rows.filter(F.col("_n") > chunk).withColumn("_key", F.monotonically_increasing_id())
@@ -160,21 +163,24 @@ def encode(df: DataFrame, vocabulary_path: str, pattern: str, text: str = "text"
         .withColumn("_seam", F.array_min(F.array_intersect("_e.right", "_next")))
         .withColumn("_from", F.coalesce(F.lag("_seam").over(order), F.lit(0)))
         .withColumn("_lost", F.max(F.col("_next").isNotNull() & F.col("_seam").isNull()).over(Window.partitionBy("_key")))
+        .withColumn("_to", F.coalesce(F.col("_seam"), F.col("_n")))
     )
-    pieces = seams.filter(~F.col("_lost")).withColumn(
-        "ids", between("_part", F.col("_from") - F.col("_k") * chunk, F.coalesce(F.col("_seam"), F.col("_n")) - F.col("_k") * chunk)
-    )
+    pieces = seams.withColumn("_out", between(F.when(~F.col("_lost"), F.col("_part")), F.col("_from") - F.col("_k") * chunk, F.col("_to") - F.col("_k") * chunk))
+    in_order = "array_join(transform(sort_array(collect_list({})), x -> {}), '')"
     joined = pieces.groupBy("_key").agg(
         F.max("_row").alias("_row"),
-        F.expr("unhex(array_join(transform(sort_array(collect_list(struct(_k, ids))), x -> hex(x.ids)), ''))").alias("ids"),
+        F.expr(f"unhex({in_order.format('struct(_k, _out.ids AS v)', 'hex(x.v)')})").alias("_ids"),
+        F.expr(f"unhex({in_order.format('struct(_k, _out.back AS v)', 'hex(x.v)')})").alias("_back"),
+        F.max("_lost").alias("_lost"),
+        F.expr(in_order.format(f"CASE WHEN _lost THEN struct(_k, substring(_part, 1, {chunk}) AS v) END", "x.v")).alias("_text"),
     )
-    again = seams.filter("_lost").groupBy("_key").agg(
-        F.max("_row").alias("_row"),
-        F.expr(f"array_join(transform(sort_array(collect_list(struct(_k, _part))), x -> substring(x._part, 1, {chunk})), '')").alias("_text"),
+    joined = joined.withColumn("_again", whole(F.when(F.col("_lost"), F.col("_text"))))
+    out = short.select("_row", "_out.ids", "_out.back").unionByName(
+        joined.select("_row", *[F.when(F.col("_lost"), F.col(f"_again.{c}")).otherwise(F.col(f"_{c}")).alias(c) for c in ("ids", "back")])
     )
-    out = short.unionByName(joined.select("_row", "ids")).unionByName(again.select("_row", whole("_text").alias("ids")))
     kept = [c for c in df.columns if c not in (text, *made)]
-    return out.select(*[F.col(f"_row.`{c}`") for c in kept], "ids", (F.length("ids") / 4).cast("long").alias("n_tokens"))
+    back = [F.col("back").alias(decoded)] if decoded else []
+    return out.select(*[F.col(f"_row.`{c}`") for c in kept], "ids", (F.length("ids") / 4).cast("long").alias("n_tokens"), *back)
 
 
 def decode(df: DataFrame, vocabulary_path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -182,10 +188,9 @@ def decode(df: DataFrame, vocabulary_path: str, ids: str = "ids", out: str = "de
     vocabulary = _vocabulary(df, vocabulary_path)
 
     @F.pandas_udf("binary")
-    def unpack(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def unpack(packed: pd.Series) -> pd.Series:
         e = encoder(vocabulary.value, "x")
-        for packed in batches:
-            yield pd.Series([None if p is None else e.decode(p) for p in packed], dtype=object)
+        return pd.Series([None if p is None else e.decode(p) for p in packed], dtype=object)
 
     return df.withColumn(out, unpack(F.col(f"`{ids}`")))
 
@@ -197,7 +202,7 @@ def op2_byte_bpe(spark, sf_dir: str) -> DataFrame:
     from fleetlens.llm.common import table
 
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    ids = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, public_tokenizers.PATTERN)
-    return decode(ids, path).select(
+    ids = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, public_tokenizers.PATTERN, decoded="decoded")
+    return ids.select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )

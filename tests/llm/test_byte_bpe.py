@@ -28,13 +28,13 @@ TEXTS = [
 def test_same_ids_and_round_trip(spark, known, chunk, overlap):
     rows = [(i, t, "ids", 1.5) for i, t in enumerate(TEXTS)] + [(4, TEXTS[4], "again", None), (None, TEXTS[7], None, 0.0)]
     df = spark.createDataFrame(rows, "doc_id long, text string, _row string, n_tokens double")
-    got = decode(encode(df, PATH, P.PATTERN, chunk=chunk, overlap=overlap), PATH).collect()
+    got = decode(encode(df, PATH, P.PATTERN, chunk=chunk, overlap=overlap, decoded="back"), PATH).collect()
     assert len(got) == len(rows)
     for r in got:
         text = (TEXTS[r.doc_id] if r.doc_id is not None else TEXTS[7]) or ""
         ids = known.encode_ordinary(text)
         assert struct.unpack(f"<{r.n_tokens}I", r.ids) == tuple(ids), (r.doc_id, text[:40])
-        assert bytes(r.decoded) == text.encode()
+        assert bytes(r.decoded) == bytes(r.back) == text.encode()
 
 
 def test_empty_table_and_the_query(spark, known, tmp_path):
