@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from fleetlens.llm.byte_bpe import op2_byte_bpe
 from fleetlens.llm.fingerprints import op1_fingerprints
 from fleetlens.llm.language_id import op7_language_id
+from fleetlens.llm.pii import op9_pii
+from fleetlens.llm.secret_scan import op5_secret_scan
 from fleetlens.llm.source_mix import op3_source_mix
 from fleetlens.llm.toxicity import op6_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fingerprints, op2_byte_bpe, op3_source_mix, op6_toxicity, op7_language_id)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_byte_bpe, op3_source_mix, op5_secret_scan, op6_toxicity, op7_language_id, op9_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
