@@ -12,13 +12,14 @@ from fleetlens.llm.hamming_search import op8_hamming_search
 from fleetlens.llm.jaccard_join import op4_jaccard_join
 from fleetlens.llm.language_id import op7_language_id
 from fleetlens.llm.pii import op9_pii
+from fleetlens.llm.repeats import op10_repeats
 from fleetlens.llm.secret_scan import op5_secret_scan
 from fleetlens.llm.source_mix import op3_source_mix
 from fleetlens.llm.toxicity import op6_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fingerprints, op2_byte_bpe, op3_source_mix, op4_jaccard_join, op5_secret_scan, op6_toxicity, op7_language_id, op8_hamming_search, op9_pii)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_byte_bpe, op3_source_mix, op4_jaccard_join, op5_secret_scan, op6_toxicity, op7_language_id, op8_hamming_search, op9_pii, op10_repeats)}
 
 
 def oracle_sql() -> dict[str, str]:
