@@ -234,6 +234,7 @@ def join(df: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5,
     weights = candidates.groupBy("component").agg(F.count("*").alias("_m"), F.sum("n").alias("_w"))
     blocks = F.greatest(F.ceil(F.col("_m") / MOST), F.least(F.lit(FEW), F.ceil(F.col("_m") / BLOCK)), F.ceil(F.col("_w") / SHINGLES)).cast("int")
     sized = candidates.join(weights.select("component", blocks.alias("_blocks")), "component")
+    sized = sized.hint("merge")  # candidates grow with the corpus; the same plan at every size
     texts = docs.join(sized, docs["_id"] == sized["least"]).select("node", "component", "_blocks", "_id", packed("_text").alias("_set"))
     texts = texts.withColumn("_b", F.pmod(F.xxhash64("node"), "_blocks").cast("int"))
     met = texts.withColumn("_o", F.explode(F.expr("sequence(0, _blocks - 1)"))).select("component", F.least("_b", "_o").alias("_x"), F.greatest("_b", "_o").alias("_y"), "node", "_set")
