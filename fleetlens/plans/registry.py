@@ -30,13 +30,13 @@ def query(name: str, *views: str, sql: str | None = None):
 
 
 def queries() -> dict[str, Query]:
-    from fleetlens.plans import streams  # noqa: F401  registers the streaming queries
+    from fleetlens.plans import source_queries, streams  # noqa: F401  they register more queries
 
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    from fleetlens.plans import streams  # noqa: F401
+    from fleetlens.plans import source_queries, streams  # noqa: F401
 
     return dict(_sql)
 

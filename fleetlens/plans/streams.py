@@ -1 +1,85 @@
-"""Streaming queries."""
+"""Streaming queries over the events table, read as a file stream and run over what is there."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from fleetlens.plans.fixtures import VIEWS, view, with_views
+from fleetlens.plans.registry import _queries, _sql
+from fleetlens.streaming import streams
+
+
+def _folder(spark: SparkSession) -> str:
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-stream-", dir="/tmp")
+    return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+
+def history_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """fx_history as a stream; its times are instants, as watermarks need."""
+    path = f"{sf_dir}/events.parquet"
+    # a pattern, as a file stream takes a plain path for a folder
+    rows = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf_dir}/events.parque[t]")
+    return spark.sql(VIEWS["fx_history"], events=rows).withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def _add(name: str, run, sql: str | None = None) -> None:
+    _queries[name] = run
+    if sql:
+        _sql[name] = sql if sql.startswith("WITH fx_") else with_views(sql)
+
+
+def _ntz(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in columns})
+
+
+_add(
+    "stream_probe_ticks",
+    lambda spark, d: _ntz(streams.run_once(streams.probe_ticks(history_stream(spark, d)), _folder(spark)), "tick"),
+    """SELECT cluster_id, date_trunc('hour', ts) AS tick, count(*) AS probes, count(*) FILTER (WHERE health) AS healthy, count(DISTINCT ordinal) AS endpoints FROM fx_history
+       GROUP BY 1, 2 HAVING date_trunc('hour', min(ts)) + INTERVAL '1' HOUR <= (SELECT max(ts) - INTERVAL '30' SECOND FROM fx_history)""",
+)
+
+
+def _twice(spark: SparkSession, d: str) -> DataFrame:
+    h = history_stream(spark, d).select("probe_id", "cluster_id", "ts")
+    return _ntz(streams.run_once(streams.dedup_probes(h.unionByName(h)), _folder(spark)), "ts")
+
+
+_add("stream_dedup_probes", _twice, "SELECT probe_id, cluster_id, ts FROM fx_history")
+
+
+def _transitions(spark: SparkSession, d: str) -> DataFrame:
+    streams.with_rocksdb(spark)
+    rows = history_stream(spark, d).select("cluster_id", "ordinal", "probe_id", "ts", "status")
+    return _ntz(streams.run_once(streams.condition_transitions(rows), _folder(spark)), "ts")
+
+
+_add("stream_condition_transitions", _transitions, _sql["condition_transitions"])
+
+
+def _upsert(spark: SparkSession, d: str) -> DataFrame:
+    path, key, order = _folder(spark), ["cluster_id"], ["ts", "probe_id"]
+    rows = history_stream(spark, d).select("cluster_id", "ts", "probe_id", "status", "revision")
+    batches = streams.run_once(rows, path, streams.status_upsert(f"{path}/rows", key, order))
+    return _ntz(streams.latest(batches.drop("batch"), key, order), "ts")
+
+
+_add("stream_status_upsert", _upsert, _sql["sink_status"])
+
+
+def _ready(spark: SparkSession, d: str) -> DataFrame:
+    h = history_stream(spark, d)
+    changes = h.filter("event_type = 'signup'").select("cluster_id", F.col("probe_id").alias("change_id"), "ts")
+    out = streams.run_once(streams.time_to_ready(changes, h.filter("event_type = 'purchase'")), _folder(spark))
+    first = out.groupBy("cluster_id", "change_id", "ts").agg(F.min("ready_at").alias("ready_at"))
+    # changes that the watermark hasn't passed can still find a report: those within reach of the stream's end are left out
+    last = lambda kind: F.max(F.when(F.col("event_type") == kind, F.col("ts")))
+    end = view(spark, d, "fx_history").agg((F.least(last("signup"), last("purchase")) - F.expr("INTERVAL 8 HOURS")).alias("end"))
+    return _ntz(first, "ts", "ready_at").join(F.broadcast(end), F.col("ts") < F.col("end")).drop("end")
+
+
+_add("stream_time_to_ready", _ready, f"SELECT cluster_id, change_id, ts, ready_at FROM (SELECT c.cluster_id, c.probe_id AS change_id, c.ts, min(r.ts) AS ready_at FROM fx_history c LEFT JOIN fx_history r ON r.cluster_id = c.cluster_id AND r.event_type = 'purchase' AND r.ts >= c.ts AND r.ts <= c.ts + INTERVAL '6' HOUR WHERE c.event_type = 'signup' GROUP BY 1, 2, 3) q WHERE ts < (SELECT least(max(ts) FILTER (WHERE event_type = 'signup'), max(ts) FILTER (WHERE event_type = 'purchase')) - INTERVAL '8' HOUR FROM fx_history)")
