@@ -1,22 +1,21 @@
-"""Removal of repeated byte strings with range-partitioned suffixes.
+"""Removal of repeated byte strings with sorted, range-partitioned suffixes.
 
 A byte goes if it lies in a `LENGTH`-byte string that also starts in a document with a smaller id. Sorting every suffix of
-the corpus would move some sixty times its bytes, so the suffixes are thinned out twice, without loss:
-
-1. Copies of a whole text are settled by its hash; only the copy with the least id goes on.
-2. Every string's anchor is its least-hashed substring of `GRAM` bytes. A block is a longest run of strings with the
-   same anchor in place, hashed as a whole. Blocks meet by their anchor's content. A block that occurs in a document with a
-   smaller id is settled. Blocks of the same anchor that differ as a whole can still share strings: one of each
-   kind, of the least id, goes on. Strings with an anchor found nowhere else occur nowhere else.
-3. The suffixes that start in those blocks, cut after `LENGTH` bytes, are range-partitioned by sampled splitters, sorted
-   within each bucket by their bytes and then by document, and compared with their neighbours in one pass; the runs at a
-   bucket's ends are compared across the boundary.
-
-Spark's range partitioning samples the splitters and its sort orders a bucket; so long a common passage may be, its
-rows spread over several buckets, because the document is part of the key.
-
-Null texts are empty; rows with a null id are kept whole and repeat nothing. Rows that repeat an id with the same text get
-the same result; an id is never smaller than itself.
+the corpus with its bytes would move some sixty times its size, so suffixes are thinned out, without loss, and stand as
+leading tokens, which are hashes of their first bytes:
+
+1. Every string's anchor is its least-hashed substring of `GRAM` bytes. A block is a longest run of strings with the same
+   anchor in place. Blocks are ordered by the token of their anchor, then by that of all their bytes, then by document. A
+   block that occurs in a document with a smaller id is settled. Blocks of one anchor that differ as a whole can
+   still share strings: the first of each kind goes on. Strings with an anchor found nowhere else occur nowhere else.
+2. The suffixes that start in those blocks, cut after `LENGTH` bytes, are ordered by their token and by document, and those of
+   a later document than the first of their run are settled.
+
+Both steps range-partition the tokens, sort each bucket by its keys in turn, and compare neighbours. Tokens are uniform, so
+evenly spaced splitters stand for sampled ones, and equal tokens never lie on both sides of a boundary.
+
+Null texts are empty; rows with a null id are kept whole and repeat nothing. A string's fate depends on its bytes and its id
+alone, so rows that repeat an id share it. An id is never smaller than itself.
 """
 
 from __future__ import annotations
@@ -35,8 +34,8 @@ from fleetlens.llm.common import staged, table
 U = np.uint64
 LENGTH, GRAM = 50, 24
 WIDE = LENGTH - GRAM + 1
-#: Bytes of text whose blocks are made at a time; bytes of the corpus for each share of the anchors.
-AT_ONCE, SHARE = 1 << 20, 8 << 20
+#: Bytes of text worked on at a time; bytes of the corpus for each range of the tokens.
+AT_ONCE, SHARE = 1 << 19, 8 << 20
 _M1, _M2 = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
 _rng = np.random.default_rng(20)
 _BYTE = _rng.integers(1, 2**63, 256).astype(U) * U(2) + U(1)
@@ -63,13 +62,15 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 _kept = {"up": np.zeros(0, U), "down": np.zeros(0, U)}
 
 
-def blocks(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(number of the text, first start, last start, anchor's hash, block's hash) of each block, in order."""
+def blocks(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(number of the text, first start, last start, anchor's token, block's token) of each block, in order; and, of the
+    joined texts, where each text starts and the token of the string at each place (of no meaning across texts)."""
     sizes = np.array([len(t) for t in texts], np.int64)
     data = np.frombuffer(b"".join(texts), np.uint8)
-    n = len(data)
+    n, ends = len(data), np.cumsum(sizes)
+    none = (*[np.zeros(0, np.int64)] * 3, *[np.zeros(0, U)] * 2, ends - sizes, np.zeros(0, U))
     if n < LENGTH:
-        return (*[np.zeros(0, np.int64)] * 3, np.zeros(0, U), np.zeros(0, U))
+        return none
     b = _BYTE[data]
     h2 = b[:-1] * _BASE[0] + b[1:]
     h4 = h2[:-2] * _BASE[1] + h2[2:]
@@ -84,10 +85,9 @@ def blocks(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
         width *= 2
     least = np.minimum(least[: len(gram) - WIDE + 1], least[WIDE - width :][: len(gram) - WIDE + 1])
     anchor = (least & low).astype(np.int64)
-    ends = np.cumsum(sizes)
     start = np.flatnonzero(np.repeat(ends, sizes)[: len(anchor)] - np.arange(len(anchor)) >= LENGTH)
     if not len(start):
-        return (*[np.zeros(0, np.int64)] * 3, np.zeros(0, U), np.zeros(0, U))
+        return none
     at = anchor[start]
     fresh = np.concatenate([[True], (at[1:] != at[:-1]) | (start[1:] != start[:-1] + 1)])
     first = np.flatnonzero(fresh)
@@ -96,9 +96,16 @@ def blocks(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     up, down = _powers(n)
     total = np.concatenate([[U(0)], np.cumsum(b * up, dtype=U)])
     whole = mix((total[hi + LENGTH] - total[lo]) * down[lo] + (hi - lo).astype(U) * _M1)
+    string = mix((total[LENGTH:] - total[: n - LENGTH + 1]) * down[: n - LENGTH + 1])
     who = np.searchsorted(ends, lo, side="right")
-    offset = ends[who] - sizes[who]
-    return who, lo - offset, hi - offset, gram[at[first]], whole
+    offset = ends - sizes
+    return who, lo - offset[who], hi - offset[who], gram[at[first]], whole, offset, string
+
+
+def _starts(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """All whole numbers from each lo to its hi."""
+    n = hi - lo + 1
+    return np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(n) else np.zeros(0, np.int64)
 
 
 def _in_parts(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
@@ -110,80 +117,79 @@ def _in_parts(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
             at, held = i + 1, 0
 
 
-def _block_rows(batches: Iterator[pa.RecordBatch], shares: int) -> Iterator[pa.RecordBatch]:
-    """Of each share of the anchors, the blocks of some texts, packed."""
+def _dealt(first: np.ndarray, second: np.ndarray, docs: np.ndarray, ranges: int) -> pa.RecordBatch:
+    """Rows of (range of the first token, packed columns), one for each range that is met."""
+    number = (first >> U(32)).astype(np.int64) * ranges >> 32
+    order = np.argsort(number, kind="stable")
+    cuts = np.searchsorted(number[order], np.arange(ranges + 1))
+    filled = np.flatnonzero(np.diff(cuts))
+    packed = [(first[order] & U(0xFFFFFFFF)).astype(np.uint32), second[order], docs[order]]
+    columns = [pa.array([x[cuts[s] : cuts[s + 1]].tobytes() for s in filled], pa.binary()) for x in packed]
+    return pa.record_batch([pa.array(filled, pa.int64()), *columns], ["bucket", "first", "second", "doc"])
+
+
+def _block_rows(batches: Iterator[pa.RecordBatch], ranges: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, texts = batch.column(0).to_numpy(), [t.encode() for t in batch.column(1).to_pylist()]
         for at, part in _in_parts(texts):
-            who, _, _, anchor, whole = blocks(part)
-            share = (anchor >> U(32)).astype(np.int64) % shares
-            order = np.argsort(share, kind="stable")
-            cuts = np.searchsorted(share[order], np.arange(shares + 1))
-            filled = np.flatnonzero(np.diff(cuts))
-            packed = [(anchor[order] & U(0xFFFFFFFF)).astype(np.uint32), whole[order], ids[at + who[order]]]
-            columns = [pa.array([x[cuts[s] : cuts[s + 1]].tobytes() for s in filled], pa.binary()) for x in packed]
-            yield pa.record_batch([pa.array(filled, pa.int64()), *columns], ["share", "anchor", "whole", "doc"])
-
-
-def _settle(pdf: pd.DataFrame) -> pd.DataFrame:
-    """(doc, block, open): blocks that an earlier document has (not open), and those to be compared string by string (open)."""
-    anchor = np.frombuffer(b"".join(pdf["anchor"]), np.uint32)
-    whole = np.frombuffer(b"".join(pdf["whole"]), U)
-    doc = np.frombuffer(b"".join(pdf["doc"]), np.int64)
-    order = np.lexsort((doc, whole, anchor))
-    anchor, whole, doc = anchor[order], whole[order], doc[order]
-    new_anchor = np.concatenate([[True], anchor[1:] != anchor[:-1]])
-    new_block = new_anchor | np.concatenate([[True], whole[1:] != whole[:-1]])
-    number = np.cumsum(new_block) - 1
-    least = doc[new_block][number]
-    settled = doc > least
-    kinds = np.bincount(np.cumsum(new_anchor) - 1, new_block)[np.cumsum(new_anchor) - 1]
-    going_on = new_block & (kinds > 1)
-    chosen = settled | going_on
-    out = pd.DataFrame({"doc": doc[chosen], "block": whole[chosen].view(np.int64), "open": going_on[chosen]})
-    return out.drop_duplicates()
+            who, _, _, anchor, whole, _, _ = blocks(part)
+            yield _dealt(anchor, whole, ids[at + who], ranges)
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of suffixes in order of (suffix, doc): the least document of each one's run in this bucket. Told are rows of later
-    documents, the rows of the bucket's first run, and of its last run the least document (at is -1)."""
-    run, least, opening = None, 0, True
+def _string_rows(batches: Iterator[pa.RecordBatch], ranges: int) -> Iterator[pa.RecordBatch]:
+    """The strings that start in open blocks; a block's token names it."""
     for batch in batches:
-        n = batch.num_rows
-        if not n:
-            continue
-        suffix, doc, at = batch.column(0).to_pylist(), batch.column(1).to_numpy(), batch.column(2).to_numpy()
-        words = np.frombuffer(b"".join(s.ljust(56, b"\0") for s in suffix), U).reshape(n, 7)
-        fresh = np.concatenate([[suffix[0] != run], (words[1:] != words[:-1]).any(axis=1)])
-        place = np.maximum.accumulate(np.where(fresh, np.arange(n), -1))
-        low = np.where(place >= 0, doc[np.maximum(place, 0)], least)
-        first_fresh = int(np.argmax(fresh)) if fresh.any() else n
-        lead = np.zeros(n, bool)
-        if run is None:
-            second = np.flatnonzero(fresh[1:])
-            lead[: int(second[0]) + 1 if len(second) else n] = True
-            opening = not len(second)
-        elif opening:
-            lead[:first_fresh] = True
-            opening = first_fresh == n
-        told = lead | (doc > low)
-        yield pa.record_batch([pa.array([s if b else None for s, b in zip([suffix[i] for i in np.flatnonzero(told)], lead[told], strict=True)], pa.binary()), pa.array(doc[told]), pa.array(at[told]), pa.array(low[told])], ["suffix", "doc", "at", "least"])
-        run, least = suffix[-1], int(low[-1])
-    if run is not None:
-        yield pa.record_batch([pa.array([run], pa.binary()), pa.array([least], pa.int64()), pa.array([-1], pa.int32()), pa.array([least], pa.int64())], ["suffix", "doc", "at", "least"])
-
-
-def covered(text: bytes, found: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The maximal runs (starts, ends) of the bytes in settled blocks' strings and in strings at the given starts."""
-    _, lo, hi, _, whole = blocks([text])
-    if len(found):
-        inside = np.isin(whole, found)
-        lo, hi = lo[inside], hi[inside]
-    else:
-        lo = hi = np.zeros(0, np.int64)
+        ids, texts, opened = batch.column(0).to_numpy(), [t.encode() for t in batch.column(1).to_pylist()], batch.column(2)
+        for at, part in _in_parts(texts):
+            who, lo, hi, _, whole, offset, string = blocks(part)
+            names = [np.asarray(opened[at + k].as_py(), np.int64).view(U) for k in range(len(part))]
+            # a block is open for its own text only
+            mark = mix(whole + who.astype(U) * _M2)
+            wanted = np.concatenate([mix(x + U(k) * _M2) for k, x in enumerate(names)]) if names else np.zeros(0, U)
+            inside = np.isin(mark, wanted)
+            starts = _starts((lo + offset[who])[inside], (hi + offset[who])[inside])
+            owner = np.repeat(who[inside], (hi - lo + 1)[inside])
+            yield _dealt(string[starts], string[starts], ids[at + owner], ranges)
+
+
+def _sorted(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A bucket's columns in order of first, second, doc; whether first is new, whether first or second is."""
+    first, second, doc = (np.frombuffer(b"".join(pdf[c]), kind) for c, kind in (("first", np.uint32), ("second", U), ("doc", np.int64)))
+    order = np.lexsort((doc, second, first))
+    first, second, doc = first[order], second[order], doc[order]
+    new = np.concatenate([[True], first[1:] != first[:-1]])
+    return first, second, doc, new, new | np.concatenate([[True], second[1:] != second[:-1]])
+
+
+def _told(doc: np.ndarray, token: np.ndarray, open_: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame({"doc": doc, "token": token.view(np.int64), "open": open_}).drop_duplicates()
+
+
+def _settle_blocks(pdf: pd.DataFrame) -> pd.DataFrame:
+    """(doc, token, open): blocks that an earlier document has (not open), and those to be compared string by string (open)."""
+    _, whole, doc, new_anchor, new_block = _sorted(pdf)
+    settled = doc > doc[new_block][np.cumsum(new_block) - 1]
+    group = np.cumsum(new_anchor) - 1
+    going_on = new_block & (np.bincount(group, new_block)[group] > 1)
+    chosen = settled | going_on
+    return _told(doc[chosen], whole[chosen], going_on[chosen])
+
+
+def _settle_strings(pdf: pd.DataFrame) -> pd.DataFrame:
+    _, string, doc, _, new = _sorted(pdf)
+    settled = doc > doc[new][np.cumsum(new) - 1]
+    return _told(doc[settled], string[settled], np.zeros(settled.sum(), bool))
+
+
+def covered(text: bytes, found: np.ndarray, strings: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The maximal runs (starts, ends) of the bytes in strings that are settled, by their block or by themselves."""
+    _, lo, hi, _, whole, _, string = blocks([text])
+    inside = np.isin(whole, found)
+    lo, hi = lo[inside], hi[inside]
+    single = np.flatnonzero(np.isin(string, strings)) if len(strings) else np.zeros(0, np.int64)
     change = np.zeros(len(text) + 1, np.int64)
-    np.add.at(change, np.concatenate([lo, starts]), 1)
-    np.add.at(change, np.concatenate([hi, starts]) + LENGTH, -1)
+    np.add.at(change, np.concatenate([lo, single]), 1)
+    np.add.at(change, np.concatenate([hi, single]) + LENGTH, -1)
     gone = np.concatenate([[False], np.cumsum(change)[:-1] > 0, [False]])
     edges = np.flatnonzero(gone[1:] != gone[:-1])
     return edges[::2], edges[1::2]
@@ -192,50 +198,27 @@ def covered(text: bytes, found: np.ndarray, starts: np.ndarray) -> tuple[np.ndar
 def dedup(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, n_bytes, starts, ends, kept_sha256): of each row the removed runs, in bytes, and the hash of what stays."""
     docs = df.select(F.col(f"`{id}`").cast("long").alias("_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text"))
-    names = staged(docs.select("_id", F.sha2("_text", 256).alias("_name"), F.octet_length("_text").cast("long").alias("_n")), "names")
-    first = names.filter("_id IS NOT NULL").groupBy("_name").agg(F.min("_id").alias("_first"), F.max("_n").alias("_n"))
-    only = staged(first.filter(F.col("_n") >= LENGTH).select("_name", F.col("_first").alias("_id")), "first_copies")
-    texts = docs.filter(F.octet_length("_text") >= LENGTH).withColumn("_name", F.sha2("_text", 256)).join(only, ["_id", "_name"], "left_semi").dropDuplicates(["_id", "_name"])
-
-    total = names.agg(F.sum("_n")).first()[0] or 0
-    shares = max(64, int(total // SHARE))
-    packed = texts.select("_id", "_text").mapInArrow(lambda b: _block_rows(b, shares), "share long, anchor binary, whole binary, doc binary")
-    settled = staged(packed.groupBy("share").applyInPandas(_settle, "doc long, block long, open boolean"), "blocks")
-
-    @F.pandas_udf("array<struct<at:int,suffix:binary>>")
-    def suffixes(batch: pd.Series, opened: pd.Series) -> pd.Series:
-        out = []
-        for t, o in zip(batch, opened, strict=True):
-            data = t.encode()
-            _, lo, hi, _, whole = blocks([data])
-            inside = np.isin(whole, np.asarray(o, np.int64).view(U))
-            at = np.concatenate([np.arange(a, b + 1) for a, b in zip(lo[inside], hi[inside], strict=True)]) if inside.any() else []
-            out.append([{"at": int(p), "suffix": data[p : p + LENGTH]} for p in at])
-        return pd.Series(out, dtype=object)
-
-    opened = settled.filter("open").groupBy("doc").agg(F.collect_list("block").alias("_open"))
-    rows = texts.join(opened, F.col("_id") == F.col("doc")).select(F.col("_id").alias("doc"), F.explode(suffixes("_text", "_open")).alias("s")).select("s.suffix", "doc", "s.at")
-    told = rows.repartitionByRange("suffix", "doc").sortWithinPartitions("suffix", "doc").mapInArrow(_compare, "suffix binary, doc long, at int, least long")
-    told = staged(told, "suffixes")
-    lasts = told.filter("at = -1").groupBy(F.col("suffix").alias("_s")).agg(F.min("least").alias("_low"))  # one row for each bucket at most
-    across = told.filter("at >= 0 AND suffix IS NOT NULL").join(lasts, F.col("suffix") == F.col("_s"), "left").filter(F.col("doc") > F.least("least", "_low")).select("doc", "at")
-    repeated = told.filter("at >= 0 AND suffix IS NULL").select("doc", "at").unionByName(across)
-
-    found = settled.filter("NOT open").groupBy("doc").agg(F.collect_list("block").alias("_blocks"))
-    single = repeated.distinct().groupBy("doc").agg(F.collect_list("at").alias("_starts"))
-    known = found.join(single, "doc", "full_outer")
+    texts = docs.filter((F.octet_length("_text") >= LENGTH) & F.col("_id").isNotNull())
+    total = docs.agg(F.sum(F.octet_length("_text").cast("long"))).first()[0] or 0
+    ranges = max(64, int(total // SHARE))
+    row, told = "bucket long, first binary, second binary, doc binary", "doc long, token long, open boolean"
+
+    dealt = texts.mapInArrow(lambda b: _block_rows(b, ranges), row)
+    settled = staged(dealt.groupBy("bucket").applyInPandas(_settle_blocks, told), "blocks")
+    # what is told of documents grows with the corpus; it is never broadcast
+    opened = settled.filter("open").groupBy("doc").agg(F.collect_list("token").alias("_open")).hint("merge")
+    strings = texts.join(opened, F.col("_id") == F.col("doc")).select("_id", "_text", "_open").mapInArrow(lambda b: _string_rows(b, ranges), row)
+    single = staged(strings.groupBy("bucket").applyInPandas(_settle_strings, told), "strings")
+
+    by_doc = lambda t, name: t.groupBy("doc").agg(F.collect_list("token").alias(name))
+    known = by_doc(settled.filter("NOT open"), "_blocks").join(by_doc(single, "_strings"), "doc", "full_outer").hint("merge")
 
     @F.pandas_udf("starts array<int>, ends array<int>, kept_sha256 string")
-    def cut(batch: pd.Series, blocks_: pd.Series, starts: pd.Series, copies: pd.Series) -> pd.DataFrame:
-        out = []
-        for t, b, s, copy in zip(batch, blocks_, starts, copies, strict=True):
+    def cut(batch: pd.Series, found: pd.Series, strings: pd.Series) -> pd.DataFrame:
+        out, tokens = [], lambda x: np.asarray([] if x is None else x, np.int64).view(U)
+        for t, b, s in zip(batch, found, strings, strict=True):
             data = t.encode()
-            if copy:
-                lo, hi = np.array([0]), np.array([len(data)])
-            elif b is None and s is None:
-                lo = hi = np.zeros(0, np.int64)
-            else:
-                lo, hi = covered(data, np.asarray([] if b is None else b, np.int64).view(U), np.asarray([] if s is None else s, np.int64))
+            lo, hi = covered(data, tokens(b), tokens(s)) if b is not None or s is not None else (np.zeros(0, np.int64),) * 2
             digest, at = hashlib.sha256(), 0
             for x, y in zip(lo, hi, strict=True):
                 digest.update(data[at:x])
@@ -244,10 +227,7 @@ def dedup(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
             out.append((lo.tolist(), hi.tolist(), digest.hexdigest()))
         return pd.DataFrame(out, columns=["starts", "ends", "kept_sha256"])
 
-    placed = names.join(first.select("_name", "_first"), "_name", "left").select(F.col("_id").alias("_i"), F.col("_name").alias("_m"), (F.col("_id") > F.col("_first")).alias("_copy")).distinct()
-    named = docs.withColumn("_name", F.sha2("_text", 256)).join(placed, (F.col("_name") == F.col("_m")) & F.col("_id").eqNullSafe(F.col("_i")), "left")
-    named = named.select("_id", "_text", F.coalesce("_copy", F.lit(False)).alias("_copy"))
-    whole = named.join(known, F.col("_id") == F.col("doc"), "left").withColumn("_cut", cut("_text", F.when(~F.col("_copy"), F.col("_blocks")), F.when(~F.col("_copy"), F.col("_starts")), F.col("_copy") & (F.octet_length("_text") >= LENGTH)))
+    whole = docs.join(known, F.col("_id") == F.col("doc"), "left").withColumn("_cut", cut("_text", "_blocks", "_strings"))
     return whole.select(F.col("_id").alias(id), F.octet_length("_text").cast("long").alias("n_bytes"), "_cut.starts", "_cut.ends", "_cut.kept_sha256")
 
 
