@@ -85,7 +85,7 @@ class Bands:
         most = self.least[1:] - 1
         k = most * (100 - percent) // percent
         base = k // 2 + 1
-        self.slack = 1 + base // 16
+        self.slack = 1 + base * (100 - percent) // 160
         self.partitions = np.where(k > 0, base + self.slack, 0)  # sets that may not differ at all are one node anyway
         self.percent = percent
 
@@ -172,12 +172,22 @@ def _links(sets: list[np.ndarray], percent: int) -> np.ndarray:
     """Whether each two sets are linked, from their exact intersections."""
     sizes = np.array([len(s) for s in sets])
     _, ids, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    owner, common = np.repeat(np.arange(len(sets)), sizes), counts[ids] > 1
-    place = np.cumsum(counts > 1) - 1
-    owner, ids = owner[common], place[ids[common]]
-    both, columns = np.zeros((len(sets), len(sets)), np.float32), max(1, 8_000_000 // len(sets))
+    owner = np.repeat(np.arange(len(sets)), sizes)
     order = np.argsort(ids, kind="stable")
     owner, ids = owner[order], ids[order]
+    # shingles of few sets count their pairs one by one, the others are columns of a matrix
+    rare = (counts[ids] > 1) & (counts[ids] < FEW)
+    r_owner, r_ids, pairs = owner[rare], ids[rare], np.zeros(len(sets) ** 2, np.int64)
+    for d in range(1, FEW - 1):
+        same = r_ids[:-d] == r_ids[d:]
+        if same.any():
+            pairs += np.bincount(r_owner[:-d][same] * len(sets) + r_owner[d:][same], minlength=len(pairs))
+    pairs = pairs.reshape(len(sets), len(sets))
+    both = (pairs + pairs.T).astype(np.float32)
+    often = np.cumsum(counts >= FEW) - 1
+    common = counts[ids] >= FEW
+    owner, ids = owner[common], often[ids[common]]
+    columns = max(1, 8_000_000 // len(sets))
     for lo in range(0, int(ids[-1]) + 1 if len(ids) else 0, columns):
         a, b = np.searchsorted(ids, [lo, lo + columns])
         x = np.zeros((len(sets), min(columns, int(ids[-1]) + 1 - lo)), np.float32)
