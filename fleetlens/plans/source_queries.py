@@ -58,3 +58,11 @@ def src_kv_hashes(h: DataFrame) -> DataFrame:
 def src_changes(h: DataFrame) -> DataFrame:
     op = F.when(F.col("event_type") == "error", "delete").otherwise("update")
     return readers.live(h.select(F.lit("workload").alias("kind"), op.alias("op"), F.concat(F.lit("ns-"), F.col("cluster_id") % 25).alias("namespace"), F.concat(F.lit("c"), "cluster_id").alias("name"), F.col("probe_id").alias("version")))
+
+
+@query("src_certs", "fx_certs", sql="SELECT namespace, secret_name, not_before, not_after, CASE WHEN has_key THEN 2 ELSE 1 END AS keys, first_condition FROM fx_certs")
+def src_certs(c: DataFrame) -> DataFrame:
+    keys = F.when(F.col("has_key"), F.array(F.lit("tls.crt"), F.lit("tls.key"))).otherwise(F.array(F.lit("tls.crt")))
+    text = c.select(F.to_json(F.struct("namespace", "secret_name", "not_before", "not_after", keys.alias("data_keys"), F.array(F.struct(F.col("first_condition").alias("type"))).alias("conditions"))).alias("value"))
+    out = readers.certs_text(text)
+    return out.select("namespace", "secret_name", F.col("not_before").cast("timestamp_ntz"), F.col("not_after").cast("timestamp_ntz"), F.size("data_keys").alias("keys"), F.get("conditions", F.lit(0))["type"].alias("first_condition"))

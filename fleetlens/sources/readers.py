@@ -96,6 +96,11 @@ def certs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(CERT).json(path)
 
 
+def certs_text(text: DataFrame, column: str = "value") -> DataFrame:
+    """The same from JSON texts in a column."""
+    return text.select(F.from_json(column, CERT).alias("c")).filter("c IS NOT NULL").select("c.*")
+
+
 def changes(spark: SparkSession, path: str) -> DataFrame:
     """The change feed as a stream of JSON lines."""
     return spark.readStream.schema(CHANGE).json(path)

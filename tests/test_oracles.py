@@ -1,12 +1,14 @@
 """Every registered query with SQL gives DuckDB's rows."""
 
+import os
+
 import duckdb
 import pytest
 
 from fleetlens.plans.fixtures import TABLES
 from fleetlens.plans.registry import oracle_sql, queries
 
-FOLDER = "/root/testdata/sf0.001"
+FOLDER = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
 
 
 @pytest.fixture(scope="module")
