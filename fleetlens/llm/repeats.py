@@ -35,7 +35,7 @@ U = np.uint64
 LENGTH, GRAM = 50, 24
 WIDE = LENGTH - GRAM + 1
 #: Bytes of text worked on at a time; bytes of the corpus for each range of the tokens.
-AT_ONCE, SHARE = 1 << 19, 8 << 20
+AT_ONCE, SHARE = 1 << 18, 8 << 20
 _M1, _M2 = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
 _rng = np.random.default_rng(20)
 _BYTE = _rng.integers(1, 2**63, 256).astype(U) * U(2) + U(1)
@@ -108,13 +108,19 @@ def _starts(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(n) else np.zeros(0, np.int64)
 
 
-def _in_parts(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
-    at, held = 0, 0
-    for i, t in enumerate(texts):
-        held += len(t)
-        if held >= AT_ONCE or i + 1 == len(texts):
-            yield at, texts[at : i + 1]
-            at, held = i + 1, 0
+def _in_parts(batches: Iterator[pa.RecordBatch], rows: int = 128) -> Iterator[tuple[np.ndarray, list[bytes], list]]:
+    """(ids, texts, the third column if there is one) of some rows at a time; more than AT_ONCE bytes only for one long text."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            some = batch.slice(at, rows)
+            ids, third = some.column(0).to_numpy(), some.column(2) if some.num_columns > 2 else None
+            held, size, first = [], 0, 0
+            for i, t in enumerate(some.column(1)):
+                held.append(t.as_py().encode())
+                size += len(held[-1])
+                if size >= AT_ONCE or i + 1 == some.num_rows:
+                    yield ids[first : i + 1], held, [third[k].as_py() for k in range(first, i + 1)] if third is not None else []
+                    held, size, first = [], 0, i + 1
 
 
 def _dealt(first: np.ndarray, second: np.ndarray, docs: np.ndarray, ranges: int) -> pa.RecordBatch:
@@ -123,38 +129,35 @@ def _dealt(first: np.ndarray, second: np.ndarray, docs: np.ndarray, ranges: int)
     order = np.argsort(number, kind="stable")
     cuts = np.searchsorted(number[order], np.arange(ranges + 1))
     filled = np.flatnonzero(np.diff(cuts))
-    packed = [(first[order] & U(0xFFFFFFFF)).astype(np.uint32), second[order], docs[order]]
+    packed = [(first[order] & U(0xFFFFFFFF)).astype(np.uint32) if second is not first else np.zeros(len(order), "V0"), second[order], docs[order]]
     columns = [pa.array([x[cuts[s] : cuts[s + 1]].tobytes() for s in filled], pa.binary()) for x in packed]
     return pa.record_batch([pa.array(filled, pa.int64()), *columns], ["bucket", "first", "second", "doc"])
 
 
 def _block_rows(batches: Iterator[pa.RecordBatch], ranges: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids, texts = batch.column(0).to_numpy(), [t.encode() for t in batch.column(1).to_pylist()]
-        for at, part in _in_parts(texts):
-            who, _, _, anchor, whole, _, _ = blocks(part)
-            yield _dealt(anchor, whole, ids[at + who], ranges)
+    for ids, texts, _ in _in_parts(batches):
+        who, _, _, anchor, whole, _, _ = blocks(texts)
+        yield _dealt(anchor, whole, ids[who], ranges)
 
 
 def _string_rows(batches: Iterator[pa.RecordBatch], ranges: int) -> Iterator[pa.RecordBatch]:
     """The strings that start in open blocks; a block's token names it."""
-    for batch in batches:
-        ids, texts, opened = batch.column(0).to_numpy(), [t.encode() for t in batch.column(1).to_pylist()], batch.column(2)
-        for at, part in _in_parts(texts):
-            who, lo, hi, _, whole, offset, string = blocks(part)
-            names = [np.asarray(opened[at + k].as_py(), np.int64).view(U) for k in range(len(part))]
-            # a block is open for its own text only
-            mark = mix(whole + who.astype(U) * _M2)
-            wanted = np.concatenate([mix(x + U(k) * _M2) for k, x in enumerate(names)]) if names else np.zeros(0, U)
-            inside = np.isin(mark, wanted)
-            starts = _starts((lo + offset[who])[inside], (hi + offset[who])[inside])
-            owner = np.repeat(who[inside], (hi - lo + 1)[inside])
-            yield _dealt(string[starts], string[starts], ids[at + owner], ranges)
+    for ids, texts, opened in _in_parts(batches):
+        who, lo, hi, _, whole, offset, string = blocks(texts)
+        # a block is open for its own text only
+        mark = mix(whole + who.astype(U) * _M2)
+        wanted = np.concatenate([mix(np.asarray(x, np.int64).view(U) + U(k) * _M2) for k, x in enumerate(opened)]) if opened else np.zeros(0, U)
+        inside = np.isin(mark, wanted)
+        starts = _starts((lo + offset[who])[inside], (hi + offset[who])[inside])
+        owner, tokens = np.repeat(who[inside], (hi - lo + 1)[inside]), string[starts]
+        yield _dealt(tokens, tokens, ids[owner], ranges)
 
 
 def _sorted(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """A bucket's columns in order of first, second, doc; whether first is new, whether first or second is."""
+    """A bucket's columns in order of first, second, doc; whether first is new, whether first or second is. First is left
+    out where second says all."""
     first, second, doc = (np.frombuffer(b"".join(pdf[c]), kind) for c, kind in (("first", np.uint32), ("second", U), ("doc", np.int64)))
+    first = first if len(first) else np.zeros(len(second), np.uint32)
     order = np.lexsort((doc, second, first))
     first, second, doc = first[order], second[order], doc[order]
     new = np.concatenate([[True], first[1:] != first[:-1]])
