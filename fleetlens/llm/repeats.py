@@ -35,7 +35,7 @@ U = np.uint64
 LENGTH, GRAM = 50, 24
 WIDE = LENGTH - GRAM + 1
 #: Bytes of text worked on at a time; bytes of the corpus for each range of the tokens.
-AT_ONCE, SHARE = 1 << 18, 8 << 20
+AT_ONCE, SHARE = 1 << 19, 2 << 20
 _M1, _M2 = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
 _rng = np.random.default_rng(20)
 _BYTE = _rng.integers(1, 2**63, 256).astype(U) * U(2) + U(1)
@@ -108,7 +108,7 @@ def _starts(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(n) else np.zeros(0, np.int64)
 
 
-def _in_parts(batches: Iterator[pa.RecordBatch], rows: int = 128) -> Iterator[tuple[np.ndarray, list[bytes], list]]:
+def _in_parts(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[tuple[np.ndarray, list[bytes], list]]:
     """(ids, texts, the third column if there is one) of some rows at a time; more than AT_ONCE bytes only for one long text."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
