@@ -146,7 +146,7 @@ def _string_rows(batches: Iterator[pa.RecordBatch], ranges: int) -> Iterator[pa.
         who, lo, hi, _, whole, offset, string = blocks(texts)
         # a block is open for its own text only
         mark = mix(whole + who.astype(U) * _M2)
-        wanted = np.concatenate([mix(np.asarray(x, np.int64).view(U) + U(k) * _M2) for k, x in enumerate(opened)]) if opened else np.zeros(0, U)
+        wanted = np.concatenate([mix(np.asarray(x, np.int64).view(U) + np.full(1, k, U) * _M2) for k, x in enumerate(opened)]) if opened else np.zeros(0, U)
         inside = np.isin(mark, wanted)
         starts = _starts((lo + offset[who])[inside], (hi + offset[who])[inside])
         owner, tokens = np.repeat(who[inside], (hi - lo + 1)[inside]), string[starts]
