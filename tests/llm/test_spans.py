@@ -2,7 +2,7 @@ import hashlib
 import random
 import re
 
-from fleetlens.llm.pii import detect, entities, op9_pii, sanitise
+from fleetlens.llm.pii import detect, entities, op9_pii, outside, sanitise
 from fleetlens.llm.secret_scan import find, op5_secret_scan, redact
 
 SECRETS = [
@@ -89,3 +89,16 @@ def test_disclosing_terms(spark):
         assert terms == ["Zorblat"] and got[i].text.startswith("write to <term>") and "<email>" in got[i].text
     assert all(got[i].text == texts[i] and not got[i].personal.kinds for i in range(12, len(texts)))
     assert detect(df.limit(0)).count() == 0
+
+
+def test_terms_of_one_entity_everywhere(spark):
+    filler = " ".join(f"plain{k}" for k in range(30))
+    texts = [f"Zorblat {filler} wrote from z@x.org" for _ in range(4)] + [f"mail u{i}@x.org {filler}" for i in range(100)] + ["ask zorblat"] + [f"{filler} n{i}" for i in range(900)]
+    got = {r.doc_id: r.text for r in sanitise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert all(got[i].startswith("<term> plain0 ") and "plain29" in got[i] for i in range(4)) and got[104] == "ask <term>"
+    assert all(got[i] == texts[i] for i in range(105, len(texts)))
+
+
+def test_words_outside_entities_keep_their_places():
+    t = "İX a@b.co 4111111111111111x Ωb"
+    assert [t[a:b] for _, a, b in outside(t, [3, 10], [9, 26])] == ["İX", "Ωb"]
