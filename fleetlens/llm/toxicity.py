@@ -1,7 +1,8 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-The classifier is linear over a text's distinct words, each by its first 4 and 5 letters, hashed into `DIMENSIONS`
-weights that only count towards toxicity, so that a long text doesn't outweigh what it holds. It is trained in numpy on two
+The classifier is linear over a text's distinct words, each as a whole and by its first 4 and 5 letters; a run longer than
+`LONG` characters also by what 4 and 5 characters stand in it, and a run in a script without spaces by its single characters,
+pairs and triples. All are hashed into `DIMENSIONS` weights that only count towards toxicity, so that a long text doesn't outweigh what it holds. It is trained in numpy on two
 bounded samples: confirmed toxic texts (P) and texts drawn from all training rows whatever their label (U). With class
 prior p and the logistic loss l, it lowers
 
@@ -30,15 +31,25 @@ from pyspark.sql import functions as F
 
 from fleetlens.llm.common import table
 
-DIMENSIONS = 1 << 18
+DIMENSIONS, LONG = 1 << 20, 16
 _word = re.compile(r"\w+")
+#: Thai, Lao, Tibetan, Burmese, Khmer, kana, Han.
+_unsegmented = re.compile("[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 _REMEMBERED = 200_000
 
 
-@lru_cache(maxsize=_REMEMBERED)
 def features(word: str) -> tuple[int, ...]:
-    forms = [word[:n] for n in (4, 5) if len(word) >= n]
-    return tuple(zlib.crc32(f.encode()) % DIMENSIONS for f in forms)
+    return _short(word) if len(word) <= LONG else _features(word)
+
+
+def _features(word: str) -> tuple[int, ...]:
+    forms = {word[:n] for n in (4, 5) if len(word) >= n} | {f"={word}"}
+    lengths = (1, 2, 3) if _unsegmented.search(word) else (4, 5) if len(word) > LONG else ()
+    forms |= {f"~{word[i : i + n]}" for n in lengths for i in range(len(word) - n + 1)}
+    return tuple(zlib.crc32(f.encode()) % DIMENSIONS for f in sorted(forms))
+
+
+_short = lru_cache(maxsize=_REMEMBERED)(_features)
 
 
 def distinct_words(text: str | None) -> set[str]:

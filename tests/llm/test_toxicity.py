@@ -49,3 +49,28 @@ def test_risk_correction_finds_the_positives_among_the_unlabelled():
     model = train([draw(True) for _ in range(300)], [draw(k % 10 == 0) for k in range(2000)], 0.1)
     margin = lambda x: model.weights[x].sum() + model.bias
     assert np.mean([margin(draw(True)) > 0 for _ in range(300)]) > 0.9 and np.mean([margin(draw(False)) < 0 for _ in range(300)]) > 0.97
+
+
+def held_out(spark, rows):
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    model = fit(docs, labels, remainder("doc_id", 5) != 0)
+    got = {r.doc_id: r.score >= 0.5 for r in score(docs, model).filter(remainder("doc_id", 5) == 0).collect()}
+    pairs = [(got[i], y) for i, _, y in rows if i in got]
+    return sum(p == y for p, y in pairs) / len(pairs), sum(p for p, y in pairs if y) / sum(y for _, y in pairs)
+
+
+def test_held_out_short_words_and_scripts_without_spaces(spark):
+    rng, short, runs = random.Random(4), [], []
+    for i in range(2000):
+        toxic = rng.random() < 0.12
+        words = [rng.choice("bcdfg") + rng.choice("aeiou") + rng.choice(["", "l", "m", "n"]) for _ in range(rng.randrange(20, 60))]
+        clauses = ["".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(rng.randrange(8, 20))) for _ in range(5)]
+        if toxic:
+            words += rng.sample(["ass", "die", "kys"], 2)
+            clauses[rng.randrange(5)] += rng.choice(["\u9f98\u9f99\u9f9a", "\u9f9b\u9f9c"]) + chr(0x4E00 + rng.randrange(3000))
+        short.append((i, " ".join(words), int(toxic)))
+        runs.append((i, "\u3002".join(clauses), int(toxic)))
+    for rows in (short, runs):
+        accuracy, recall = held_out(spark, rows)
+        assert accuracy > 0.95 and recall > 0.9
