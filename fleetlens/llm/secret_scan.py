@@ -1,10 +1,11 @@
 """Secret scans by assignment-aware lexing.
 
 Beside three fixed patterns (assign, access, hex), a text is read as source or configuration: every `name = value`,
-`name: value`, `name := value` or `"name" => value` gives a pair of a name and a value. Quoted values and sums of them are
-literals; a bare identifier takes the literal last assigned to it, so a constant's value follows it through any chain of
-names. A literal is a finding (kind `literal`, at the place where it is written) if the target's name is sensitive
-and the literal looks chosen at random: the weight of the name's words plus the literal's entropy in bits a character
+`name: value`, `name := value`, `"name" => value`, `name: type = value` and `table["name"] = value` gives a pair of a name and a
+value. Values are sums of strings (prefixed, escaped or in triple quotes), bare words and names. All pairs of the text are read
+first; then names are followed to a fixed point, so that a constant's value reaches every name it is given to, wherever that
+stands. A literal is a finding (kind `literal`, at the place where it is written) if it reaches a sensitive name and
+looks chosen at random: the weight of the name's words plus the entropy of the name's whole value in bits a character
 reach `THRESHOLD`. Placeholders and references to an environment are none.
 
 Null and empty texts have no findings. Each row is scanned by itself, whole; a column named `secrets` is replaced.
@@ -28,10 +29,13 @@ KINDS = [*BASE, "literal"]
 _assign = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _access = re.compile(r"AKIA[A-Z0-9]+")
 _hex = re.compile(r"[0-9a-f]{24,}")
-_pair = re.compile(
-    r"""(?<![A-Za-z0-9_.\-])([A-Za-z_][A-Za-z0-9_.\-]*+)["']?[ \t]*+(?::=|=>|[:=])[ \t]*+(?:"([^"\n]*)"|'([^'\n]*)'|([^\s"',;(){}\[\]]++))"""
-)
-_more = re.compile(r"""[ \t]*\+[ \t]*(?:"([^"\n]*)"|'([^'\n]*)')""")
+_name = re.compile(r"""(?<![A-Za-z0-9_.\-])[A-Za-z_][A-Za-z0-9_.\-]*+""")
+_subscript = re.compile(r"""\[[ \t]*+["']([^"'\n\]]*+)["'][ \t]*+\]""")
+_sign = re.compile(r"""["']?[ \t]*+(:=|=>|=(?!=)|:(?!:))[ \t]*+""")
+_type = re.compile(r"""[A-Za-z_][A-Za-z0-9_.]*+(?:\[[^\]\n=]*+\])?(?:[ \t]*+\|[ \t]*+[A-Za-z_][A-Za-z0-9_.]*+)*+[ \t]*+=(?![=>])[ \t]*+""")
+_string = re.compile(r"""(?:[A-Za-z]{1,2}(?=["']))?(?:\"""((?:[^\\"]|\\.|"(?!""))*+)\"""|'''((?:[^\\']|\\.|'(?!''))*+)'''|"((?:[^"\\\n]|\\.)*+)"|'((?:[^'\\\n]|\\.)*+)')""", re.S)
+_bare = re.compile(r"""[^\s"',;(){}\[\]]++""")
+_plus = re.compile(r"""[ \t]*+\+[ \t]*+""")
 _identifier = re.compile(r"[A-Za-z_][A-Za-z0-9_.\-]*")
 _parts = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 _placeholder = re.compile(r"(?i)^(?:<.*>|\$\{?.*|%.*%|x+|\*+|none|null|nil|true|false|changeme|example|password|secret|token|your.*)$")
@@ -54,26 +58,81 @@ def entropy(literal: str) -> float:
     return -sum(c / n * math.log2(c / n) for c in Counter(literal).values()) if n else 0.0
 
 
+Part = tuple[bool, str, int, int]  # whether it may be a name, its text, start, end
+
+
+def operands(text: str, at: int) -> tuple[list[Part], int]:
+    """The parts of the sum that starts there, and where it ends."""
+    out: list[Part] = []
+    end = at
+    while True:
+        if m := _string.match(text, at):
+            group = next(g for g in (1, 2, 3, 4) if m[g] is not None)
+            out.append((False, m[group], m.start(group), m.end(group)))
+        elif m := _bare.match(text, at):
+            out.append((_identifier.fullmatch(m[0]) is not None, m[0], m.start(), m.end()))
+        else:
+            return out, end
+        end = m.end()
+        more = _plus.match(text, end)
+        if not more:
+            return out, end
+        at = more.end()
+
+
+def assignments(text: str) -> list[tuple[str, list[Part]]]:
+    out = []
+    for m in _name.finditer(text):
+        name, at = m[0], m.end()
+        while sub := _subscript.match(text, at):
+            name, at = sub[1], sub.end()
+        sign = _sign.match(text, at)
+        if not sign:
+            continue
+        at = sign.end()
+        if sign[1] == ":" and (typed := _type.match(text, at)):
+            at = typed.end()
+        parts, _ = operands(text, at)
+        if parts:
+            out.append((name, parts))
+    return out
+
+
 def literals(text: str) -> list[tuple[int, int]]:
     """Where the literals stand that reach a sensitive name."""
-    constants: dict[str, tuple[str, int, int]] = {}
+    pairs = assignments(text)
+    given: dict[str, list[int]] = {}
+    for i, (name, _) in enumerate(pairs):
+        given.setdefault(name, []).append(i)
+
+    def followed(start: int) -> list[Part]:
+        """All literals that reach the pair, by every assignment of every name on the way."""
+        seen, todo, out = {start}, [start], []
+        while todo:
+            for part in pairs[todo.pop()][1]:
+                if part[0] and part[1] in given:
+                    new = [i for i in given[part[1]] if i not in seen]
+                    seen.update(new)
+                    todo += new
+                else:
+                    out.append(part)
+        return out
+
     found = set()
-    for m in _pair.finditer(text):
-        name, double, single, bare = m.groups()
-        group = 2 if double is not None else 3 if single is not None else 4
-        if bare is None:
-            value, start, end = m[group], m.start(group), m.end(group)
-            while more := _more.match(text, end + 1):
-                value += more[1] if more[1] is not None else more[2]
-                end = more.end() - 1
-        elif bare in constants and _identifier.fullmatch(bare):
-            value, start, end = constants[bare]
-        else:
-            value, start, end = bare, m.start(4), m.end(4)
-        constants[name] = value, start, end
+    for i, (name, parts) in enumerate(pairs):
         weight = sensitivity(name)
-        if weight and len(value) >= SHORTEST and not _placeholder.match(value) and weight + entropy(value) >= THRESHOLD:
-            found.add((start, end))
+        if not weight:
+            continue
+        if all(not (p[0] and p[1] in given) for p in parts):  # a literal, or a sum of them, is one value
+            values = [("".join(p[1] for p in parts), parts[0][2], parts[-1][3])]
+        else:
+            values = [(p[1], p[2], p[3]) for p in followed(i)]
+            whole = "".join(v for v, _, _ in values)
+            if len(values) > 1 and len(whole) >= SHORTEST and weight + entropy(whole) >= THRESHOLD:
+                found.update((a, b) for v, a, b in values if v and not _placeholder.match(v))
+        for v, a, b in values:
+            if len(v) >= SHORTEST and not _placeholder.match(v) and weight + entropy(v) >= THRESHOLD:
+                found.add((a, b))
     return sorted(found)
 
 

@@ -102,3 +102,20 @@ def test_terms_of_one_entity_everywhere(spark):
 def test_words_outside_entities_keep_their_places():
     t = "İX a@b.co 4111111111111111x Ωb"
     assert [t[a:b] for _, a, b in outside(t, [3, 10], [9, 26])] == ["İX", "Ωb"]
+
+
+def test_secrets_in_usual_assignments():
+    secret = "u8Gz!qP0xYw2"
+    for t in (
+        f'api_token: str = "{secret}"', f'os.environ["DB_PASSWORD"] = "{secret}"', f"cfg['secret'] = '{secret}'", f'db_password = b"{secret}"',
+        f'db_password = """{secret}"""', f"db_password = rb'''{secret}'''", f'db_pwd = L\nL = "{secret}"', f'a = b\nb = a\ndb_pwd = a\na = "{secret}"',
+    ):
+        assert [t[s[0] : s[3]] for s in find(t)] == [secret], t
+    t = f'dbPassword: string = "{secret}"'  # the fixed pattern takes the type as well
+    assert [t[s[0] : s[3]] for s in find(t) if s[2] == "literal"] == [secret]
+    t = f'db_password = """a\\"""{secret}"""'
+    assert [t[s[0] : s[3]] for s in find(t)] == [f'a\\"""{secret}']
+    t = 'db_password = "u8Gz!q\\"P0xYw2"'
+    assert [t[s[0] : s[3]] for s in find(t)] == ['u8Gz!q\\"P0xYw2']
+    for t in (f'K = "{secret}"\ndb_pwd = "ab!9" + K', f'K = "{secret}"\ndb_pwd = K + "ab!9"'):
+        assert sorted(t[s[0] : s[3]] for s in find(t)) == sorted([secret, "ab!9"])
