@@ -1,15 +1,15 @@
 """Byte-level BPE encoding and decoding.
 
 Documents of up to `chunk` characters are pre-tokenised and encoded in place. Longer ones are cut into overlapping
-chunks that are dealt out over the cluster and pre-tokenised in parallel, each from its own first character. Two
+chunks that are dealt out over the cluster, each pre-tokenised from its own first character and encoded. Two
 neighbours are stitched at the first pre-token boundary that both see inside their overlap: matching only looks
 ahead, so from a shared boundary on both would split the text alike. Boundaries so near a chunk's end that the cut
-may have made them don't count. Then each chunk encodes the pre-tokens between its two seams. A document that has a
-seam without a shared boundary (one pre-token longer than the overlap) is put together again and encoded whole.
-Decoding concatenates the bytes of the ids.
+may have made them don't count. A chunk gives its ids between its two seams. A document that has a
+seam without a shared boundary (one pre-token longer than the overlap) is put together again from the bytes of its chunks'
+ids and encoded whole. Decoding concatenates the bytes of the ids.
 
-Null texts count as empty and give no ids. Repeated rows are encoded one by one. A column named like a result is
-replaced; the text column isn't returned.
+Null texts count as empty and give no ids. Repeated rows are encoded one by one, but for those that follow each other, which
+are encoded once. A column named like a result is replaced; the text column isn't returned.
 """
 
 from __future__ import annotations
@@ -19,9 +19,10 @@ import heapq
 import struct
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.llm.common import packed_row
@@ -81,15 +82,12 @@ class Encoder(dict):
     def encode(self, text: str) -> bytes:
         return b"".join(map(self.__getitem__, self.find(text)))
 
-    def encode_between(self, text: str, start: int, stop: int) -> bytes:
-        """The ids of the pre-tokens from one boundary to another; the text beyond is only looked at."""
-        out, at = [], start
-        for piece in self.find(text, start):
-            if at >= stop:
-                break
-            out.append(self[piece])
-            at += len(piece)
-        return b"".join(out)
+    def scan(self, text: str) -> tuple[bytes, np.ndarray]:
+        """The ids, and for each pre-token where it starts, in characters, and how many ids stand before it."""
+        pieces = self.find(text)
+        packed = list(map(self.__getitem__, pieces))
+        sizes = np.array([list(map(len, pieces)), [len(p) // 4 for p in packed]], np.int64).reshape(2, -1)
+        return b"".join(packed), (np.cumsum(sizes, axis=1) - sizes).T.astype(np.int32)
 
     def decode(self, packed: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, memoryview(packed).cast("I") if len(packed) else ()))
@@ -113,35 +111,47 @@ def encode(
     With decoded, the bytes of the ids come back in a column of that name, from the same pass over each piece."""
     vocabulary = _vocabulary(df, vocabulary_path)
 
-    def both(e: Encoder, packed: list[bytes | None]) -> pd.DataFrame:
-        back = [None if p is None or not decoded else e.decode(p) for p in packed]
+    def both(e: Encoder, packed: list[bytes]) -> pd.DataFrame:
+        back = [e.decode(p) if decoded else None for p in packed]
         return pd.DataFrame({"ids": pd.Series(packed, dtype=object), "back": pd.Series(back, dtype=object)})
 
     @F.pandas_udf("ids binary, back binary")
     def whole(texts: pd.Series) -> pd.DataFrame:
-        e = encoder(vocabulary.value, pattern)
-        return both(e, [None if t is None else e.encode(t) for t in texts])
-
-    @F.pandas_udf("left array<int>, right array<int>")
-    def edges(texts: pd.Series, numbers: pd.Series, lasts: pd.Series) -> pd.DataFrame:
-        """Boundaries, from the document's start, in the overlaps with the chunks before and after."""
-        e = encoder(vocabulary.value, pattern)
-        rows = []
-        for t, k, last in zip(texts, numbers, lasts, strict=True):
-            at, left, right, sure = 0, [], [], len(t) if last else len(t) - MARGIN
-            for piece in e.find(t):
-                if at < overlap - MARGIN:
-                    left.append(k * chunk + at)
-                if at >= chunk and at <= sure:
-                    right.append(k * chunk + at)
-                at += len(piece)
-            rows.append((left, right))
-        return pd.DataFrame(rows, columns=["left", "right"])
+        e, out, last = encoder(vocabulary.value, pattern), [], None
+        for t in texts:
+            out.append(out[-1] if t == last else e.encode(t))
+            last = t
+        return both(e, out)
+
+    @F.pandas_udf("ids binary, left binary, right binary")
+    def scanned(texts: pd.Series, lasts: pd.Series) -> pd.DataFrame:
+        """left, right: the boundaries in the overlaps with the chunks before and after, as the scan gives them."""
+        e, rows = encoder(vocabulary.value, pattern), []
+        for t, last in zip(texts, lasts, strict=True):
+            ids, at = e.scan(t)
+            sure = len(t) if last else len(t) - MARGIN
+            rows.append((ids, at[at[:, 0] < overlap - MARGIN].tobytes(), at[(at[:, 0] >= chunk) & (at[:, 0] <= sure)].tobytes()))
+        return pd.DataFrame(rows, columns=["ids", "left", "right"])
 
     @F.pandas_udf("ids binary, back binary")
-    def between(texts: pd.Series, starts: pd.Series, stops: pd.Series) -> pd.DataFrame:
-        e = encoder(vocabulary.value, pattern)
-        return both(e, [None if t is None else e.encode_between(t, int(a), int(b)) for t, a, b in zip(texts, starts, stops, strict=True)])
+    def stitched(ids: pd.Series, lefts: pd.Series, rights: pd.Series) -> pd.DataFrame:
+        e, out = encoder(vocabulary.value, pattern), []
+        for some, left, right in zip(ids, lefts, rights, strict=True):
+            start, pieces = 0, []
+            for k, packed in enumerate(some):
+                if k + 1 == len(some):
+                    pieces.append(packed[4 * start :])
+                    break
+                a, b = (np.frombuffer(x, np.int32).reshape(-1, 2) for x in (right[k], left[k + 1]))
+                shared, i, j = np.intersect1d(a[:, 0] - chunk, b[:, 0], assume_unique=True, return_indices=True)
+                if not len(shared):
+                    parts = [e.decode(p).decode() for p in some]
+                    pieces = [e.encode("".join([*(p[:chunk] for p in parts[:-1]), parts[-1]]))]
+                    break
+                pieces.append(packed[4 * start : 4 * int(a[i[0], 1])])
+                start = int(b[j[0], 1])
+            out.append(b"".join(pieces))
+        return both(e, out)
 
     made = ["ids", "n_tokens", *([decoded] if decoded else [])]
     rows = packed_row(df.withColumn("_text_", F.coalesce(F.col(f"`{text}`"), F.lit(""))), ["_text_"], ["_text_", text, *made]).withColumnRenamed("__text_", "_text")
@@ -153,31 +163,14 @@ def encode(
     chunks = (
         long.withColumn("_k", F.explode(F.sequence(F.lit(0), F.expr(f"CAST((_n - 1) DIV {chunk} AS INT)"))))
         .withColumn("_part", F.expr(f"substring(_text, _k * {chunk} + 1, {chunk + overlap})"))
-        .select("_key", "_k", "_n", "_part", F.when(F.col("_k") == 0, F.col("_row")).alias("_row"))
+        .withColumn("_last", F.expr(f"_k * {chunk} + {chunk + overlap} >= _n"))
+        .select("_key", "_k", "_last", "_part", F.when(F.col("_k") == 0, F.col("_row")).alias("_row"))
         .repartition("_key", "_k")
-        .withColumn("_e", edges("_part", "_k", F.expr(f"_k * {chunk} + {chunk + overlap} >= _n")))
-    )
-    order = Window.partitionBy("_key").orderBy("_k")
-    seams = (
-        chunks.withColumn("_next", F.lead("_e.left").over(order))
-        .withColumn("_seam", F.array_min(F.array_intersect("_e.right", "_next")))
-        .withColumn("_from", F.coalesce(F.lag("_seam").over(order), F.lit(0)))
-        .withColumn("_lost", F.max(F.col("_next").isNotNull() & F.col("_seam").isNull()).over(Window.partitionBy("_key")))
-        .withColumn("_to", F.coalesce(F.col("_seam"), F.col("_n")))
-    )
-    pieces = seams.withColumn("_out", between(F.when(~F.col("_lost"), F.col("_part")), F.col("_from") - F.col("_k") * chunk, F.col("_to") - F.col("_k") * chunk))
-    in_order = "array_join(transform(sort_array(collect_list({})), x -> {}), '')"
-    joined = pieces.groupBy("_key").agg(
-        F.max("_row").alias("_row"),
-        F.expr(f"unhex({in_order.format('struct(_k, _out.ids AS v)', 'hex(x.v)')})").alias("_ids"),
-        F.expr(f"unhex({in_order.format('struct(_k, _out.back AS v)', 'hex(x.v)')})").alias("_back"),
-        F.max("_lost").alias("_lost"),
-        F.expr(in_order.format(f"CASE WHEN _lost THEN struct(_k, substring(_part, 1, {chunk}) AS v) END", "x.v")).alias("_text"),
-    )
-    joined = joined.withColumn("_again", whole(F.when(F.col("_lost"), F.col("_text"))))
-    out = short.select("_row", "_out.ids", "_out.back").unionByName(
-        joined.select("_row", *[F.when(F.col("_lost"), F.col(f"_again.{c}")).otherwise(F.col(f"_{c}")).alias(c) for c in ("ids", "back")])
+        .select("_key", "_k", "_row", scanned("_part", "_last").alias("_s"))
     )
+    joined = chunks.groupBy("_key").agg(F.max("_row").alias("_row"), F.sort_array(F.collect_list(F.struct("_k", "_s"))).alias("_all"))
+    joined = joined.select("_row", stitched(*[F.expr(f"transform(_all, x -> x._s.{c})") for c in ("ids", "left", "right")]).alias("_out"))
+    out = short.unionByName(joined).select("_row", "_out.ids", "_out.back")
     kept = [c for c in df.columns if c not in (text, *made)]
     back = [F.col("back").alias(decoded)] if decoded else []
     return out.select(*[F.col(f"_row.`{c}`") for c in kept], "ids", (F.length("ids") / 4).cast("long").alias("n_tokens"), *back)
