@@ -6,6 +6,7 @@ import atexit
 import re
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,10 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own only where the cluster names none (tests)."""
+    """The folder that all executors share: the one that the cluster names, else one in the warehouse; a folder of the
+    driver's own machine only where Spark runs on that machine alone (tests)."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local"):
+        return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_staged"
     global _own
     if _own is None:
         _own = tempfile.mkdtemp(prefix="spark-stage-", dir="/tmp")
@@ -31,16 +35,34 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _own: str | None = None
+_where: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+#: With it, Spark removes a query's shuffle files when the query ends; a written table needs them no more.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Writes df once into the shared folder and reads it back: later uses neither recompute it nor depend on
-    the executors that made it. The table is removed when the driver ends."""
+    the executors that made it. `unstage` removes it, at the latest the end of the driver does."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{re.sub(r'[^a-z0-9_]', '_', name.lower())}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    _where[out] = path
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    return out
+
+
+def unstage(*tables: DataFrame) -> None:
+    """Removes staged tables that nothing reads any more."""
+    for df in tables:
+        path = _where.pop(df, None)
+        if path:
+            _remove(df.sparkSession, path)
 
 
 def _remove(spark: SparkSession, path: str) -> None:
