@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens.llm import byte_bpe, jaccard_join, secret_scan, source_mix, toxicity
-from fleetlens.llm.common import table
+from fleetlens.llm.common import staged, table, unstage
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -27,26 +27,27 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of rows that repeat a doc_id with the same words, one stays; texts without words are no duplicates."""
-    classes = jaccard_join.join(docs, width=5, percent=80)
-    kept = classes.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    ranked = docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
-    return ranked.select(*COLUMNS).dropDuplicates(["doc_id", "text"])
+    """One row of each class stays, that of the least doc_id; rows with a null doc_id are members of their class and stay only
+    where it has no other. Null texts and texts without words are no duplicates."""
+    return jaccard_join.first_of_class(docs.select(*COLUMNS), width=5, percent=80)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps every row; null texts stay null."""
     return secret_scan.redact(docs).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rated = source_mix.with_quality(docs.withColumn("_words", source_mix.words()), table(spark, sf_dir, "labels"))
-    mixed = source_mix.mix(rated, size="_words", quality="mix_quality")
+    """Documents without words go; null sources are one source. Copies of a document stand next to each other."""
+    rated = docs.select(*COLUMNS, source_mix.words().alias("_words"), F.xxhash64("doc_id", "text").alias("_tie"))
+    rated = source_mix.with_quality(rated, table(spark, sf_dir, "labels"))
+    mixed = source_mix.mix(rated, size="_words", quality="mix_quality", tie="_tie")
     times = F.when(F.col("_words") > 0, F.expr("CAST(taken DIV _words AS INT)")).otherwise(0)
     return mixed.withColumn("_times", times).filter("_times > 0").select(*COLUMNS, F.explode(F.expr("sequence(1, _times)")).alias("_copy")).select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_chars, n_tokens, ids (packed little-endian unsigned 32-bit integers)."""
+    """doc_id, lang, source, n_chars, n_tokens, ids (packed little-endian unsigned 32-bit integers); null texts have no ids."""
     ids = byte_bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return ids.select("doc_id", "lang", "source", "n_chars", "n_tokens", "ids")
 
@@ -59,9 +60,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from fleetlens.llm.common import staged
-
-    docs = table(spark, sf_dir, "documents")
+    docs = before = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = staged(stage(spark, docs, sf_dir), name)
+        unstage(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -5,25 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import staged
+from fleetlens.llm.common import staged, unstage
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
-    """(node, component), the least node that a node is linked with; nodes without an edge to another are left out.
+    """(node, component), a staged table: the least node that a node is linked with; nodes without an edge to another
+    are left out.
 
     Every step lets each node tell its neighbours of the least one (counted with partial aggregation), until the
     edges are stars about the least nodes. The number of steps grows with the logarithm of the longest path. Minima are
-    written before they are joined, so that Spark can split a node with very many edges over tasks."""
+    written before they are joined, so that Spark can split a node with very many edges over tasks; a step's tables go as
+    soon as the next ones are written."""
     now = staged(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct(), "edges")
     mark = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = staged(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), "large")
         large = staged(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large_edges")
+        unstage(now, least)
         least = staged(large.groupBy("u").agg(F.min("v").alias("m")), "small")
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         now = staged(small.distinct(), "edges")
+        unstage(large, least)
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(seen) == mark:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select("v", "v").toDF("node", "component").distinct())
+            stars = now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select("v", "v").toDF("node", "component").distinct())
+            out = staged(stars, "components")
+            unstage(now)
+            return out
         mark = tuple(seen)

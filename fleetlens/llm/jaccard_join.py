@@ -8,13 +8,23 @@ three parts agree: every set emits, for its own band and the one below, the hash
 similar sets share one. A pair of parts without a shingle would join unrelated sets; it is emitted only by sets in
 which more than s partitions have one, as other sets have a good partition without it.
 
-Sets that share a signature are linked to the least of them; the components of these links are the candidates. Their sets
-are compared exactly, each component in one task, or in pairs of blocks where it is large, by products of
-0/1 matrices over the shingles that two of them have. Only a spanning set of the true links leaves a task, and its
-components are the result. No pair is capped or sampled away.
-
-Null, empty and word-less texts have an empty set and no links. Rows that repeat an id are linked as their texts are; a
-class is named by its least id. Nodes are 64-bit hashes of sets: n different sets meet by chance n^2 / 2^65 times.
+The nodes that share a signature are a group; groups of the same nodes are one. Its sets are compared, not all with all:
+
+1. Each node meets the first of its groups. Pairs that pass a filter are compared exactly; the true links give each node a
+   label, the least node that it is linked with so far.
+2. In groups with more than one label, each node names its likeliest partners among the nodes of other labels; they are
+   compared exactly, and labels and failures noted. This is repeated, with four times as many partners named each time,
+   until no node has a partner left that could be linked. A group in which no node names one is finished.
+
+So members of one class, however many, are not compared with each other. The filter keeps each set's shingles as a bit
+map of at least twice as many bits, in which every shingle flips one bit: two maps differ in no more bits than their sets
+in shingles, so no link is lost by it. In a group of more than `MOST` nodes, those of its commonest label stand in blocks, and
+the others meet each block: the work is (nodes) * (nodes not of that label). A signature that one task sees often is dealt
+out over many tasks.
+
+Null, empty and word-less texts have an empty set and no links. Rows that repeat an id or have none are linked as their texts
+are; a class is named by its least id, and by null only if none of its rows has an id. Nodes are 64-bit hashes of sets: n
+different sets meet by chance n^2 / 2^65 times.
 """
 
 from __future__ import annotations
@@ -28,13 +38,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import parts, staged, table
+from fleetlens.llm.common import WORD, parts, staged, table, unstage
 from fleetlens.llm.graph import components
 
 U = np.uint64
 _P1, _P2, _P3 = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
-#: Shingles whose signatures are made at a time; members of a component in one block; blocks of a component at least / members above which there are more.
-AT_ONCE, BLOCK, FEW, MOST, SHINGLES = 400_000, 128, 16, 2048, 3_000_000
+_ALL = (1 << 64) - 1
+#: Shingles whose signatures are made at a time; nodes compared at a time; sets of one task with a signature that make it hot.
+AT_ONCE, MOST, HOT = 400_000, 2048, 64
+#: Hashes that a task remembers at most; it forgets all of them beyond.
+REMEMBERED = 4_000_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -63,7 +76,7 @@ def shingles(text: str | None, width: int) -> np.ndarray:
     if not len(h):
         return h
     n = min(width, len(h))
-    out = np.full(len(h) - n + 1, U(n) * _P1)
+    out = np.full(len(h) - n + 1, n, U) * _P1
     for k in range(n):
         out = mix(out * _P1 + h[k : len(h) - n + 1 + k])
     return np.unique(out)
@@ -71,7 +84,28 @@ def shingles(text: str | None, width: int) -> np.ndarray:
 
 def node(s: np.ndarray) -> int:
     """The hash of a set."""
-    return int(mix(np.array([mix(s + _P1).sum(dtype=U) ^ (U(len(s)) * _P2)], U)).view(np.int64)[0]) if len(s) else 0
+    if not len(s):
+        return 0
+    return int(mix(np.array([int(mix(s + _P1).sum(dtype=U)) ^ (len(s) * int(_P2) & _ALL)], U)).view(np.int64)[0])
+
+
+def bits(s: np.ndarray) -> np.ndarray:
+    """A bit map in which every shingle flips one bit: 64-bit words, twice to four times as many bits as shingles."""
+    size = max(64, 1 << (2 * len(s) - 1).bit_length())
+    return np.packbits(np.bincount((s & U(size - 1)).astype(np.int64), minlength=size) & 1).view(U)
+
+
+def folded(x: np.ndarray, words: int) -> np.ndarray:
+    """The map that fewer words would have given."""
+    while x.shape[-1] > words:
+        half = x.shape[-1] // 2
+        x = x[..., :half] ^ x[..., half:]
+    return x
+
+
+def allowed(a: np.ndarray | int, b: np.ndarray | int, percent: int) -> np.ndarray | int:
+    """In how many shingles linked sets of those sizes differ at most."""
+    return (a + b) * (100 - percent) // (100 + percent)
 
 
 class Bands:
@@ -119,19 +153,30 @@ class Bands:
         return mix(rest ^ name)[emitted], np.broadcast_to(owner[row_entry][:, None], emitted.shape)[emitted]
 
 
-def _signature_rows(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
-    bands = Bands(percent)
+def _signature_rows(batches: Iterator[pa.RecordBatch], width: int, percent: int, salts: int) -> Iterator[pa.RecordBatch]:
+    """(signature, tag, node). Sets with a hot signature get tags above 0, one of them a row with tag -1 that says so."""
+    bands, seen = Bands(percent), set()  # equal sets of a task give their signatures once
+
+    def made(sets: list[np.ndarray], nodes: list[int]) -> pa.RecordBatch:
+        signature, owner = bands.signatures(sets)
+        node, tag = np.array(nodes, np.int64)[owner], np.zeros(len(owner), np.int32)
+        if salts > 1 and len(signature):
+            _, first, place, count = np.unique(signature, return_index=True, return_inverse=True, return_counts=True)
+            hot = count >= HOT
+            if hot.any():
+                chosen = hot[place]
+                tag[chosen] = 1 + node[chosen] % salts
+                first = first[hot]
+                signature, node, tag = np.append(signature, signature[first]), np.append(node, node[first]), np.append(tag, np.full(len(first), -1, np.int32))
+        return pa.record_batch({"signature": signature.view(np.int64), "tag": tag, "node": node})
+
+    sets, nodes, size = [], [], 0
     for batch in batches:
-        seen: set[int] = set()  # equal sets of a batch give their signatures once
-        sets, nodes, size = [], [], 0
-
-        def made(sets: list[np.ndarray], nodes: list[int]) -> pa.RecordBatch:
-            signature, owner = bands.signatures(sets)
-            return pa.record_batch({"signature": signature.view(np.int64), "node": np.array(nodes, np.int64)[owner]})
-
         for text in batch.column(0):
             s = shingles(text.as_py(), width)
             if len(s) and (k := node(s)) not in seen:
+                if len(seen) >= REMEMBERED:
+                    seen.clear()
                 seen.add(k)
                 sets.append(s)
                 nodes.append(k)
@@ -139,134 +184,268 @@ def _signature_rows(batches: Iterator[pa.RecordBatch], width: int, percent: int)
                 if size >= AT_ONCE:
                     yield made(sets, nodes)
                     sets, nodes, size = [], [], 0
-        if sets:
-            yield made(sets, nodes)
+    if sets:
+        yield made(sets, nodes)
+
+
+def _group_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (signature, tag, node), sorted: (group, node) of the groups of two nodes or more. A group within one task is
+    named by its nodes; one that is hot or has more than `MOST` nodes by its signature."""
+    seen: set[int] = set()
+    # the open group: its signature and tag, its nodes not yet given out, and whether it is named by its signature
+    signature, tag, nodes, wide = None, None, np.zeros(0, np.int64), False
+
+    def rows(groups: np.ndarray, of: np.ndarray) -> pa.RecordBatch:
+        return pa.record_batch({"group": np.ascontiguousarray(groups), "node": np.ascontiguousarray(of)})
 
+    def by_signature(s: int, of: np.ndarray) -> pa.RecordBatch:
+        return rows(np.full(len(of), int(mix(np.array([s], np.int64).view(U) ^ _P1).view(np.int64)[0])), of)
+
+    def closed(s: int, t: int, of: np.ndarray, named: bool) -> Iterator[pa.RecordBatch]:
+        if named or t > 0:
+            if len(of):
+                yield by_signature(s, of)
+        elif len(of) > 1:
+            name = int(mix(np.array([int(mix(of.view(U)).sum(dtype=U)) ^ len(of)], U)).view(np.int64)[0])
+            if name not in seen:
+                seen.add(name)
+                yield rows(np.full(len(of), name), of)
 
-def _stars(batches: Iterator[pa.RecordBatch], heads: bool) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (signature, node): each node with the first of its signature. heads: the first rows instead."""
-    last_signature, last_first, last_node = None, 0, None
     for batch in batches:
         if not batch.num_rows:
             continue
-        s, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        starts = np.concatenate([[True], s[1:] != s[:-1]])
-        fresh = starts.copy()
-        if last_signature is not None and s[0] == last_signature:
-            fresh[0] = False
-        firsts = np.where(fresh, n, 0)
-        at = np.maximum.accumulate(np.where(starts, np.arange(len(s)), 0))
-        first = firsts[at]
-        if not fresh[0]:
-            first = np.where(at == 0, last_first, first)
-        if heads:
-            yield pa.record_batch({"a": s[fresh], "b": n[fresh]})
-        else:
-            linked = first != n
-            pairs = np.unique(np.stack([n[linked], first[linked]], axis=1), axis=0) if linked.any() else np.zeros((0, 2), np.int64)
-            yield pa.record_batch({"a": np.ascontiguousarray(pairs[:, 0]), "b": np.ascontiguousarray(pairs[:, 1])})
-        last_signature, last_first, last_node = s[-1], first[-1], n[-1]
-
-
-def _links(sets: list[np.ndarray], percent: int) -> np.ndarray:
-    """Whether each two sets are linked, from their exact intersections."""
-    sizes = np.array([len(s) for s in sets])
-    _, ids, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    owner = np.repeat(np.arange(len(sets)), sizes)
-    order = np.argsort(ids, kind="stable")
-    owner, ids = owner[order], ids[order]
-    # shingles of few sets count their pairs one by one, the others are columns of a matrix
-    rare = (counts[ids] > 1) & (counts[ids] < FEW)
-    r_owner, r_ids, pairs = owner[rare], ids[rare], np.zeros(len(sets) ** 2, np.int64)
-    for d in range(1, FEW - 1):
-        same = r_ids[:-d] == r_ids[d:]
-        if same.any():
-            pairs += np.bincount(r_owner[:-d][same] * len(sets) + r_owner[d:][same], minlength=len(pairs))
-    pairs = pairs.reshape(len(sets), len(sets))
-    both = (pairs + pairs.T).astype(np.float32)
-    often = np.cumsum(counts >= FEW) - 1
-    common = counts[ids] >= FEW
-    owner, ids = owner[common], often[ids[common]]
-    columns = max(1, 8_000_000 // len(sets))
-    for lo in range(0, int(ids[-1]) + 1 if len(ids) else 0, columns):
-        a, b = np.searchsorted(ids, [lo, lo + columns])
-        x = np.zeros((len(sets), min(columns, int(ids[-1]) + 1 - lo)), np.float32)
-        x[owner[a:b], ids[a:b] - lo] = 1
-        both += x @ x.T
-    shared = np.rint(both).astype(np.int64)
-    linked = 100 * shared >= percent * (sizes[:, None] + sizes[None] - shared)
-    np.fill_diagonal(linked, False)
-    return linked
-
-
-def _spanning(nodes: np.ndarray, linked: np.ndarray) -> list[tuple[int, int]]:
-    out, seen = [], np.zeros(len(nodes), bool)
-    for start in range(len(nodes)):
-        if seen[start]:
+        s, t, n = (batch.column(c).to_numpy() for c in range(3))
+        starts = np.flatnonzero(np.concatenate([[True], (s[1:] != s[:-1])]))
+        ends = np.append(starts[1:], len(s))
+        plain = (t[starts] == 0) & (t[ends - 1] == 0) & (ends - starts <= MOST)
+        plain[0] = plain[-1] = False
+        # the groups that lie within the batch, all at once
+        which = np.flatnonzero(plain & (ends - starts > 1))
+        if len(which):
+            inside = np.repeat(plain & (ends - starts > 1), ends - starts)
+            ss, nn = s[inside], n[inside]
+            fresh = np.concatenate([[True], (ss[1:] != ss[:-1]) | (nn[1:] != nn[:-1])])  # several tasks can hold a set
+            ss, nn = ss[fresh], nn[fresh]
+            at = np.flatnonzero(np.concatenate([[True], ss[1:] != ss[:-1]]))
+            size = np.diff(np.append(at, len(ss)))
+            name = mix(np.add.reduceat(mix(nn.view(U)), at) ^ size.astype(U)).view(np.int64)
+            _, first = np.unique(name, return_index=True)
+            first = np.array([k for k in first if size[k] > 1 and int(name[k]) not in seen], np.int64)
+            if len(seen) > REMEMBERED:
+                seen.clear()
+            seen.update(name[first].tolist())
+            chosen = np.zeros(len(at), bool)
+            chosen[first] = True
+            inside = np.repeat(chosen, size)
+            yield rows(np.repeat(name, size)[inside], nn[inside])
+        # the others: the first and the last, which go on over batches, and the wide ones
+        for k in np.flatnonzero(~plain):
+            a, b = starts[k], ends[k]
+            if signature is not None and s[a] != signature:
+                yield from closed(signature, tag, nodes, wide)
+                signature = None
+            if signature is None:
+                signature, tag, nodes, wide = s[a], t[a], np.zeros(0, np.int64), bool(t[a] != 0)
+            nodes = np.unique(np.concatenate([nodes, n[a:b]]))
+            if len(nodes) > MOST:
+                yield by_signature(signature, nodes)
+                nodes, wide = nodes[:0], True
+    if signature is not None:
+        yield from closed(signature, tag, nodes, wide)
+
+
+def _likeliest(nodes: np.ndarray, labels: np.ndarray, sizes: np.ndarray, maps: list[bytes], failed: list[list[int] | None], most: int, percent: int) -> np.ndarray:
+    """Rows (a, b), a < b: each node's `most` likeliest partners of another label. failed: with which a node is known not to be linked."""
+    words = min(map(len, maps)) // 8
+    bit = np.stack([folded(np.frombuffer(m, U), words) for m in maps])
+    place, out, rows = {n: i for i, n in enumerate(nodes.tolist())}, [], max(1, 4_000_000 // (len(nodes) * words))
+    for at in range(0, len(nodes), rows):
+        some = slice(at, at + rows)
+        differ = np.bitwise_count(bit[some, None] ^ bit[None]).sum(axis=2, dtype=np.int64)
+        bound = allowed(sizes[some, None], sizes[None], percent)
+        possible = (differ <= bound) & (np.abs(sizes[some, None] - sizes[None]) <= bound) & (labels[some, None] != labels[None])
+        if not possible.any():
+            continue
+        for i, known in enumerate(failed[some]):
+            for f in known or ():
+                if f in place:
+                    possible[i, place[f]] = False
+        k = min(most, len(nodes))
+        best = np.argpartition(np.where(possible, differ, np.iinfo(np.int64).max), k - 1, axis=1)[:, :k]
+        i, j = np.nonzero(np.take_along_axis(possible, best, axis=1))
+        x, y = nodes[at + i], nodes[best[i, j]]
+        out.append(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1))
+    return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
+
+
+def _named(batches: Iterator[pa.RecordBatch], most: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Of rows (group, kind, x, y, node, label, n, bits, failed), sorted by the first four: (group, a, b), the pairs that nodes of
+    one block name. Blocks are small and many, so they are read from one stream and not as groups of their own."""
+    held: list[pa.RecordBatch] = []
+
+    def pairs(block: pa.Table) -> np.ndarray:
+        node, label, n = (block.column(c).to_numpy() for c in (4, 5, 6))
+        both = _likeliest(node, label, n, block.column(7).to_pylist(), block.column(8).to_pylist(), most, percent)
+        return np.concatenate([np.full((len(both), 1), block.column(0)[0].as_py()), both], axis=1)
+
+    def found(out: list[np.ndarray]) -> pa.RecordBatch:
+        rows = np.concatenate(out) if out else np.zeros((0, 3), np.int64)
+        return pa.record_batch({name: np.ascontiguousarray(rows[:, k]) for k, name in enumerate(("group", "a", "b"))})
+
+    for batch in batches:
+        if not batch.num_rows:
             continue
-        seen[start] = True
-        group, front = [start], np.array([start])
-        while len(front):
-            reached = linked[front].any(axis=0) & ~seen
-            seen |= reached
-            front = np.flatnonzero(reached)
-            group += front.tolist()
-        out += [(int(nodes[k]), int(nodes[start])) for k in group[1:]]
+        key = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in range(4)], axis=1)
+        starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(axis=1)])).tolist()
+        goes_on = held and all(held[-1].column(c)[held[-1].num_rows - 1] == batch.column(c)[0] for c in range(4))
+        out = []
+        if held and not goes_on:
+            out.append(pairs(pa.Table.from_batches(held)))
+            held = []
+        if len(starts) > 1 and held:
+            out.append(pairs(pa.Table.from_batches([*held, batch.slice(0, starts[1])])))
+            held, starts = [], starts[1:]
+        for a, b in zip(starts, starts[1:], strict=False):
+            out.append(pairs(pa.Table.from_batches([batch.slice(a, b - a)])))
+        held.append(batch.slice(starts[-1]))
+        yield found(out)
+    if held:
+        yield found([pairs(pa.Table.from_batches(held))])
+
+
+def _both(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
+    """pairs (a, b) with n_a, n_b and the column of both nodes."""
+    for side in ("a", "b"):
+        held = sets.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col(column).alias(f"of_{side}"))
+        pairs = pairs.join(held, side)
+    return pairs
+
+
+def _compared(pairs: DataFrame, sets: DataFrame, percent: int, maps_first: bool) -> DataFrame:
+    """pairs (a, b) with `linked`, exactly; with maps_first, only those that pass the filter."""
+
+    @F.pandas_udf("boolean")
+    def possible(n_a: pd.Series, n_b: pd.Series, of_a: pd.Series, of_b: pd.Series) -> pd.Series:
+        out = []
+        for na, nb, a, b in zip(n_a, n_b, of_a, of_b, strict=True):
+            x, y = np.frombuffer(a, U), np.frombuffer(b, U)
+            words = min(len(x), len(y))
+            out.append(int(np.bitwise_count(folded(x, words) ^ folded(y, words)).sum()) <= allowed(na, nb, percent))
+        return pd.Series(out, dtype=bool)
+
+    @F.pandas_udf("boolean")
+    def linked(of_a: pd.Series, of_b: pd.Series) -> pd.Series:
+        out = []
+        for a, b in zip(of_a, of_b, strict=True):
+            x, y = np.frombuffer(a, U), np.frombuffer(b, U)
+            shared = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+            out.append(100 * shared >= percent * (len(x) + len(y) - shared))
+        return pd.Series(out, dtype=bool)
+
+    if maps_first:
+        near = F.abs(F.col("n_a") - F.col("n_b")) <= F.expr(f"(n_a + n_b) * {100 - percent} DIV {100 + percent}")
+        pairs = _both(pairs, sets, "bits").filter(near).filter(possible("n_a", "n_b", "of_a", "of_b")).select("a", "b")
+    return _both(pairs, sets, "shingles").select("a", "b", linked("of_a", "of_b").alias("linked"))
+
+
+def _partners(groups: DataFrame, labels: DataFrame, sets: DataFrame, failed: DataFrame, most: int, percent: int) -> DataFrame:
+    """(group, a, b): the pairs named in groups of more than one label."""
+    labelled = staged(groups.join(labels, "node", "left").select("group", "node", F.coalesce("component", "node").alias("label")), "labelled")
+    each = labelled.groupBy("group", "label").agg(F.count("*").alias("m"))
+    kinds = each.groupBy("group").agg(F.sum("m").alias("all"), F.max("m").alias("m"), F.max_by("label", F.struct("m", "label")).alias("common"), F.count("*").alias("labels"))
+    dealt = labelled.join(kinds.filter("labels > 1"), "group")
+    hashed = "xxhash64(node)"
+    own = f"CAST(pmod({hashed}, ceil(m / {MOST})) AS INT)"  # block of a node with the commonest label
+    others = f"CAST(ceil((all - m) / {MOST}) AS INT)"
+    place = f"CAST(pmod({hashed}, {others}) AS INT)"  # block of another node
+    deal = F.expr(
+        f"CASE WHEN all <= {MOST} THEN array(struct(0 AS kind, 0 AS x, 0 AS y)) "
+        f"WHEN label = common THEN transform(sequence(0, {others} - 1), o -> struct(1 AS kind, {own} AS x, o AS y)) "
+        f"ELSE concat(transform(sequence(0, CAST(ceil(m / {MOST}) AS INT) - 1), b -> struct(1 AS kind, b AS x, {place} AS y)), "
+        f"transform(sequence(0, {others} - 1), o -> struct(2 AS kind, least(o, {place}) AS x, greatest(o, {place}) AS y))) END"
+    )
+    dealt = dealt.select("group", "node", "label", F.inline(deal))
+    known = failed.unionByName(failed.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy(F.col("a").alias("node")).agg(F.collect_list("b").alias("failed"))
+    held = dealt.join(sets.select("node", "n", "bits"), "node").join(known, "node", "left")
+    key = ["group", "kind", "x", "y"]
+    blocks = held.repartition(*key).sortWithinPartitions(*key).select(*key, "node", "label", "n", "bits", "failed")
+    out = staged(blocks.mapInArrow(lambda b: _named(b, most, percent), "group long, a long, b long"), "partners")
+    unstage(labelled)
     return out
 
 
-def join(df: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """(id, n_shingles long, component_id): one row for each row of df; component_id is the least id reachable."""
+def resolve(df: DataFrame, id: str, text: str, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Two staged tables: the rows (_id, _h: hash of the text, n: size of the set, node), and (node, least: of the class, the
+    least (whether the id is null, id, hash of the text))."""
+    spark = df.sparkSession
     docs = df.select(F.col(f"`{id}`").alias("_id"), F.col(f"`{text}`").alias("_text"))
 
     @F.pandas_udf("n long, node long")
-    def sets(texts: pd.Series) -> pd.DataFrame:
+    def measured(texts: pd.Series) -> pd.DataFrame:
         found = [shingles(t, width) for t in texts]
         return pd.DataFrame({"n": [len(s) for s in found], "node": [node(s) for s in found]})
 
-    @F.pandas_udf("binary")
-    def packed(texts: pd.Series) -> pd.Series:
-        return pd.Series([shingles(t, width).tobytes() for t in texts], dtype=object)
-
-    rows = staged(docs.select("_id", sets("_text").alias("_s")).select("_id", "_s.n", "_s.node"), "shingle_sets")
-    nodes = staged(rows.filter("n > 0").groupBy("node").agg(F.min("_id").alias("least"), F.max("n").alias("n")), "nodes")
-
-    salts = 1 + parts(df.sparkSession) // 256
-    signed = docs.select("_text").mapInArrow(lambda b: _signature_rows(b, width, percent), "signature long, node long").withColumn("salt", F.pmod("node", F.lit(salts)))
-    sorted_rows = signed.repartition("signature", "salt").sortWithinPartitions("signature", "node").select("signature", "node")
-    pairs = sorted_rows.mapInArrow(lambda b: _stars(b, False), "a long, b long")
-    if salts > 1:  # each salt's first nodes of a signature meet once more
-        firsts = sorted_rows.mapInArrow(lambda b: _stars(b, True), "signature long, node long")
-        again = firsts.repartition("signature").sortWithinPartitions("signature", "node").mapInArrow(lambda b: _stars(b, False), "a long, b long")
-        pairs = pairs.unionByName(again)
-    candidates = staged(components(pairs, "a", "b").join(nodes, "node"), "candidates")
-
-    weights = candidates.groupBy("component").agg(F.count("*").alias("_m"), F.sum("n").alias("_w"))
-    blocks = F.greatest(F.ceil(F.col("_m") / MOST), F.least(F.lit(FEW), F.ceil(F.col("_m") / BLOCK)), F.ceil(F.col("_w") / SHINGLES)).cast("int")
-    sized = candidates.join(weights.select("component", blocks.alias("_blocks")), "component")
-    sized = sized.hint("merge")  # candidates grow with the corpus; the same plan at every size
-    texts = docs.join(sized, docs["_id"] == sized["least"]).select("node", "component", "_blocks", "_id", packed("_text").alias("_set"))
-    texts = texts.withColumn("_b", F.pmod(F.xxhash64("node"), "_blocks").cast("int"))
-    met = texts.withColumn("_o", F.explode(F.expr("sequence(0, _blocks - 1)"))).select("component", F.least("_b", "_o").alias("_x"), F.greatest("_b", "_o").alias("_y"), "node", "_set")
-
-    def compared(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = [np.frombuffer(s, U) for s in pdf["_set"]]
-        keep = {}  # rows that repeat the least id may hold other texts
-        for k, (n, s) in enumerate(zip(pdf["node"], found, strict=True)):
-            if n == node(s):
-                keep.setdefault(n, k)
-        chosen = list(keep.values())
-        if len(chosen) < 2:
-            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-        linked = _links([found[k] for k in chosen], percent)
-        return pd.DataFrame(_spanning(pdf["node"].to_numpy()[chosen], linked), columns=["a", "b"]).astype(np.int64)
-
-    links = met.groupBy("component", "_x", "_y").applyInPandas(compared, "a long, b long")
-    classes = components(links, "a", "b").join(nodes.select("node", "least"), "node")
-    named = classes.select("node", "component").join(classes.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("node", "component_id")
-    named = staged(nodes.join(named, "node", "left").select("node", F.least("component_id", "least").alias("component_id")), "classes")
-    out = rows.join(named, "node", "left")
-    return out.select(F.col("_id").alias(id), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("_id")).alias("component_id"))
+    @F.pandas_udf("n long, bits binary, shingles binary")
+    def packed(texts: pd.Series) -> pd.DataFrame:
+        found = [shingles(t, width) for t in texts]
+        return pd.DataFrame({"n": [len(s) for s in found], "bits": [bits(s).tobytes() for s in found], "shingles": [s.tobytes() for s in found]})
+
+    rows = staged(docs.select("_id", F.xxhash64("_text").alias("_h"), measured("_text").alias("_s")).select("_id", "_h", "_s.n", "_s.node"), "shingle_sets")
+    first = F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_h"))
+    nodes = staged(rows.filter("n > 0").groupBy("node").agg(first.alias("least")), "nodes")
+
+    salts = parts(spark)
+    signed = docs.select("_text").mapInArrow(lambda b: _signature_rows(b, width, percent, salts), "signature long, tag int, node long")
+    signed = signed.repartition("signature", F.greatest("tag", F.lit(0))).sortWithinPartitions("signature", "tag", "node")
+    groups = staged(signed.mapInArrow(_group_rows, "group long, node long"), "groups")
+    together = groups.dropDuplicates(["group", "node"])
+
+    wanted = groups.select("node").distinct().join(nodes, "node").select("node", "least.*")
+    same = docs["_id"].eqNullSafe(wanted["_id"]) & (F.xxhash64(docs["_text"]) == wanted["_h"])
+    sets = docs.join(wanted, same).select("node", packed("_text").alias("s")).select("node", "s.*")
+    sets = staged(sets.dropDuplicates(["node"]), "sets")  # rows that repeat an id and a text
+
+    heads = together.groupBy("group").agg(F.min("node").alias("b"))
+    stars = groups.join(heads, "group").filter("node > b").select(F.col("node").alias("a"), "b").distinct()
+    known = [staged(_compared(stars, sets, percent, True), "compared")]
+    labels, most, open_groups, pairs = None, 1, together, None
+    while True:
+        links = known[0]
+        for more in known[1:]:
+            links = links.unionByName(more)
+        if labels is not None:
+            unstage(labels)
+        labels = components(links.filter("linked"), "a", "b")
+        before, pairs = pairs, _partners(open_groups, labels, sets, links.filter("NOT linked").select("a", "b"), most, percent)
+        if before is not None:
+            unstage(before)
+        if pairs.isEmpty():
+            break
+        known.append(staged(_compared(pairs.select("a", "b").distinct(), sets, percent, False), "compared"))
+        open_groups, most = together.join(pairs.select("group").distinct(), "group", "left_semi"), most * 4
+
+    of = nodes.join(labels, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
+    least = of.groupBy("component").agg(F.min("least").alias("least"))
+    classes = staged(of.select("node", "component").join(least, "component").select("node", "least"), "classes")
+    unstage(nodes, groups, sets, labels, pairs, *known)
+    return rows, classes
+
+
+def join(df: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """(id, n_shingles long, component_id): one row for each row of df; component_id is the least id reachable."""
+    rows, classes = resolve(df, id, text, width, percent)
+    out = rows.join(classes, "node", "left")
+    return out.select(F.col("_id").alias(id), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least._id")).otherwise(F.col("_id")).alias("component_id"))
+
+
+def first_of_class(df: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of df of which no class has more than one: the one of least id (null ids last, then by a hash of the text).
+    Rows without words belong to no class and all stay."""
+    _, classes = resolve(df, id, text, width, percent)
+    kept = classes.select("least").distinct().select(F.col("least._id").alias("_id_"), F.col("least._h").alias("_h_"))
+    of, wordless = F.col(f"`{text}`"), ~F.coalesce(F.col(f"`{text}`"), F.lit("")).rlike(WORD)
+    chosen = df.filter(~wordless).join(kept, F.col(f"`{id}`").eqNullSafe(F.col("_id_")) & (F.xxhash64(of) == F.col("_h_")), "left_semi")
+    return chosen.dropDuplicates([id, text]).unionByName(df.filter(wordless))
 
 
 def op4_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from fleetlens.llm.graph import components
-from fleetlens.llm.jaccard_join import Bands, join, op4_jaccard_join, shingles
+from fleetlens.llm.jaccard_join import Bands, first_of_class, join, op4_jaccard_join, shingles
 
 
 def sets(text, width):
@@ -59,13 +59,52 @@ def test_all_links_between_classes(spark, width, percent):
 def test_blocks_and_the_query(spark, monkeypatch, tmp_path):
     from fleetlens.llm import jaccard_join
 
-    monkeypatch.setattr(jaccard_join, "BLOCK", 3)
+    monkeypatch.setattr(jaccard_join, "MOST", 5)
     rows = corpus(77, families=4, copies=60)
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in op4_jaccard_join(spark, str(tmp_path)).collect()} == brute(rows, 3, 90)
     assert join(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+@pytest.mark.parametrize("hot, most", [(2, 2048), (2, 4), (3, 7)])
+def test_groups_of_hot_signatures(hot, most, monkeypatch):
+    """Each two sets that share a signature share a group, whatever is dealt out, over batches of any length."""
+    import pyarrow as pa
+
+    from fleetlens.llm import jaccard_join as j
+
+    monkeypatch.setattr(j, "HOT", hot)
+    monkeypatch.setattr(j, "MOST", most)
+    texts = [t for _, t in corpus(5, families=6, copies=30)]
+    plain, rows = {}, []
+    for part in (texts[::2], texts[1::2]):  # two tasks
+        for b in j._signature_rows(iter([pa.record_batch({"t": pa.array(part, pa.string())})]), 3, 80, 3):
+            rows += list(zip(*(c.to_pylist() for c in b.columns)))
+    for s, _, n in rows:
+        plain.setdefault(s, set()).add(n)
+    want = {(a, b) for ns in plain.values() for a in ns for b in ns if a < b}
+    got = {}
+    for task in range(3):
+        mine = sorted(r for r in rows if hash((r[0], max(r[1], 0))) % 3 == task)
+        batches = [pa.record_batch({"s": [r[0] for r in some], "t": pa.array([r[1] for r in some], pa.int32()), "n": [r[2] for r in some]}) for k in range(0, len(mine), 17) if (some := mine[k : k + 17])]
+        for b in j._group_rows(iter(batches)):
+            for g, n in zip(*(c.to_pylist() for c in b.columns)):
+                got.setdefault(g, set()).add(n)
+    assert {(a, b) for ns in got.values() for a in ns for b in ns if a < b} == want
+
+
+def test_rows_without_an_id_or_with_a_repeated_one(spark):
+    words = [f"w{i}" for i in range(40)]
+    rows = [(None, " ".join(words)), (5, " ".join([*words, "more"])), (7, " ".join(words[:-1])), (7, "something else of a few words"), (9, "something else of a few words"), (None, "no copy of this one"), (None, None), (3, "")]
+    got = sorted(join(spark.createDataFrame(rows, "doc_id long, text string"), width=3, percent=90).collect(), key=str)
+    assert [(r.doc_id, r.component_id) for r in got if r.n_shingles > 20] == [(5, 5), (7, 5), (None, 5)]
+    assert [(r.doc_id, r.component_id) for r in got if 0 < r.n_shingles < 20] == [(7, 7), (9, 7), (None, None)]
+    assert [(r.doc_id, r.component_id) for r in got if not r.n_shingles] == [(3, 3), (None, None)]
+    kept = first_of_class(spark.createDataFrame(rows + rows, "doc_id long, text string"), width=3, percent=90).collect()
+    assert sorted((str(r.doc_id), r.text) for r in kept if r.text) == [("5", " ".join([*words, "more"])), ("7", "something else of a few words"), ("None", "no copy of this one")]
+    assert sum(not r.text for r in kept) == 4
+
+
 @pytest.mark.parametrize("percent", [80, 90])
 def test_similar_sets_share_a_signature(percent):
     rng, bands = np.random.default_rng(percent), Bands(percent)
