@@ -1,9 +1,10 @@
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from fleetlens.llm.hamming_search import BITS, Index, op8_hamming_search, search
+from fleetlens.llm.hamming_search import BITS, WORDS, fit, near, op8_hamming_search, plan, retrieve, search, substrings
 
 
 def brute(rows, every, k=10):
@@ -44,10 +45,36 @@ def test_few_candidates(spark):
     assert search(df, F.lit(False)).count() == 0
 
 
-def test_probing_retrieves_every_code_within_the_radius():
-    rng = np.random.default_rng(7)
-    codes = rng.integers(0, 2**63, 3000).astype(np.uint64) * np.uint64(2)
-    for flips in range(0, 30, 3):
-        c = codes[flips] ^ np.uint64(sum(1 << int(b) for b in rng.permutation(BITS)[:flips]))
-        for radius in (flips, flips + 1, 26, 27, 64):
-            assert set(Index(codes).within(c, radius)) == set(np.flatnonzero(np.bitwise_count(codes ^ c) <= radius))
+def code_rows(spark, codes):
+    words = codes.view(np.int64).tolist()
+    return spark.createDataFrame([(i, *w) for i, w in enumerate(words)], "i long, c0 long, c1 long, c2 long, c3 long")
+
+
+@pytest.mark.parametrize("radius, width", [(3, 32), (17, 16), (31, 16), (40, 8), (70, 8), (5, 8)])
+def test_probing_retrieves_every_code_within_the_radius(spark, radius, width):
+    rng = np.random.default_rng(radius)
+    codes = rng.integers(0, 2**63, (400, WORDS)).astype(np.uint64) * np.uint64(2)
+    for i in range(10, 400):  # at all distances from the first ten
+        codes[i] = codes[i % 10]
+        for b in rng.permutation(BITS)[: i // 5]:
+            codes[i, b // 64] ^= np.uint64(1 << int(b % 64))
+    got = [(r.q, r.i) for r in retrieve(code_rows(spark, codes), code_rows(spark, codes[:10]), radius, width).collect()]
+    differ = np.bitwise_count(codes[:10, None] ^ codes[None]).sum(axis=2)
+    assert len(got) == len(set(got)) and set(got) == {(q, i) for q, i in zip(*map(lambda x: x.tolist(), np.nonzero(differ <= radius))) if q != i}
+
+
+def test_few_rows_of_a_clustered_table_are_probed(spark):
+    rng = np.random.default_rng(9)
+    x = np.repeat(rng.normal(size=(600, 64)), 12, axis=0) + 0.1 * rng.normal(size=(7200, 64))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "i long, v array<double>")
+    model = fit(df, "i", "v")
+    width = plan(len(x), 72, model.radius)
+    codes = model.codes(x)
+    keys = substrings(codes, width)
+    probed = []
+    for q in range(0, 7200, 100):
+        close = np.bitwise_count(keys ^ keys[q]) <= np.array(near(model.radius, width))
+        probed.append(close.any(axis=1).mean())
+    assert np.mean(probed) < 0.05
+    got, truth = answers(search(df.toDF("vec_id", "embedding"), F.col("vec_id") % 100 == 0)), brute(list(enumerate(x)), 100)
+    assert sum(len({i for _, i in got[q]} & {i for _, i in truth[q]}) for q in truth) >= 0.9 * sum(map(len, truth.values()))
