@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Ports.
 PEER_PORT, CLIENT_PORT = 2380, 2379
 # Option defaults, in order.
 DEFAULT_ARGS = (
@@ -15,9 +16,10 @@ DEFAULT_ARGS = (
     "--initial-advertise-peer-urls=http://$(POD_NAME).{name}.$(POD_NAMESPACE).svc.cluster.local:2380",
     "--advertise-client-urls=http://$(POD_NAME).{name}.$(POD_NAMESPACE).svc.cluster.local:2379",
 )
-# Nanoseconds of each duration unit; factors of each quantity suffix.
+# Nanoseconds of each duration unit; factors and divisors of the quantity suffixes.
 DURATION_UNITS = {"ns": 1, "us": 1_000, "µs": 1_000, "μs": 1_000, "ms": 1_000_000, "s": 1_000_000_000, "m": 60_000_000_000, "h": 3_600_000_000_000}
-QUANTITY_SUFFIXES = {"": "1", "m": "0.001", "k": "1000", "M": "1000000", "G": "1000000000", "T": "1000000000000", "Ki": "1024", "Mi": "1048576", "Gi": "1073741824", "Ti": "1099511627776"}
+QUANTITY_FACTORS = {"": 1, "k": 10**3, "M": 10**6, "G": 10**9, "T": 10**12, "P": 10**15, "E": 10**18, "Ki": 2**10, "Mi": 2**20, "Gi": 2**30, "Ti": 2**40, "Pi": 2**50, "Ei": 2**60}
+QUANTITY_DIVISORS = {"n": 10**9, "u": 10**6, "m": 10**3}
 
 
 def col(c: str | Column) -> Column:
@@ -57,6 +59,12 @@ def bootstrap_list(name, namespace, replicas) -> Column:
     return F.array_join(F.transform(_ordinals(replicas), lambda i: F.concat(member_name(name, i), F.lit("="), peer_endpoint(name, namespace, i))), ",")
 
 
+def bootstrap_config(name, namespace, replicas, data_dir: str = "/var/lib/kv") -> Column:
+    """The map of settings that a workload of that many replicas should have."""
+    pairs = (("state", bootstrap_state(replicas)), ("members", bootstrap_list(name, namespace, replicas)), ("data_dir", F.lit(data_dir)))
+    return F.create_map(*[x for k, v in pairs for x in (F.lit(k), v)])
+
+
 def arg_name(option) -> Column:
     s = col(option)
     return F.when(F.instr(s, "=") > 0, F.substring_index(s, "=", 1)).when(F.instr(s, " ") > 0, F.substring_index(s, " ", 1)).otherwise(F.trim(s))
@@ -97,30 +105,38 @@ def hex_id(id) -> Column:
 
 
 def duration_ns(text, default_ns: int) -> Column:
-    """Nanoseconds; the default for empty text; null where the text is no duration. Days are no unit."""
+    """Nanoseconds; the default for empty text; null where the text is no duration. Days are no unit. Whole numbers and
+    fractions (of up to 18 digits) are multiplied by the unit one by one, and what is less than a nanosecond is cut off."""
     t = col(text)
     unit = "(?:ns|us|µs|μs|ms|s|m|h)"
     parts = F.regexp_extract_all(t, F.lit(rf"([0-9]+\.?[0-9]*|\.[0-9]+){unit}"), F.lit(0))
-    factor = F.create_map(*[x for u, n in DURATION_UNITS.items() for x in (F.lit(u), F.lit(n).cast("decimal(20,0)"))])
+    factor = F.create_map(*[x for u, n in DURATION_UNITS.items() for x in (F.lit(u), F.lit(n).cast("decimal(14,0)"))])
 
     def value(part: Column) -> Column:
-        number = F.regexp_extract(part, r"^[0-9.]+", 0).try_cast("decimal(20,6)")
-        return (number * F.try_element_at(factor, F.regexp_extract(part, r"[^0-9.]+$", 0))).cast("decimal(38,6)")
+        unit_ns = F.try_element_at(factor, F.regexp_extract(part, r"[^0-9.]+$", 0))
+        whole = F.concat(F.lit("0"), F.regexp_extract(part, r"^[0-9]*", 0)).try_cast("decimal(20,0)") * unit_ns
+        below = F.concat(F.lit("0."), F.substring(F.regexp_extract(part, r"\.([0-9]*)", 1), 1, 18), F.lit("0")).try_cast("decimal(18,18)")
+        return (whole + F.floor(below * unit_ns)).cast("decimal(38,0)")
 
-    total = F.aggregate(parts, F.lit(0).cast("decimal(38,6)"), lambda a, p: (a + value(p)).cast("decimal(38,6)"))
+    total = F.aggregate(parts, F.lit(0).cast("decimal(38,0)"), lambda a, p: (a + value(p)).cast("decimal(38,0)"))
     signed = F.when(F.startswith(t, F.lit("-")), -total).otherwise(total).try_cast("bigint")
     return F.when(t == "", F.lit(default_ns).cast("bigint")).when(t.isin("0", "+0", "-0"), F.lit(0).cast("bigint")).when(t.rlike(rf"^[+-]?(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+){unit})+$"), signed)
 
 
 def quantity(text) -> Column:
-    """decimal(38,3) units; null where the text is no quantity."""
+    """decimal(38,9) units; null where the text is no quantity. Exponents may have a fraction."""
     t = col(text)
-    number = F.regexp_extract(t, r"^([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+))", 1).try_cast("decimal(24,3)")
+    number = F.regexp_extract(t, r"^([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+))", 1)
     suffix = F.regexp_extract(t, r"^[+-]?[0-9.]+(.*)$", 1)
-    factor = F.create_map(*[x for s, f in QUANTITY_SUFFIXES.items() for x in (F.lit(s), F.lit(f).cast("decimal(20,3)"))])
-    exponent = F.regexp_extract(suffix, r"^[eE]([+-]?[0-9]+)$", 1).try_cast("int")
-    scale = F.when(suffix.rlike(r"^[eE][+-]?[0-9]+$"), F.pow(F.lit(10.0), exponent).try_cast("decimal(20,3)")).otherwise(F.try_element_at(factor, suffix))
-    return F.when(t.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)(m|k|M|G|T|Ki|Mi|Gi|Ti|[eE][+-]?[0-9]+)?$"), (number * scale).try_cast("decimal(38,3)"))
+    pick = lambda table, kind: F.try_element_at(F.create_map(*[x for k, v in table.items() for x in (F.lit(k), F.lit(str(v)).cast(kind))]), suffix)
+    factor = pick(QUANTITY_FACTORS, "decimal(19,0)")
+    large = number.try_cast("decimal(18,9)") * factor
+    huge = number.try_cast("decimal(25,6)") * factor  # of more than nine digits before the point
+    small = number.try_cast("decimal(28,9)") / pick(QUANTITY_DIVISORS, "decimal(10,0)")
+    exponent = F.regexp_extract(suffix, r"^[eE]([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+))$", 1).try_cast("double")
+    power = number.try_cast("double") * F.pow(F.lit(10.0), exponent)
+    units = F.coalesce(*[x.try_cast("decimal(38,9)") for x in (large, huge, small, power)])
+    return F.when(t.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([KMGTPE]i|[numkMGTPE]|[eE][+-]?([0-9]+\.?[0-9]*|\.[0-9]+))?$"), units)
 
 
 _SEMVER = r"^(0|[1-9][0-9]*)\.(0|[1-9][0-9]*)\.(0|[1-9][0-9]*)(?:-[0-9A-Za-z.-]+)?(?:\+[0-9A-Za-z.-]+)?$"

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.functions.scalar import hex_id, image_tag, peer_endpoint, quorum, semver
-from fleetlens.operators.members import KEY, member_summary, probe_summary
+from fleetlens.operators.members import KEY, member_summary, probe_summary, status_members
+from fleetlens.operators.rules import missing_keys, not_ready
 
 
 def cases(*pairs: tuple[Column, object], otherwise=None) -> Column:
@@ -18,7 +19,6 @@ def cases(*pairs: tuple[Column, object], otherwise=None) -> Column:
 
 def upgrade_verdict(clusters: DataFrame, workloads: DataFrame, line: DataFrame) -> DataFrame:
     """Current tag against wanted version. line(major, minor, idx): the versions in order, a few rows."""
-    line = F.broadcast(line)
     j = clusters.select(KEY, F.col("version").alias("target")).join(workloads.select(KEY, "image"), KEY)
     j = j.withColumn("current", image_tag("image")).withColumn("c", semver("current")).withColumn("t", semver("target"))
     at = lambda side, name: line.select(F.col("major").alias(f"{side}_a"), F.col("minor").alias(f"{side}_b"), F.col("idx").alias(name))
@@ -93,18 +93,32 @@ def next_action(state: DataFrame, verdicts: DataFrame, victim: str = "last_by_te
     )
 
 
-def cluster_status(state: DataFrame, previous: DataFrame) -> DataFrame:
+def cluster_status(state: DataFrame, previous: DataFrame, members: DataFrame, probes: DataFrame) -> DataFrame:
+    """One row for each cluster, with `members`: an array of (position, id, name, is_healthy, version, is_leader, is_learner)."""
     first = F.when(F.col("first_probe.has_status"), F.col("first_probe.version"))
-    s = state.join(previous, KEY, "left")
+    s = state.join(previous, KEY, "left").join(status_members(members, probes).withColumnRenamed("members", "_each"), KEY, "left")
     return s.select(
         KEY, F.col("generation").alias("observed_generation"), F.coalesce("replicas", F.lit(0)).alias("current_replicas"), F.coalesce("ready_replicas", F.lit(0)).alias("ready_replicas"),
-        F.col("members").alias("member_count"), hex_id(F.col("leader.member_id")).alias("leader_id"), F.coalesce("leader.version", first, "previous").alias("current_version"),
+        F.col("members").alias("member_count"), hex_id(F.col("leader.member_id")).alias("leader_id"), F.coalesce("leader.version", first, "previous").alias("current_version"), F.col("_each").alias("members"),
     )
 
 
-def cert_verdict(certs: DataFrame, as_of: str, checks_status: bool = True, strict: bool = False) -> DataFrame:
-    """The first failing check of each secret: status, keys, window (both ends count as valid)."""
+def condition_summary(conditions: DataFrame) -> DataFrame:
+    """How many clusters are in each combination of the three conditions."""
+    of = lambda kind: F.max(F.when(F.col("type") == kind, F.col("status")))
+    each = conditions.groupBy(KEY).agg(of("Available").alias("available"), of("Progressing").alias("progressing"), of("Degraded").alias("degraded"))
+    return each.groupBy("available", "progressing", "degraded").agg(F.count("*").alias("clusters"))
+
+
+def cert_verdict(expected: DataFrame, certs: DataFrame, as_of: str, strict: bool = False) -> DataFrame:
+    """expected(KEY, secret_name, provider): the first failing check of each secret, in this order: missing, status (only a
+    certificate manager's; strict: Ready must be True), keys, window (both ends count as valid)."""
     now = F.lit(as_of).cast("timestamp_ntz")
-    pending = [(F.col("first_condition") == "Issuing", "pending"), (~F.col("first_condition").isin("Ready", "Issuing"), "unknown_status")] if checks_status else []
-    verdict = cases(*pending, (~F.col("has_key"), "no_key"), (F.col("not_before") > now, "not_yet"), (F.col("not_after") < now, "expired"), otherwise="ok")
-    return certs.select(KEY, "secret_name", verdict.alias("verdict"))
+    there = certs.select(KEY, "secret_name", "first_condition", "first_status", "data_keys", "not_before", "not_after")
+    status = F.when(F.col("provider") == "cert-manager", not_ready(strict))
+    keys = missing_keys(F.col("data_keys"))
+    verdict = cases(
+        (F.col("data_keys").isNull(), "missing"), (status == "pending", "pending"), (status.isNotNull(), "unknown_status"), (keys.startswith("tls.crt"), "no_cert"), (keys != "", "no_key"),
+        (F.col("not_before") > now, "not_yet"), (F.col("not_after") < now, "expired"), otherwise="ok",
+    )
+    return expected.join(there, [KEY, "secret_name"], "left").select(KEY, "secret_name", verdict.alias("verdict"))

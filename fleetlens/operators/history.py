@@ -16,10 +16,11 @@ def condition_transitions(rows: DataFrame, key: list[str], order: list[str], sta
 
 def time_to_ready(changes: DataFrame, ready: DataFrame, deadline: str, key: str = "cluster_id") -> DataFrame:
     """changes(key, change_id, ts), ready(key, ts): the first ready time within the deadline; null where none came.
-    An equi-join on the key with a range condition, so it is hashed, never a bare nested loop."""
-    r = ready.select(F.col(key).alias("_k"), F.col("ts").alias("_t"))
-    on = (F.col(key) == F.col("_k")) & (F.col("_t") >= F.col("ts")) & (F.col("_t") <= F.col("ts") + F.expr(f"INTERVAL {deadline}"))
-    out = changes.join(r, on, "left").groupBy(key, "change_id", "ts").agg(F.min("_t").alias("ready_at"))
+    Both stand in one window of the key, in order of time, so that a change meets its first report and not each of them."""
+    both = changes.select(key, "change_id", "ts", F.lit(None).cast(ready.schema["ts"].dataType).alias("_t"), F.lit(True).alias("_c"))
+    both = both.unionByName(ready.select(key, F.lit(None).cast(changes.schema["change_id"].dataType).alias("change_id"), "ts", F.col("ts").alias("_t"), F.lit(False).alias("_c")))
+    first = F.expr(f"min(_t) OVER (PARTITION BY `{key}` ORDER BY ts RANGE BETWEEN CURRENT ROW AND INTERVAL {deadline} FOLLOWING)")
+    out = both.withColumn("ready_at", first).filter("_c").select(key, "change_id", "ts", "ready_at").distinct()
     return out.withColumn("timed_out", F.col("ready_at").isNull())
 
 

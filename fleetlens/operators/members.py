@@ -75,10 +75,23 @@ def pair(members: DataFrame, probes: DataFrame, mode: str = "id") -> DataFrame:
 
 
 def pairing_audit(members: DataFrame, probes: DataFrame) -> DataFrame:
-    """Members whose probe by position isn't their probe by id."""
-    by_id = pair(members, probes).select(KEY, "member_id", F.col("endpoint").alias("by_id"))
-    by_place = pair(members, probes, "position").select(KEY, "member_id", F.col("endpoint").alias("by_position"))
-    return by_id.join(by_place, [KEY, "member_id"]).filter(~F.col("by_id").eqNullSafe(F.col("by_position")))
+    """Members whose probe by position isn't their probe by id. Both pairings come from a cluster's probes as one sorted list (of
+    one cluster: a few entries), so members and probes meet once."""
+    each = F.struct("endpoint", F.col("member_id").alias("id"))
+    lists = probes.groupBy(F.col(KEY).alias("k")).agg(F.array_sort(F.collect_list(each)).alias("p"))
+    both = members.select(KEY, "member_id", "position").join(lists, F.col(KEY) == F.col("k"), "left")
+    by_id = F.get(F.filter("p", lambda x: x["id"] == F.col("member_id")), F.lit(0))["endpoint"]
+    out = both.select(KEY, "member_id", by_id.alias("by_id"), F.get("p", F.col("position").cast("int"))["endpoint"].alias("by_position"))
+    return out.filter(~F.col("by_id").eqNullSafe(F.col("by_position")))
+
+
+def status_members(members: DataFrame, probes: DataFrame) -> DataFrame:
+    """(KEY, members): a cluster's members by position, with what their probe (by id) says; without one a member isn't healthy."""
+    p = probes.filter("member_id IS NOT NULL").select(KEY, "member_id", "health", "version", (F.col("leader") == F.col("member_id")).alias("leads"))
+    j = members.select(KEY, "member_id", "position", "member_name", "is_learner").join(p, [KEY, "member_id"], "left")
+    no = lambda c: F.coalesce(c, F.lit(False))
+    one = F.struct("position", hex_id("member_id").alias("id"), F.col("member_name").alias("name"), no("health").alias("is_healthy"), "version", no("leads").alias("is_leader"), no("is_learner").alias("is_learner"))
+    return j.groupBy(KEY).agg(F.array_sort(F.collect_list(one)).alias("members"))
 
 
 def probe_targets(workloads: DataFrame, members: DataFrame) -> DataFrame:

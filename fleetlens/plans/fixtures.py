@@ -58,8 +58,9 @@ VIEWS: dict[str, str] = {
     "fx_kv_hashes": "SELECT cluster_id, member_name AS endpoint, CASE WHEN l_quantity = 50 THEN 1 ELSE 0 END AS hash FROM fx_members",
     "fx_certs": """
         SELECT c.cluster_id, c.uid, c.namespace, concat(c.name, '-', k.purpose, '-tls') AS secret_name, k.purpose, c.observed_at AS not_before,
-          CASE WHEN c.uid % 2 = 0 THEN c.observed_at + INTERVAL '365' DAY ELSE c.observed_at + INTERVAL '90' DAY END AS not_after, c.uid % 29 <> 0 AS has_key,
-          CASE WHEN c.uid % 37 = 0 THEN 'Issuing' WHEN c.uid % 43 = 0 THEN 'Denied' ELSE 'Ready' END AS first_condition
+          CASE WHEN c.uid % 2 = 0 THEN c.observed_at + INTERVAL '365' DAY ELSE c.observed_at + INTERVAL '90' DAY END AS not_after, 
+          CASE WHEN c.uid % 29 = 0 THEN 'tls.crt' WHEN c.uid % 31 = 0 THEN 'tls.key' WHEN c.uid % 47 = 0 THEN '' ELSE 'ca.crt,tls.crt,tls.key' END AS key_names, CASE WHEN c.uid % 41 = 0 THEN 'False' ELSE 'True' END AS first_status,
+          CASE WHEN c.uid % 37 = 0 THEN 'Issuing' WHEN c.uid % 43 = 0 THEN 'Denied' WHEN c.uid % 53 = 0 THEN NULL ELSE 'Ready' END AS first_condition
         FROM fx_clusters c, (SELECT DISTINCT CASE WHEN r_regionkey % 3 = 0 THEN 'client' WHEN r_regionkey % 3 = 1 THEN 'server' ELSE 'peer' END AS purpose FROM {region}) k
         WHERE NOT (c.uid % 17 = 0 AND k.purpose = 'peer')""",
     "fx_history": """
@@ -72,28 +73,30 @@ VIEWS: dict[str, str] = {
             CASE WHEN p_partkey % 3 = 0 THEN '=' WHEN p_partkey % 3 = 1 THEN ' ' ELSE '' END, CASE WHEN p_partkey % 3 = 2 THEN '' ELSE concat('v', p_size) END) AS option_text
         FROM {part}""",
     "fx_texts": """
-        SELECT event_id AS text_id, CASE event_id % 8 WHEN 0 THEN '' WHEN 1 THEN concat(user_id, 'h', event_id % 60, 'm') WHEN 2 THEN concat(event_id % 90, '.5s') WHEN 3 THEN '365d'
+        SELECT event_id AS text_id, CASE event_id % 8 WHEN 0 THEN '' WHEN 1 THEN concat(user_id, 'h', event_id % 60, 'm') WHEN 2 THEN concat(event_id % 90, '.5s') WHEN 3 THEN CASE event_id % 24 WHEN 3 THEN '0.0000001h' WHEN 11 THEN '-1.0000000019s.5us' ELSE '365d' END
             WHEN 4 THEN concat('-', event_id % 50, 'ms') WHEN 5 THEN concat(event_id, 'us', event_id % 9, 'ns') WHEN 6 THEN '1h 3m' ELSE concat(user_id, 'h') END AS duration_text,
           CASE event_id % 7 WHEN 0 THEN concat(user_id, 'Mi') WHEN 1 THEN concat(event_id % 40, 'Gi') WHEN 2 THEN concat(event_id % 90, '.5Ki') WHEN 3 THEN concat(user_id, 'M')
-            WHEN 4 THEN concat(event_id % 13, 'e3') WHEN 5 THEN 'many' ELSE concat(event_id, 'm') END AS quantity_text,
+            WHEN 4 THEN CASE WHEN event_id % 2 = 0 THEN concat(event_id % 13, 'e3') ELSE '4e1.5' END WHEN 5 THEN CASE event_id % 8 WHEN 0 THEN 'many' WHEN 1 THEN '3Pi' WHEN 2 THEN '7Ei' WHEN 3 THEN '2P' WHEN 4 THEN '8E' WHEN 5 THEN '1500u' WHEN 6 THEN '64n' ELSE '1KI' END ELSE concat(event_id, 'm') END AS quantity_text,
           CASE event_id % 6 WHEN 0 THEN concat('v3.5.', event_id % 30) WHEN 1 THEN 'latest' WHEN 2 THEN concat('3.', event_id % 9) WHEN 3 THEN concat('3.6.', event_id % 20, '-rc.', user_id)
             WHEN 4 THEN concat('04.1.', event_id) ELSE concat(event_id % 5, '.', event_id % 8, '.', event_id) END AS version_text
         FROM {events}""",
     "fx_specs": """
         SELECT cluster_id, uid, namespace, name, CASE WHEN uid % 13 = 0 THEN NULL ELSE CAST(uid % 4 - 1 AS INT) END AS size, CASE WHEN uid % 17 = 0 THEN NULL ELSE version END AS version,
-          uid % 3 <> 0 AS has_storage, CASE uid % 5 WHEN 0 THEN 1024 ELSE uid % 5 * 1048576 END AS request_bytes, CASE WHEN uid % 7 = 0 THEN 0 ELSE uid * 1000 END AS limit_bytes,
+          uid % 3 <> 0 AS has_storage, CASE uid % 5 WHEN 0 THEN '1Ki' WHEN 1 THEN '1Mi' WHEN 2 THEN '2097152' WHEN 3 THEN '1048575999m' ELSE '0.25Gi' END AS request_text, CASE WHEN uid % 7 = 0 THEN '0' ELSE concat(uid, 'k') END AS limit_text,
           CASE uid % 4 WHEN 0 THEN '' WHEN 1 THEN 'ReadWriteOnce' WHEN 2 THEN 'ReadWriteMany' ELSE 'ReadOnlyMany' END AS access_mode, CASE WHEN uid % 6 < 3 THEN '' ELSE concat('pvc-', name) END AS pvc_name,
           uid % 9 <> 0 AS has_tls, CASE uid % 8 WHEN 0 THEN 'auto' WHEN 1 THEN 'cert-manager' WHEN 2 THEN 'other' ELSE '' END AS provider, uid % 10 < 7 AS has_auto, uid % 10 > 2 AS has_manager,
-          CASE WHEN uid % 11 = 0 THEN NULL ELSE CASE uid % 3 WHEN 0 THEN 'Issuer' WHEN 1 THEN 'ClusterIssuer' ELSE 'Vault' END END AS issuer_kind, concat('ca-', uid % 12) AS issuer_name,
-          CASE uid % 4 WHEN 0 THEN '' WHEN 1 THEN '8760h' WHEN 2 THEN '100h' ELSE '20000h' END AS validity, CASE WHEN uid % 5 = 0 THEN '' ELSE concat(repeat('n', CAST(uid % 70 AS INT)), '.', name) END AS common_name,
-          CASE WHEN uid % 6 = 0 THEN concat('*.', name) ELSE NULL END AS dns_name
+          CASE WHEN uid % 11 = 0 THEN NULL ELSE CASE uid % 3 WHEN 0 THEN 'Issuer' WHEN 1 THEN 'ClusterIssuer' ELSE 'Vault' END END AS issuer_kind, CASE WHEN uid % 14 = 3 THEN NULL ELSE concat('ca-', uid % 12) END AS issuer_name,
+          CASE uid % 4 WHEN 0 THEN CASE WHEN uid % 16 = 0 THEN '0s' ELSE '' END WHEN 1 THEN '8760h' WHEN 2 THEN '100h' ELSE '20000h' END AS validity, CASE WHEN uid % 5 = 0 THEN '' ELSE concat(repeat('n', CAST(uid % 70 AS INT)), '.', name) END AS common_name,
+          CASE WHEN uid % 6 = 0 THEN concat('*.', name) ELSE NULL END AS dns_name, CASE WHEN uid % 4 = 2 THEN concat('10.0.', uid % 200, '.', uid % 7) ELSE NULL END AS ip_address,
+          CASE WHEN uid % 7 = 5 THEN NULL ELSE concat('org ', uid % 3) END AS organisation
         FROM fx_clusters""",
     "fx_issuers": """
         SELECT DISTINCT CASE WHEN c_nationkey % 2 = 0 THEN 'Issuer' ELSE 'ClusterIssuer' END AS kind, CASE WHEN c_nationkey % 2 = 0 THEN concat('ns-', c_custkey % 25) ELSE NULL END AS namespace, concat('ca-', c_custkey % 9) AS name
         FROM {customer}""",
     "fx_conditions": """
-        SELECT event_id AS condition_id, floor(user_id / 3) AS cluster_id, CASE event_id % 5 WHEN 0 THEN 'Available' WHEN 1 THEN 'apps.example/Ready' WHEN 2 THEN '-bad' WHEN 3 THEN 'Degraded' ELSE 'a/b/c' END AS type,
-          CASE event_id % 4 WHEN 0 THEN 'True' WHEN 1 THEN 'False' WHEN 2 THEN 'Unknown' ELSE 'yes' END AS status, CASE event_id % 3 WHEN 0 THEN 'ClusterReady' WHEN 1 THEN '9lives' ELSE '' END AS reason,
+        SELECT event_id AS condition_id, floor(user_id / 3) AS cluster_id, CASE event_id % 5 WHEN 0 THEN 'Available' WHEN 1 THEN 'apps.example/Ready' WHEN 2 THEN '-bad' WHEN 3 THEN CASE WHEN event_id % 15 = 3 THEN repeat('T', 317) WHEN event_id % 15 = 8 THEN NULL ELSE 'Degraded' END ELSE 'a/b/c' END AS type,
+          CASE event_id % 4 WHEN 0 THEN 'True' WHEN 1 THEN 'False' WHEN 2 THEN 'Unknown' ELSE 'yes' END AS status, CASE event_id % 3 WHEN 0 THEN 'ClusterReady' WHEN 1 THEN '9lives' ELSE CASE WHEN event_id % 9 = 2 THEN repeat('r', 1025) WHEN event_id % 9 = 5 THEN repeat('r', 1024) ELSE '' END END AS reason,
+          CASE WHEN event_id % 11 = 0 THEN NULL ELSE ts END AS transition_at,
           repeat('m', CAST(event_id % 50 AS INT) * 700) AS message, event_id % 6 - 1 AS observed_generation
         FROM {events}""",
     "fx_answers": """

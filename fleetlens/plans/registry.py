@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from fleetlens.functions import scalar as s
 from fleetlens.operators import decisions, history, members, rules
 from fleetlens.plans.fixtures import view, with_views
+from fleetlens.sources import readers
+from fleetlens.sources.shared import folder
 
 AS_OF = "1998-01-01 00:00:00"
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,8 +65,8 @@ query("client_endpoints", "fx_workloads", sql=f"""
 )
 query("bootstrap_config", "fx_workloads", sql=f"""
     SELECT cluster_id, CASE WHEN replicas <= 1 THEN 'new' ELSE 'existing' END AS state,
-      coalesce((SELECT string_agg(concat(name, '-', i, '=', {url('name', 'namespace', 'i', 2380)}), ',' ORDER BY i) FROM (SELECT unnest(range(replicas)) AS i) q), '') AS members
-    FROM fx_workloads""")(lambda w: w.select("cluster_id", s.bootstrap_state("replicas").alias("state"), s.bootstrap_list("name", "namespace", "replicas").alias("members")))
+      coalesce((SELECT string_agg(concat(name, '-', i, '=', {url('name', 'namespace', 'i', 2380)}), ',' ORDER BY i) FROM (SELECT unnest(range(replicas)) AS i) q), '') AS members, '/var/lib/kv' AS data_dir
+    FROM fx_workloads""")(lambda w: w.select("cluster_id", s.bootstrap_config("name", "namespace", "replicas").alias("c")).select("cluster_id", *[F.col("c")[k].alias(k) for k in ("state", "members", "data_dir")]))
 
 ARG = "CASE WHEN instr({o}, '=') > 0 THEN split_part({o}, '=', 1) WHEN instr({o}, ' ') > 0 THEN split_part({o}, ' ', 1) ELSE trim({o}) END"
 query("arg_name", "fx_options", sql=f"SELECT option_id, {ARG.format(o='option_text')} AS arg FROM fx_options")(lambda o: o.select("option_id", s.arg_name("option_text").alias("arg")))
@@ -85,11 +87,11 @@ EFFECTIVE = f"""d AS (SELECT * FROM (VALUES {_defaults}) t(k, arg)),
 query("effective_args", "fx_clusters", "fx_options", sql=f"WITH {EFFECTIVE} SELECT * FROM effective")(lambda c, o: _with_args(c, o).select("cluster_id", F.posexplode("args").alias("position", "arg")))
 query("rule_args_drift", "fx_clusters", "fx_options", sql=f"""
     WITH {EFFECTIVE}, flat AS (SELECT cluster_id, string_agg(arg, ' ' ORDER BY position) AS expected FROM effective GROUP BY cluster_id)
-    SELECT cluster_id, expected, CASE WHEN cluster_id % 3 = 0 THEN concat(expected, ' --extra') ELSE expected END AS deployed FROM flat WHERE cluster_id % 3 = 0""")(
+    SELECT cluster_id, expected, CASE WHEN cluster_id % 3 = 0 THEN concat(expected, ' --extra') ELSE expected END AS deployed, '' AS missing, '--extra' AS extra FROM flat WHERE cluster_id % 3 = 0""")(
     lambda c, o: _with_args(c, o)
     .withColumn("deployed_args", F.when(F.col("cluster_id") % 3 == 0, F.concat("args", F.array(F.lit("--extra")))).otherwise(F.col("args")))
     .filter(~F.col("args").eqNullSafe(F.col("deployed_args")))
-    .select("cluster_id", F.array_join("args", " ").alias("expected"), F.array_join("deployed_args", " ").alias("deployed"))
+    .select("cluster_id", F.array_join("args", " ").alias("expected"), F.array_join("deployed_args", " ").alias("deployed"), F.array_join(F.array_except("args", "deployed_args"), " ").alias("missing"), F.array_join(F.array_except("deployed_args", "args"), " ").alias("extra"))
 )
 query("merge_labels", "fx_clusters", sql="""
     SELECT cluster_id, 'app' AS label, name AS value FROM fx_clusters UNION ALL SELECT cluster_id, 'controller', name FROM fx_clusters
@@ -111,12 +113,13 @@ query("image_tag", "fx_workloads", sql="SELECT cluster_id, CASE WHEN instr(i, ':
 query("hex_id", "fx_members", sql="SELECT member_id, format('{:x}', CAST(member_id AS UBIGINT)) AS hex FROM fx_members")(lambda m: m.select("member_id", s.hex_id("member_id").alias("hex")))
 query("parse_duration", "fx_texts", sql="""
     SELECT text_id, CASE text_id % 8 WHEN 0 THEN 7776000000000000 WHEN 1 THEN CAST(regexp_extract(duration_text, '^([0-9]+)h', 1) AS BIGINT) * 3600000000000 + text_id % 60 * 60000000000
-      WHEN 2 THEN text_id % 90 * 1000000000 + 500000000 WHEN 4 THEN -(text_id % 50) * 1000000 WHEN 5 THEN text_id * 1000 + text_id % 9 WHEN 7 THEN CAST(regexp_extract(duration_text, '^([0-9]+)h', 1) AS BIGINT) * 3600000000000 END AS ns FROM fx_texts""")(
+      WHEN 2 THEN text_id % 90 * 1000000000 + 500000000 WHEN 3 THEN CASE duration_text WHEN '0.0000001h' THEN 360000 WHEN '-1.0000000019s.5us' THEN -1000000501 END WHEN 4 THEN -(text_id % 50) * 1000000 WHEN 5 THEN text_id * 1000 + text_id % 9 WHEN 7 THEN CAST(regexp_extract(duration_text, '^([0-9]+)h', 1) AS BIGINT) * 3600000000000 END AS ns FROM fx_texts""")(
     lambda t: t.select("text_id", s.duration_ns("duration_text", rules.QUARTER_NS).alias("ns"))
 )
 query("parse_quantity", "fx_texts", sql="""
     SELECT text_id, CAST(CASE text_id % 7 WHEN 0 THEN CAST(replace(quantity_text, 'Mi', '') AS DOUBLE) * 1048576 WHEN 1 THEN CAST(text_id % 40 AS DOUBLE) * 1073741824 WHEN 2 THEN (text_id % 90 + 0.5) * 1024
-      WHEN 3 THEN CAST(replace(quantity_text, 'M', '') AS DOUBLE) * 1000000 WHEN 4 THEN text_id % 13 * 1000.0 WHEN 6 THEN text_id / 1000.0 END AS DOUBLE) AS units FROM fx_texts""")(
+      WHEN 3 THEN CAST(replace(quantity_text, 'M', '') AS DOUBLE) * 1000000 WHEN 4 THEN CASE WHEN quantity_text = '4e1.5' THEN 126.491106407 ELSE text_id % 13 * 1000.0 END
+      WHEN 5 THEN CASE quantity_text WHEN '3Pi' THEN 3377699720527872 WHEN '7Ei' THEN 8070450532247928832 WHEN '2P' THEN 2000000000000000 WHEN '8E' THEN 8000000000000000000 WHEN '1500u' THEN 0.0015 WHEN '64n' THEN 0.000000064 END WHEN 6 THEN text_id / 1000.0 END AS DOUBLE) AS units FROM fx_texts""")(
     lambda t: t.select("text_id", s.quantity("quantity_text").cast("double").alias("units"))
 )
 SEM = "regexp_extract({c}, '^(0|[1-9][0-9]*)\\.(0|[1-9][0-9]*)\\.(0|[1-9][0-9]*)(-[0-9A-Za-z.-]+)?(\\+[0-9A-Za-z.-]+)?$', {i})"
@@ -133,16 +136,22 @@ query("cert_secret_names", "fx_clusters", sql="SELECT cluster_id, purpose, conca
 
 @query("cert_request", "fx_specs", sql="""
     SELECT cluster_id, p AS provider, CASE WHEN has_cfg THEN common_name ELSE fqdn END AS common_name,
-      CASE WHEN has_cfg AND dns_name IS NOT NULL THEN dns_name ELSE concat('*.', fqdn, ',', fqdn) END AS dns_names, CASE WHEN p = 'auto' THEN 31536000000000000 ELSE 7776000000000000 END AS default_ns,
-      CASE WHEN p = 'cert-manager' AND has_cfg THEN issuer_kind END AS issuer_kind
+      CASE WHEN has_cfg AND dns_name IS NOT NULL THEN dns_name ELSE concat('*.', fqdn, ',', fqdn) END AS dns_names, CASE WHEN has_cfg THEN coalesce(ip_address, '') ELSE '' END AS ip_addresses, CASE WHEN has_cfg THEN organisation END AS organisation,
+      CASE WHEN has_cfg AND validity = '8760h' THEN 31536000000000000 WHEN has_cfg AND validity = '100h' THEN 360000000000000 WHEN has_cfg AND validity = '20000h' THEN 72000000000000000 WHEN p = 'auto' THEN 31536000000000000 ELSE 7776000000000000 END AS validity_ns,
+      CASE WHEN has_cfg AND validity = '100h' THEN 0 WHEN has_cfg AND validity = '20000h' THEN 2 WHEN has_cfg AND validity = '8760h' OR p = 'auto' THEN 1 ELSE 0 END AS validity_years,
+      CASE WHEN p = 'cert-manager' AND has_cfg THEN issuer_kind END AS issuer_kind, CASE WHEN p = 'cert-manager' AND has_cfg THEN issuer_name END AS issuer_name
     FROM (SELECT *, CASE WHEN p = 'auto' THEN has_auto ELSE has_manager END AS has_cfg FROM (SELECT *, CASE WHEN provider = '' THEN 'auto' ELSE provider END AS p, concat(name, '.', namespace, '.svc.cluster.local') AS fqdn FROM fx_specs WHERE has_tls) q) q2""")
 def cert_request(c: DataFrame) -> DataFrame:
+    """What is asked of the provider. Addresses are passed on as they are; a validity of zero is the provider's default."""
     c = c.filter("has_tls").withColumn("p", s.default_registry("provider", "auto")).withColumn("fqdn", F.concat(F.concat_ws(".", "name", "namespace"), F.lit(".svc.cluster.local")))
     c = c.withColumn("cfg", F.when(F.col("p") == "auto", F.col("has_auto")).otherwise(F.col("has_manager")))
+    default = F.when(F.col("p") == "auto", rules.YEAR_NS).otherwise(rules.QUARTER_NS).cast("bigint")
+    validity = F.coalesce(F.nullif(F.when(F.col("cfg"), s.duration_ns("validity", 0)), F.lit(0)), default)
     names = F.when(F.col("cfg") & F.col("dns_name").isNotNull(), F.array("dns_name")).otherwise(F.array(F.concat(F.lit("*."), "fqdn"), F.col("fqdn")))
     return c.select(
         "cluster_id", F.col("p").alias("provider"), F.when(F.col("cfg"), F.col("common_name")).otherwise(F.col("fqdn")).alias("common_name"), F.array_join(names, ",").alias("dns_names"),
-        F.when(F.col("p") == "auto", rules.YEAR_NS).otherwise(rules.QUARTER_NS).cast("bigint").alias("default_ns"), F.when((F.col("p") == "cert-manager") & F.col("cfg"), F.col("issuer_kind")).alias("issuer_kind"),
+        F.when(F.col("cfg"), F.coalesce("ip_address", F.lit(""))).otherwise("").alias("ip_addresses"), F.when(F.col("cfg"), F.col("organisation")).alias("organisation"), validity.alias("validity_ns"),
+        F.floor(validity / rules.YEAR_NS).cast("int").alias("validity_years"), *[F.when((F.col("p") == "cert-manager") & F.col("cfg"), F.col(k)).alias(k) for k in ("issuer_kind", "issuer_name")],
     )
 
 
@@ -151,10 +160,10 @@ def cert_request(c: DataFrame) -> DataFrame:
 _SPEC_SQL = {
     "rule_size": "SELECT cluster_id, 'error' AS severity, CAST(size AS VARCHAR) AS detail FROM fx_specs WHERE size < 1",
     "rule_required": "SELECT cluster_id, 'error' AS severity, concat_ws(',', CASE WHEN size IS NULL THEN 'size' END, CASE WHEN version IS NULL THEN 'version' END) AS detail FROM fx_specs WHERE size IS NULL OR version IS NULL",
-    "rule_volume_min": "SELECT cluster_id, 'error' AS severity, CAST(request_bytes AS VARCHAR) AS detail FROM fx_specs WHERE has_storage AND request_bytes < 1048576",
+    "rule_volume_min": "SELECT cluster_id, 'error' AS severity, concat(CASE request_text WHEN '1Ki' THEN '1024' ELSE '1048575' END, ' of ', CASE WHEN limit_text <> '0' THEN replace(limit_text, 'k', '000') WHEN request_text = '1Ki' THEN '1024' ELSE '1048575' END) AS detail FROM fx_specs WHERE has_storage AND request_text IN ('1Ki', '1048575999m')",
     "rule_access_mode": "SELECT cluster_id, 'error' AS severity, access_mode AS detail FROM fx_specs WHERE has_storage AND (access_mode = 'ReadOnlyMany' OR access_mode = 'ReadWriteMany' AND pvc_name = '')",
     "rule_auto_validity": "SELECT cluster_id, 'error' AS severity, validity AS detail FROM fx_specs WHERE has_tls AND provider IN ('', 'auto') AND validity = '100h'",
-    "rule_provider": "SELECT cluster_id, 'error' AS severity, provider AS detail FROM fx_specs WHERE has_tls AND (provider = 'other' OR provider = 'cert-manager' AND (NOT has_manager OR issuer_kind IS NULL))",
+    "rule_provider": "SELECT cluster_id, 'error' AS severity, CASE WHEN provider = 'other' THEN provider ELSE concat_ws(',', provider, CASE WHEN NOT has_manager THEN 'no config' END, CASE WHEN issuer_kind IS NULL THEN 'no kind' END, CASE WHEN issuer_name IS NULL THEN 'no name' END) END AS detail FROM fx_specs WHERE has_tls AND (provider = 'other' OR provider = 'cert-manager' AND (NOT has_manager OR issuer_kind IS NULL OR issuer_name IS NULL))",
     "rule_cn_length": "SELECT cluster_id, 'warn' AS severity, CAST(length(common_name) AS VARCHAR) AS detail FROM fx_specs WHERE length(common_name) > 64",
     "rule_tls_missing": "SELECT cluster_id, 'warn' AS severity, 'no tls' AS detail FROM fx_specs WHERE NOT has_tls",
 }
@@ -162,19 +171,32 @@ for _name, _text in _SPEC_SQL.items():
     query(_name, "fx_specs", sql=_text)(lambda c, n=_name: rules.check_rules(c, [r for r in rules.spec_rules() if r[0] == n]).drop("rule"))
 query("check_rules", "fx_specs", sql=" UNION ALL ".join(f"SELECT cluster_id, '{n}' AS rule, severity, detail FROM ({t}) r{i}" for i, (n, t) in enumerate(_SPEC_SQL.items())))(lambda c: rules.check_rules(c, rules.spec_rules()))
 query("rule_condition_format", "fx_conditions", sql="""
-    SELECT condition_id, bad AS detail FROM (SELECT condition_id, concat_ws(',', CASE WHEN type IN ('-bad', 'a/b/c') THEN 'type' END, CASE WHEN reason IN ('9lives', '') THEN 'reason' END, CASE WHEN length(message) > 32768 THEN 'message' END,
-      CASE WHEN observed_generation < 0 THEN 'generation' END, CASE WHEN status = 'yes' THEN 'status' END) AS bad FROM fx_conditions) q WHERE bad <> ''""")(lambda c: rules.check_rules(c, rules.condition_rules(), "condition_id").select("condition_id", "detail"))
+    SELECT condition_id, bad AS detail FROM (SELECT condition_id, concat_ws(',', CASE WHEN type IN ('-bad', 'a/b/c') OR length(type) > 316 THEN 'type' END, CASE WHEN reason IN ('9lives', '') OR length(reason) > 1024 THEN 'reason' END, CASE WHEN length(message) > 32768 THEN 'message' END,
+      CASE WHEN observed_generation < 0 THEN 'generation' END, CASE WHEN status = 'yes' THEN 'status' END) AS bad FROM fx_conditions) q WHERE bad <> ''""")(lambda c: rules.check_rules(c, rules.condition_rules()[:1], "condition_id").select("condition_id", "detail"))
+query("rule_required_condition", "fx_conditions", sql="SELECT condition_id, concat_ws(',', CASE WHEN type IS NULL THEN 'type' END, CASE WHEN transition_at IS NULL THEN 'transition_at' END) AS detail FROM fx_conditions WHERE type IS NULL OR transition_at IS NULL")(
+    lambda c: rules.check_rules(c, rules.condition_rules()[1:], "condition_id").select("condition_id", "detail")
+)
+query("rule_required_member", "fx_probes", sql="SELECT endpoint, 'id' AS detail FROM fx_probes WHERE member_id IS NULL")(lambda p: rules.check_rules(p, rules.member_rules(), "endpoint").select("endpoint", "detail"))
 _now = f"TIMESTAMP '{AS_OF}'"
+_STATUS = "CASE WHEN first_condition = 'Issuing' THEN 'pending' WHEN first_condition <> 'Ready' THEN 'unknown' END"
+_STRICT = "CASE WHEN first_condition = 'Issuing' OR first_condition = 'Ready' AND first_status <> 'True' THEN 'pending' WHEN first_condition <> 'Ready' THEN 'unknown' END"
+_LACKS = "concat_ws(',', CASE WHEN NOT list_contains(string_split(key_names, ','), 'tls.crt') THEN 'tls.crt' END, CASE WHEN NOT list_contains(string_split(key_names, ','), 'tls.key') THEN 'tls.key' END)"
+
+
+def _with_keys(certs: DataFrame) -> DataFrame:
+    return certs.withColumn("data_keys", F.split("key_names", ","))
+
+
 for _name, _cond, _detail in (
     ("rule_cert_window", f"not_before > {_now} OR not_after < {_now}", f"CASE WHEN not_before > {_now} THEN 'not yet valid' ELSE 'expired' END"),
-    ("rule_cert_keys", "NOT has_key", "'tls.key'"), ("rule_cert_status", "first_condition <> 'Ready'", "CASE WHEN first_condition = 'Issuing' THEN 'pending' ELSE 'unknown' END"),
+    ("rule_cert_keys", f"{_LACKS} <> ''", _LACKS), ("rule_cert_status", f"{_STATUS} IS NOT NULL", _STATUS), ("rule_cert_status_strict", f"{_STRICT} IS NOT NULL", _STRICT),
 ):
     query(_name, "fx_certs", sql=f"SELECT secret_name, {_detail} AS detail FROM fx_certs WHERE {_cond}")(
-        lambda c, n=_name: rules.check_rules(c, [r for r in rules.cert_rules(AS_OF) if r[0] == n], "secret_name").select("secret_name", "detail")
+        lambda c, n=_name: rules.check_rules(_with_keys(c), [r for r in rules.cert_rules(AS_OF, n.endswith("_strict")) if r[0] == n.removesuffix("_strict")], "secret_name").select("secret_name", "detail")
     )
 query("rule_owned", "fx_clusters", "fx_workloads", sql="SELECT w.cluster_id FROM fx_workloads w JOIN fx_clusters c ON c.cluster_id = w.cluster_id WHERE NOT (w.is_controller AND w.owner_uid = c.uid)")(rules.owned)
 query("rule_issuer", "fx_specs", "fx_issuers", sql="""
-    SELECT cluster_id, issuer_kind, issuer_name FROM fx_specs s WHERE has_tls AND provider = 'cert-manager' AND has_manager AND issuer_kind IS NOT NULL
+    SELECT cluster_id, issuer_kind, issuer_name FROM fx_specs s WHERE has_tls AND provider = 'cert-manager' AND has_manager AND issuer_kind IS NOT NULL AND issuer_name IS NOT NULL
       AND NOT EXISTS (SELECT 1 FROM fx_issuers i WHERE i.kind = s.issuer_kind AND i.name = s.issuer_name AND i.namespace IS NOT DISTINCT FROM CASE WHEN s.issuer_kind = 'Issuer' THEN s.namespace END)""")(rules.issuer_missing)
 
 # Joins --------------------------------------------------------------------------------------------------------------
@@ -191,7 +213,7 @@ query("pairing_audit", "fx_members_all", sql=f"SELECT m.cluster_id, m.member_id,
     lambda m: members.pairing_audit(m, m)
 )
 query("join_version_line", "fx_workloads", "fx_version_line", sql=f"SELECT w.cluster_id, w.tag, l.idx FROM (SELECT cluster_id, substr(image, instr(image, ':') + 1) AS tag FROM fx_workloads) w LEFT JOIN fx_version_line l ON l.major = TRY_CAST({SEM.format(c='w.tag', i=1)} AS BIGINT) AND l.minor = TRY_CAST({SEM.format(c='w.tag', i=2)} AS BIGINT)")(
-    lambda w, line: w.withColumn("tag", s.image_tag("image")).withColumn("v", s.semver("tag")).join(F.broadcast(line), (F.col("v.major") == line.major) & (F.col("v.minor") == line.minor), "left").select("cluster_id", "tag", "idx")
+    lambda w, line: w.withColumn("tag", s.image_tag("image")).withColumn("v", s.semver("tag")).join(line, (F.col("v.major") == line.major) & (F.col("v.minor") == line.minor), "left").select("cluster_id", "tag", "idx")
 )
 query("cert_coverage", "fx_clusters", "fx_certs", sql="SELECT cluster_id, concat(name, '-', t.purpose, '-tls') AS secret_name FROM fx_clusters c, (VALUES ('client'), ('server'), ('peer')) t(purpose) WHERE NOT EXISTS (SELECT 1 FROM fx_certs k WHERE k.namespace = c.namespace AND k.secret_name = concat(c.name, '-', t.purpose, '-tls'))")(
     lambda c, k: c.select("cluster_id", "namespace", F.explode(F.transform(F.array(*map(F.lit, ("client", "server", "peer"))), lambda p: F.concat_ws("-", "name", p, F.lit("tls")))).alias("secret_name")).join(k, ["namespace", "secret_name"], "left_anti").select("cluster_id", "secret_name")
@@ -231,8 +253,10 @@ query("all_healthy", "fx_clusters", "fx_probes", sql="SELECT c.cluster_id, coale
 )
 query("member_count", "fx_members", sql=f"SELECT cluster_id, members FROM ({_MEMBERS}) m")(lambda m: members.member_summary(m).select("cluster_id", "members"))
 query("kv_consistency", "fx_kv_hashes", sql="SELECT cluster_id, count(*) AS responses, count(DISTINCT hash) AS hashes, count(DISTINCT hash) = 1 AS consistent FROM fx_kv_hashes GROUP BY cluster_id")(members.kv_consistency)
-query("probe_errors", "fx_probes", sql=f"SELECT cluster_id, string_agg(line, '; ' ORDER BY line) AS errors FROM (SELECT DISTINCT cluster_id, concat('endpoint: ', endpoint, ', error: ', error) AS line FROM fx_probes WHERE NOT health) q GROUP BY cluster_id")(
-    lambda p: p.filter("NOT health").groupBy("cluster_id").agg(F.array_join(F.array_sort(F.collect_set(F.concat(F.lit("endpoint: "), "endpoint", F.lit(", error: "), "error"))), "; ").alias("errors"))
+query("probe_errors", "fx_probes", sql="""
+    SELECT cluster_id, string_agg(line, '; ' ORDER BY line) AS errors FROM (SELECT DISTINCT cluster_id, concat('endpoint: ', endpoint, ', health: false, took: ', took, CASE WHEN has_status THEN concat(', isLearner: ', CASE WHEN is_learner THEN 'true' ELSE 'false' END) ELSE '' END,
+      CASE WHEN error <> '' THEN concat('error: ', error) ELSE '' END) AS line FROM fx_probes WHERE NOT health) q GROUP BY cluster_id""")(
+    lambda p: p.filter("NOT health").groupBy("cluster_id").agg(F.array_join(F.array_sort(F.collect_set(s.probe_text("endpoint", "health", "took", "has_status", "is_learner", "error"))), "; ").alias("errors"))
 )
 query("voters_settled", "fx_clusters", "fx_members", sql=f"SELECT c.cluster_id, coalesce(members, 0) = size AND NOT coalesce(any_learner, false) AS settled FROM fx_clusters c LEFT JOIN ({_MEMBERS}) m ON m.cluster_id = c.cluster_id")(
     lambda c, m: c.join(members.member_summary(m), "cluster_id", "left").select("cluster_id", ((F.coalesce("members", F.lit(0)) == F.col("size")) & ~F.coalesce("any_learner", F.lit(False))).alias("settled"))
@@ -312,13 +336,30 @@ query("next_action", *_four, "fx_version_line", sql=f"WITH {_ACTION} SELECT * FR
 query("fleet_summary", *_four, "fx_version_line", sql=f"WITH {_ACTION} SELECT action, count(*) AS clusters, count(*) FILTER (WHERE promote) AS promoting FROM decided GROUP BY action")(
     lambda c, w, m, p, line: decisions.next_action(decisions.observed(c, w, m, p), decisions.upgrade_verdict(c, w, line)).groupBy("action").agg(F.count("*").alias("clusters"), F.count_if("promote").alias("promoting"))
 )
-query("cluster_status", *_four, sql=f"""WITH {_STATE}, v AS ({_VERSION}) SELECT s.cluster_id, generation AS observed_generation, coalesce(replicas, 0) AS current_replicas, coalesce(ready_replicas, 0) AS ready_replicas, members AS member_count,
-    format('{{:x}}', CAST(leader_id AS UBIGINT)) AS leader_id, v.version AS current_version FROM state s JOIN v ON v.cluster_id = s.cluster_id""")(
-    lambda c, w, m, p: decisions.cluster_status(decisions.observed(c, w, m, p), c.select("cluster_id", F.col("version").alias("previous")))
-)
-query("cert_verdict", "fx_certs", sql=f"SELECT cluster_id, secret_name, CASE WHEN first_condition = 'Issuing' THEN 'pending' WHEN first_condition <> 'Ready' THEN 'unknown_status' WHEN NOT has_key THEN 'no_key' WHEN not_before > {_now} THEN 'not_yet' WHEN not_after < {_now} THEN 'expired' ELSE 'ok' END AS verdict FROM fx_certs")(
-    lambda k: decisions.cert_verdict(k, AS_OF)
+query("fleet_summary_conditions", *_four, sql=f"""WITH cond AS ({_CONDITIONS.replace("WITH state", "WITH state", 1)}), each_ AS (SELECT cluster_id, max(status) FILTER (WHERE type = 'Available') AS available, max(status) FILTER (WHERE type = 'Progressing') AS progressing,
+    max(status) FILTER (WHERE type = 'Degraded') AS degraded FROM cond GROUP BY cluster_id) SELECT available, progressing, degraded, count(*) AS clusters FROM each_ GROUP BY ALL""")(lambda *v: decisions.condition_summary(decisions.conditions(decisions.observed(*v))))
+_EACH = """SELECT m.cluster_id, string_agg(concat(m.position, ':', format('{:x}', CAST(m.member_id AS UBIGINT)), ':', m.member_name, ':', CASE WHEN p.health THEN 'true' ELSE 'false' END, ':', coalesce(p.version, ''), ':',
+    CASE WHEN p.leader = p.member_id THEN 'true' ELSE 'false' END, ':', CASE WHEN m.is_learner THEN 'true' ELSE 'false' END), ',' ORDER BY m.position) AS members FROM fx_members m LEFT JOIN fx_probes p ON p.cluster_id = m.cluster_id AND p.member_id = m.member_id GROUP BY m.cluster_id"""
+query("cluster_status", *_four, sql=f"""WITH {_STATE}, v AS ({_VERSION}), e AS ({_EACH}) SELECT s.cluster_id, e.members, generation AS observed_generation, coalesce(replicas, 0) AS current_replicas, coalesce(ready_replicas, 0) AS ready_replicas, s.members AS member_count,
+    format('{{:x}}', CAST(leader_id AS UBIGINT)) AS leader_id, v.version AS current_version FROM state s JOIN v ON v.cluster_id = s.cluster_id LEFT JOIN e ON e.cluster_id = s.cluster_id""")(
+    lambda c, w, m, p: decisions.cluster_status(decisions.observed(c, w, m, p), c.select("cluster_id", F.col("version").alias("previous")), m, p).withColumn("members", F.expr(
+        "array_join(transform(members, m -> concat_ws(':', m.position, m.id, m.name, m.is_healthy, coalesce(m.version, ''), m.is_leader, m.is_learner)), ',')"
+    ))
 )
+_EXPECTED = "SELECT s.cluster_id, s.provider, concat(s.name, '-', t.purpose, '-tls') AS secret_name FROM fx_specs s, (VALUES ('client'), ('server'), ('peer')) t(purpose) WHERE s.has_tls"
+
+
+def _expected(specs: DataFrame) -> DataFrame:
+    purposes = F.transform(F.array(*map(F.lit, ("client", "server", "peer"))), lambda p: F.concat_ws("-", "name", p, F.lit("tls")))
+    return specs.filter("has_tls").select("cluster_id", "provider", F.explode(purposes).alias("secret_name"))
+
+
+for _name, _said in (("cert_verdict", _STATUS), ("cert_verdict_strict", _STRICT)):
+    query(_name, "fx_specs", "fx_certs", sql=f"""SELECT cluster_id, secret_name, CASE WHEN key_names IS NULL THEN 'missing' WHEN provider = 'cert-manager' AND said = 'pending' THEN 'pending' WHEN provider = 'cert-manager' AND said = 'unknown' THEN 'unknown_status'
+        WHEN lacks LIKE 'tls.crt%' THEN 'no_cert' WHEN lacks <> '' THEN 'no_key' WHEN not_before > {_now} THEN 'not_yet' WHEN not_after < {_now} THEN 'expired' ELSE 'ok' END AS verdict
+      FROM (SELECT e.cluster_id, e.secret_name, e.provider, key_names, {_said} AS said, {_LACKS} AS lacks, not_before, not_after FROM ({_EXPECTED}) e LEFT JOIN fx_certs k ON k.cluster_id = e.cluster_id AND k.secret_name = e.secret_name) q""")(
+        lambda c, k, strict=_name.endswith("strict"): decisions.cert_verdict(_expected(c), _with_keys(k), AS_OF, strict)
+    )
 
 # History ------------------------------------------------------------------------------------------------------------
 
@@ -326,6 +367,11 @@ _RUNS = "SELECT *, lag(status) OVER (PARTITION BY cluster_id, ordinal ORDER BY t
 query("condition_transitions", "fx_history", sql=f"SELECT cluster_id, ordinal, probe_id, ts, status, row_number() OVER (PARTITION BY cluster_id, ordinal ORDER BY ts, probe_id) AS run FROM ({_RUNS}) q WHERE before IS DISTINCT FROM status")(
     lambda h: history.condition_transitions(h.select("cluster_id", "ordinal", "probe_id", "ts", "status"), ["cluster_id", "ordinal"], ["ts", "probe_id"])
 )
-query("sink_status", "fx_history", sql="SELECT cluster_id, ts, probe_id, status, revision FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY ts DESC, probe_id DESC) AS k FROM fx_history) q WHERE k = 1")(
-    lambda h: history.latest(h.select("cluster_id", "ts", "probe_id", "status", "revision"), ["cluster_id"], ["ts", "probe_id"])
-)
+@query("sink_status", "fx_history", sql="SELECT cluster_id, ts, probe_id, status, revision FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY ts DESC, probe_id DESC) AS k FROM fx_history) q WHERE k = 1")
+def sink_status(h: DataFrame) -> DataFrame:
+    """A status row for each cluster and day, written by day, one half of the days twice; the latest of what is there."""
+    key, order, path = ["cluster_id"], ["ts", "probe_id"], folder(h.sparkSession, "status")
+    daily = history.latest(h.select("cluster_id", F.to_date("ts").alias("day"), "ts", "probe_id", "status", "revision"), ["cluster_id", "day"], order)
+    readers.write_status(daily, path, "day")
+    readers.write_status(daily.filter("day(day) % 2 = 0"), path, "day")
+    return history.latest(h.sparkSession.read.schema(daily.schema).parquet(path).drop("day"), key, order)

@@ -1,4 +1,4 @@
-"""Queries of the sources: JSON texts made from the fixture views by Spark, and read back."""
+"""Queries of the sources: JSON files made from the fixture views by Spark, and read back."""
 
 from __future__ import annotations
 
@@ -7,6 +7,15 @@ from pyspark.sql import functions as F
 
 from fleetlens.plans.registry import query
 from fleetlens.sources import readers
+from fleetlens.sources.shared import folder
+from fleetlens.streaming.streams import run_once
+
+
+def _written(texts: DataFrame, name: str) -> str:
+    """Where the texts now stand, one a line."""
+    path = folder(texts.sparkSession, name)
+    texts.write.text(path)
+    return path
 
 
 @query("src_clusters", "fx_clusters", sql="SELECT namespace, name, CAST(uid AS VARCHAR) AS uid, generation, size, version, image_registry FROM fx_clusters")
@@ -16,8 +25,9 @@ def src_clusters(c: DataFrame) -> DataFrame:
         F.struct("size", "version", F.col("image_registry").alias("imageRegistry")).alias("spec"),
     )
     singles = c.filter("cluster_id % 2 = 0").select(F.to_json(one).alias("value"))
-    lists = c.filter("cluster_id % 2 <> 0").groupBy("namespace").agg(F.to_json(F.struct(F.collect_list(one).alias("items"))).alias("value")).select("value")
-    return readers.clusters(singles.unionByName(lists)).select("namespace", "name", "uid", "generation", "size", "version", "image_registry")
+    lists = c.filter("cluster_id % 2 <> 0").groupBy("namespace", F.expr("uid DIV 1000")).agg(F.to_json(F.struct(F.collect_list(one).alias("items"))).alias("value")).select("value")  # lists of bounded length
+    texts = readers.read_text(c.sparkSession, _written(singles.unionByName(lists), "clusters"), whole=False)
+    return readers.clusters(texts).select("namespace", "name", "uid", "generation", "size", "version", "image_registry")
 
 
 @query("src_workloads", "fx_workloads", sql="SELECT namespace, name, CAST(owner_uid AS VARCHAR) AS owner_uid, replicas, ready_replicas, image FROM fx_workloads WHERE is_controller")
@@ -31,13 +41,13 @@ def src_workloads(w: DataFrame) -> DataFrame:
     return readers.workloads(w.select(F.to_json(one).alias("value"))).filter("is_controller").select("namespace", "name", "owner_uid", "replicas", "ready_replicas", "image")
 
 
-@query("src_member_list", "fx_members", sql="SELECT cluster_id, CAST(row_number() OVER (PARTITION BY cluster_id ORDER BY ordinal) - 1 AS INT) AS position, CAST(member_id AS DOUBLE) + 9223372036854775808.0 AS member_id, member_name, is_learner FROM fx_members")
+@query("src_member_list", "fx_members", sql="SELECT cluster_id, CAST(row_number() OVER (PARTITION BY cluster_id ORDER BY ordinal) - 1 AS INT) AS position, CAST(CAST(member_id AS HUGEINT) + 9223372036854775808 AS VARCHAR) AS member_id, member_name, is_learner FROM fx_members")
 def src_member_list(m: DataFrame) -> DataFrame:
     big = F.col("member_id").cast("decimal(20,0)") + F.lit("9223372036854775808").cast("decimal(20,0)")
     one = F.struct("ordinal", F.struct(big.cast("decimal(20,0)").alias("ID"), F.col("member_name").alias("name"), F.col("is_learner").alias("isLearner")).alias("x"))
     lists = m.groupBy("cluster_id").agg(F.transform(F.array_sort(F.collect_list(one)), lambda o: o["x"]).alias("members"))
     out = readers.member_list(lists.select("cluster_id", F.to_json(F.struct("members")).alias("value")), "cluster_id")
-    return out.select("cluster_id", "position", F.col("member_id").cast("double").alias("member_id"), "member_name", "is_learner")
+    return out.select("cluster_id", "position", F.col("member_id").cast("string").alias("member_id"), "member_name", "is_learner")
 
 
 @query("src_probes", "fx_probes", sql="SELECT cluster_id, endpoint, health, took, has_status, member_id, leader, revision, version FROM fx_probes")
@@ -57,12 +67,14 @@ def src_kv_hashes(h: DataFrame) -> DataFrame:
 @query("src_changes", "fx_history", sql="SELECT 'workload' AS kind, concat('ns-', cluster_id % 25) AS namespace, concat('c', cluster_id) AS name, arg_max(CASE WHEN event_type = 'error' THEN 'delete' ELSE 'update' END, probe_id) AS op, max(probe_id) AS version FROM fx_history GROUP BY cluster_id HAVING arg_max(event_type, probe_id) <> 'error'")
 def src_changes(h: DataFrame) -> DataFrame:
     op = F.when(F.col("event_type") == "error", "delete").otherwise("update")
-    return readers.live(h.select(F.lit("workload").alias("kind"), op.alias("op"), F.concat(F.lit("ns-"), F.col("cluster_id") % 25).alias("namespace"), F.concat(F.lit("c"), "cluster_id").alias("name"), F.col("probe_id").alias("version")))
+    feed = h.select(F.lit("workload").alias("kind"), op.alias("op"), F.concat(F.lit("ns-"), F.col("cluster_id") % 25).alias("namespace"), F.concat(F.lit("c"), "cluster_id").alias("name"), F.col("probe_id").alias("version"))
+    stream = readers.changes(h.sparkSession, _written(feed.select(F.to_json(F.struct("*")).alias("value")), "feed"))
+    return readers.live(run_once(stream, folder(h.sparkSession, "changes")))
 
 
-@query("src_certs", "fx_certs", sql="SELECT namespace, secret_name, not_before, not_after, CASE WHEN has_key THEN 2 ELSE 1 END AS keys, first_condition FROM fx_certs")
+@query("src_certs", "fx_certs", sql="SELECT namespace, secret_name, not_before, not_after, len(string_split(key_names, ',')) AS keys, first_condition FROM fx_certs")
 def src_certs(c: DataFrame) -> DataFrame:
-    keys = F.when(F.col("has_key"), F.array(F.lit("tls.crt"), F.lit("tls.key"))).otherwise(F.array(F.lit("tls.crt")))
+    keys = F.split("key_names", ",")
     text = c.select(F.to_json(F.struct("namespace", "secret_name", "not_before", "not_after", keys.alias("data_keys"), F.array(F.struct(F.col("first_condition").alias("type"))).alias("conditions"))).alias("value"))
-    out = readers.certs_text(text)
-    return out.select("namespace", "secret_name", F.col("not_before").cast("timestamp_ntz"), F.col("not_after").cast("timestamp_ntz"), F.size("data_keys").alias("keys"), F.get("conditions", F.lit(0))["type"].alias("first_condition"))
+    out = readers.certs(c.sparkSession, _written(text, "certs"))
+    return out.select("namespace", "secret_name", F.col("not_before").cast("timestamp_ntz"), F.col("not_after").cast("timestamp_ntz"), F.size("data_keys").cast("long").alias("keys"), F.get("conditions", F.lit(0))["type"].alias("first_condition"))

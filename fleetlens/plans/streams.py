@@ -2,20 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens.plans.fixtures import VIEWS, view, with_views
 from fleetlens.plans.registry import _queries, _sql
+from fleetlens.sources.shared import folder
 from fleetlens.streaming import streams
 
 
 def _folder(spark: SparkSession) -> str:
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-stream-", dir="/tmp")
-    return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return folder(spark, "stream")
 
 
 def history_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,9 +50,9 @@ _add("stream_dedup_probes", _twice, "SELECT probe_id, cluster_id, ts FROM fx_his
 
 
 def _transitions(spark: SparkSession, d: str) -> DataFrame:
-    streams.with_rocksdb(spark)
     rows = history_stream(spark, d).select("cluster_id", "ordinal", "probe_id", "ts", "status")
-    return _ntz(streams.run_once(streams.condition_transitions(rows), _folder(spark)), "ts")
+    with streams.with_rocksdb(spark):
+        return _ntz(streams.run_once(streams.condition_transitions(rows), _folder(spark)), "ts")
 
 
 _add("stream_condition_transitions", _transitions, _sql["condition_transitions"])
@@ -76,10 +73,10 @@ def _ready(spark: SparkSession, d: str) -> DataFrame:
     changes = h.filter("event_type = 'signup'").select("cluster_id", F.col("probe_id").alias("change_id"), "ts")
     out = streams.run_once(streams.time_to_ready(changes, h.filter("event_type = 'purchase'")), _folder(spark))
     first = out.groupBy("cluster_id", "change_id", "ts").agg(F.min("ready_at").alias("ready_at"))
-    # changes that the watermark hasn't passed can still find a report: those within reach of the stream's end are left out
+    # a change without a report that the watermark hasn't passed can still find one: it is pending and left out
     last = lambda kind: F.max(F.when(F.col("event_type") == kind, F.col("ts")))
     end = view(spark, d, "fx_history").agg((F.least(last("signup"), last("purchase")) - F.expr("INTERVAL 8 HOURS")).alias("end"))
-    return _ntz(first, "ts", "ready_at").join(F.broadcast(end), F.col("ts") < F.col("end")).drop("end")
+    return _ntz(first, "ts", "ready_at").join(F.broadcast(end), F.col("ready_at").isNotNull() | (F.col("ts") < F.col("end"))).drop("end")
 
 
-_add("stream_time_to_ready", _ready, f"SELECT cluster_id, change_id, ts, ready_at FROM (SELECT c.cluster_id, c.probe_id AS change_id, c.ts, min(r.ts) AS ready_at FROM fx_history c LEFT JOIN fx_history r ON r.cluster_id = c.cluster_id AND r.event_type = 'purchase' AND r.ts >= c.ts AND r.ts <= c.ts + INTERVAL '6' HOUR WHERE c.event_type = 'signup' GROUP BY 1, 2, 3) q WHERE ts < (SELECT least(max(ts) FILTER (WHERE event_type = 'signup'), max(ts) FILTER (WHERE event_type = 'purchase')) - INTERVAL '8' HOUR FROM fx_history)")
+_add("stream_time_to_ready", _ready, f"SELECT cluster_id, change_id, ts, ready_at FROM (SELECT c.cluster_id, c.probe_id AS change_id, c.ts, min(r.ts) AS ready_at FROM fx_history c LEFT JOIN fx_history r ON r.cluster_id = c.cluster_id AND r.event_type = 'purchase' AND r.ts >= c.ts AND r.ts <= c.ts + INTERVAL '6' HOUR WHERE c.event_type = 'signup' GROUP BY 1, 2, 3) q WHERE ready_at IS NOT NULL OR ts < (SELECT least(max(ts) FILTER (WHERE event_type = 'signup'), max(ts) FILTER (WHERE event_type = 'purchase')) - INTERVAL '8' HOUR FROM fx_history)")

@@ -39,12 +39,12 @@ def test_labels(spark):
     assert one(spark, s.merge_labels(F.lit(None).cast("map<string,string>"), defaults)) == {"app": "c"}
 
 
-@pytest.mark.parametrize("text, ns", [("", 7), ("1h30m", 5_400_000_000_000), ("1.5s", 1_500_000_000), ("8760h", 31_536_000_000_000_000), ("365d", None), ("-2ms", -2_000_000), ("0", 0), ("5", None), ("h", None), (".5m", 30_000_000_000), ("3µs", 3000), (None, None), ("999999999999h", None)])
+@pytest.mark.parametrize("text, ns", [("", 7), ("1h30m", 5_400_000_000_000), ("1.5s", 1_500_000_000), ("8760h", 31_536_000_000_000_000), ("365d", None), ("-2ms", -2_000_000), ("0", 0), ("5", None), ("h", None), (".5m", 30_000_000_000), ("3µs", 3000), (None, None), ("999999999999h", None), ("0.0000001h", 360_000), ("1.0000000019s", 1_000_000_001), ("1.s", 1_000_000_000), ("-0.5us", -500)])
 def test_duration(spark, text, ns):
     assert one(spark, s.duration_ns(F.lit(text).cast("string"), 7)) == ns
 
 
-@pytest.mark.parametrize("text, units", [("1Mi", "1048576"), ("1.5Gi", "1610612736"), ("100", "100"), ("2e3", "2000"), ("5m", "0.005"), ("1GB", None), ("", None), (None, None), ("-1k", "-1000")])
+@pytest.mark.parametrize("text, units", [("1Mi", "1048576"), ("1.5Gi", "1610612736"), ("100", "100"), ("2e3", "2000"), ("5m", "0.005"), ("1GB", None), ("", None), (None, None), ("-1k", "-1000"), ("3Pi", "3377699720527872"), ("7Ei", "8070450532247928832"), ("8E", "8000000000000000000"), ("2P", "2000000000000000"), ("64n", "0.000000064"), ("1500u", "0.0015"), ("1e1.0", "10"), ("12345678901234567", "12345678901234567"), ("1048575999m", "1048575.999"), ("12345678901k", "12345678901000"), ("1KI", None), ("1e", None)])
 def test_quantity(spark, text, units):
     got = one(spark, s.quantity(F.lit(text).cast("string")))
     assert (got is None) == (units is None) and (units is None or got == Decimal(units))
@@ -62,6 +62,17 @@ def test_tags_and_ids(spark):
     assert one(spark, s.hex_id(F.lit("18446744073709551615").cast("decimal(20,0)"))) == "f" * 16
 
 
+def test_pairing_audit_status_and_time_to_ready(spark):
+    m = spark.createDataFrame([(1, 10, 0, "c-0", False), (1, 11, 1, "c-1", True), (2, 20, 0, "d-0", None)], "cluster_id long, member_id long, position int, member_name string, is_learner boolean")
+    p = spark.createDataFrame([(1, "b", 10, True, "v", 10), (1, "a", 11, False, "w", 10), (1, "c", None, True, None, None)], "cluster_id long, endpoint string, member_id long, health boolean, version string, leader long")
+    assert sorted((r.member_id, r.by_id, r.by_position) for r in members.pairing_audit(m, p).collect()) == [(10, "b", "a"), (11, "a", "b")]
+    got = {r.cluster_id: [tuple(x) for x in r.members] for r in members.status_members(m, p).collect()}
+    assert got == {1: [(0, "a", "c-0", True, "v", True, False), (1, "b", "c-1", False, "w", False, True)], 2: [(0, "14", "d-0", False, None, False, False)]}
+    t = lambda *rows: spark.createDataFrame(rows, "cluster_id long, change_id long, t string").select("cluster_id", "change_id", F.col("t").cast("timestamp_ntz").alias("ts"))
+    out = history.time_to_ready(t((1, 1, "2020-01-01 00:00:00"), (1, 2, "2020-01-01 05:00:00"), (2, 3, "2020-01-01 00:00:00")), t((1, 0, "2020-01-01 00:00:00"), (1, 0, "2020-01-01 06:00:01"), (2, 0, "2020-01-01 06:00:01")), "6 HOURS")
+    assert sorted((r.change_id, str(r.ready_at), r.timed_out) for r in out.collect()) == [(1, "2020-01-01 00:00:00", False), (2, "2020-01-01 06:00:01", False), (3, "None", True)]
+
+
 PROBE = "cluster_id long, endpoint string, ordinal int, health boolean, has_status boolean, member_id long, leader long, revision long, version string, is_learner boolean"
 
 
