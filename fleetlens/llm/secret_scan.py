@@ -1,12 +1,14 @@
 """Secret scans by assignment-aware lexing.
 
 Beside three fixed patterns (assign, access, hex), a text is read as source or configuration: every `name = value`,
-`name: value`, `name := value`, `"name" => value`, `name: type = value` and `table["name"] = value` gives a pair of a name and a
-value. Values are sums of strings (prefixed, escaped or in triple quotes), bare words and names. All pairs of the text are read
+`name: value`, `name := value`, `"name" => value`, `name: type = value`, `table["name"] = value`, `<name>value</name>`, YAML block
+under `name: |` and call `f("name", "value")` gives a pair of a name and a value. Values are sums of strings (prefixed, escaped
+or in triple quotes), bare words and names, or the strings in a call (defaults). All pairs of the text are read
 first; then names are followed to a fixed point, so that a constant's value reaches every name it is given to, wherever that
-stands. A literal is a finding (kind `literal`, at the place where it is written) if it reaches a sensitive name and
+stands. A pair inside braces or an indented block that belongs to a sensitive name has that name as well. A literal is a
+finding (kind `literal`, at the place where it is written) if it reaches a sensitive name and
 looks chosen at random: the weight of the name's words plus the entropy of the name's whole value in bits a character
-reach `THRESHOLD`. Placeholders and references to an environment are none.
+reach `THRESHOLD`. Placeholders and references to an environment are none. A literal inside an `assign` span is part of that.
 
 Null and empty texts have no findings. Each row is scanned by itself, whole; a column named `secrets` is replaced.
 """
@@ -36,13 +38,19 @@ _type = re.compile(r"""[A-Za-z_][A-Za-z0-9_.]*+(?:\[[^\]\n=]*+\])?(?:[ \t]*+\|[
 _string = re.compile(r"""(?:[A-Za-z]{1,2}(?=["']))?(?:\"""((?:[^\\"]|\\.|"(?!""))*+)\"""|'''((?:[^\\']|\\.|'(?!''))*+)'''|"((?:[^"\\\n]|\\.)*+)"|'((?:[^'\\\n]|\\.)*+)')""", re.S)
 _bare = re.compile(r"""[^\s"',;(){}\[\]]++""")
 _plus = re.compile(r"""[ \t]*+\+[ \t]*+""")
+_call = re.compile(r"""[A-Za-z_][A-Za-z0-9_.]*+\(""")
+_comma = re.compile(r"""[\s,]*+(?:[A-Za-z_][A-Za-z0-9_]*+[ \t]*+=(?!=)[ \t]*+)?""")
+_element = re.compile(r"""<([A-Za-z_][A-Za-z0-9_.\-]*+)(?:\s[^<>]*+)?>([^<>]++)</\1\s*+>""")
+_block = re.compile(r"""^([ \t]*+)(?:-[ \t]++)?["']?([A-Za-z_][A-Za-z0-9_.\-]*+)["']?[ \t]*+:[ \t]*+[|>][+\-]?[ \t]*+\n((?:\1[ \t]++[^\n]++(?:\n|$))++)""", re.M)
+_opened = re.compile(r"""["']?([A-Za-z_][A-Za-z0-9_.\-]*+)["']?[ \t]*+(?:=>|:=|[:=])?\s*+\{|[{}]""")
+_parent = re.compile(r"""^([ \t]*+)(?:-[ \t]++)?["']?([A-Za-z_][A-Za-z0-9_.\-]*+)["']?[ \t]*+:[ \t]*+\n((?:\1[ \t]++[^\n]*+(?:\n|$))++)""", re.M)
 _identifier = re.compile(r"[A-Za-z_][A-Za-z0-9_.\-]*")
 _parts = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 _placeholder = re.compile(r"(?i)^(?:<.*>|\$\{?.*|%.*%|x+|\*+|none|null|nil|true|false|changeme|example|password|secret|token|your.*)$")
 
 #: Weights of a name's words; two that stand next to each other count as one.
 SENSITIVE = {
-    "password": 3.0, "passwd": 3.0, "pwd": 3.0, "passphrase": 3.0, "secret": 3.0, "token": 2.5, "apikey": 3.0, "privatekey": 3.0,
+    "password": 3.0, "passwords": 3.0, "passwd": 3.0, "pwd": 3.0, "passphrase": 3.0, "secret": 3.0, "secrets": 3.0, "token": 2.5, "apikey": 3.0, "privatekey": 3.0,
     "accesskey": 3.0, "secretkey": 3.0, "credential": 2.5, "credentials": 2.5, "auth": 1.5, "bearer": 2.0, "signature": 1.0, "salt": 1.0,
 }
 THRESHOLD, SHORTEST = 5.0, 6
@@ -80,10 +88,29 @@ def operands(text: str, at: int) -> tuple[list[Part], int]:
         at = more.end()
 
 
-def assignments(text: str) -> list[tuple[str, list[Part]]]:
+def arguments(text: str, at: int) -> list[Part]:
+    """The strings among a call's arguments; `at` is behind the bracket."""
+    out: list[Part] = []
+    while True:
+        at = _comma.match(text, at).end()
+        if m := _string.match(text, at):
+            group = next(g for g in (1, 2, 3, 4) if m[g] is not None)
+            out.append((False, m[group], m.start(group), m.end(group)))
+        elif not (m := _bare.match(text, at)):
+            return out
+        at = m.end()
+
+
+def assignments(text: str) -> list[tuple[str, int, list[Part]]]:
+    """(name, where its value starts, value) of each pair."""
     out = []
     for m in _name.finditer(text):
         name, at = m[0], m.end()
+        if text.startswith("(", at):
+            given = arguments(text, at + 1)
+            if len(given) > 1 and _identifier.fullmatch(given[0][1]):
+                out.append((given[0][1], at, given[1:]))
+            continue
         while sub := _subscript.match(text, at):
             name, at = sub[1], sub.end()
         sign = _sign.match(text, at)
@@ -92,24 +119,54 @@ def assignments(text: str) -> list[tuple[str, list[Part]]]:
         at = sign.end()
         if sign[1] == ":" and (typed := _type.match(text, at)):
             at = typed.end()
-        parts, _ = operands(text, at)
+        if called := _call.match(text, at):
+            given = arguments(text, called.end())
+            parts = given[1:] if len(given) > 1 and _identifier.fullmatch(given[0][1]) else given
+        else:
+            parts, _ = operands(text, at)
         if parts:
-            out.append((name, parts))
+            out.append((name, at, parts))
+    if "</" in text:
+        for m in _element.finditer(text):
+            value = m[2].strip()
+            if value:
+                a = m.start(2) + m[2].index(value)
+                out.append((m[1], a, [(False, value, a, a + len(value))]))
+    for m in _block.finditer(text):
+        value = m[3].strip()
+        a = m.start(3) + m[3].index(value)
+        out.append((m[2], a, [(False, value, a, a + len(value))]))
+    return out
+
+
+def sensitive_regions(text: str) -> list[tuple[int, int, float]]:
+    """(start, end, weight) of what stands in the braces, or in the indented block, of a sensitive name."""
+    out: list[tuple[int, int, float]] = []
+    if "{" in text:
+        stack: list[tuple[int, float]] = []
+        for m in _opened.finditer(text):
+            if m[0] != "}":
+                stack.append((m.end(), sensitivity(m[1]) if m[1] else 0.0))
+            elif stack:
+                start, weight = stack.pop()
+                if weight:
+                    out.append((start, m.start(), weight))
+    out += [(m.start(3), m.end(3), w) for m in _parent.finditer(text) if (w := sensitivity(m[2]))]
     return out
 
 
 def literals(text: str) -> list[tuple[int, int]]:
     """Where the literals stand that reach a sensitive name."""
-    pairs = assignments(text)
+    pairs, regions = assignments(text), sensitive_regions(text)
     given: dict[str, list[int]] = {}
-    for i, (name, _) in enumerate(pairs):
+    for i, (name, _, _) in enumerate(pairs):
         given.setdefault(name, []).append(i)
 
     def followed(start: int) -> list[Part]:
         """All literals that reach the pair, by every assignment of every name on the way."""
         seen, todo, out = {start}, [start], []
         while todo:
-            for part in pairs[todo.pop()][1]:
+            for part in pairs[todo.pop()][2]:
                 if part[0] and part[1] in given:
                     new = [i for i in given[part[1]] if i not in seen]
                     seen.update(new)
@@ -119,8 +176,8 @@ def literals(text: str) -> list[tuple[int, int]]:
         return out
 
     found = set()
-    for i, (name, parts) in enumerate(pairs):
-        weight = sensitivity(name)
+    for i, (name, at, parts) in enumerate(pairs):
+        weight = max([sensitivity(name), *(w for a, b, w in regions if a <= at < b)])
         if not weight:
             continue
         if all(not (p[0] and p[1] in given) for p in parts):  # a literal, or a sum of them, is one value
@@ -140,7 +197,7 @@ def find(text: str | None) -> list[spans.Span]:
     if not text:
         return []
     found: list[spans.Span] = []
-    if ":" in text or "=" in text:
+    if ":" in text or "=" in text or "</" in text or '("' in text or "('" in text:
         found += [(m.start(), 0, "assign", m.end()) for m in _assign.finditer(text) if len(m[2]) >= SHORTEST]
         covered = [(s, e) for s, _, _, e in found]
         found += [(a, 3, "literal", b) for a, b in literals(text) if not any(s <= a and b <= e for s, e in covered)]

@@ -119,3 +119,32 @@ def test_secrets_in_usual_assignments():
     assert [t[s[0] : s[3]] for s in find(t)] == ['u8Gz!q\\"P0xYw2']
     for t in (f'K = "{secret}"\ndb_pwd = "ab!9" + K', f'K = "{secret}"\ndb_pwd = K + "ab!9"'):
         assert sorted(t[s[0] : s[3]] for s in find(t)) == sorted([secret, "ab!9"])
+
+
+def test_secrets_in_calls_blocks_and_nested_names():
+    secret = "u8Gz!qP0xYw2"
+    for t in (
+        f'db_pwd = os.getenv("DB_PASS", "{secret}")', f'x = os.environ.get("DB_PASSWORD", "{secret}")', f'connect(host, set("api_token", "{secret}"))', f"<password>{secret}</password>",
+        f'<db:passwd enc="no"> {secret} </db:passwd>'.replace("db:", ""), f"db_password: |\n  {secret}\nother: x", f'{{"credentials": {{"value": "{secret}"}}}}', f"credentials:\n  main:\n    value: {secret}\nname: plainplain12",
+        f"secrets = {{\n  'value' => '{secret}',\n}}", f'db_pwd = Secret("{secret}")',
+    ):
+        assert [t[s[0] : s[3]] for s in find(t)] == [secret], t
+    t = 'A="u8Gz!"\nB="qP0xYw2"\npwd = A + B'
+    assert sorted(t[s[0] : s[3]] for s in find(t)) == ["qP0xYw2", "u8Gz!"]
+    for t in ('{"colours": {"value": "u8Gz!qP0xYw2"}}', "<note>u8Gz!qP0xYw2</note>", 'print("Total", "u8Gz!qP0xYw2")', "settings:\n  value: u8Gz!qP0xYw2", "credentials: none\nvalue: u8Gz!qP0xYw2"):
+        assert find(t) == [], t
+
+
+def test_secrets_of_an_empty_table(spark):
+    from fleetlens.llm.secret_scan import scan
+
+    assert scan(spark.createDataFrame([], "text string, secrets int")).count() == 0
+
+
+def test_long_texts_of_brackets_take_no_quadratic_time():
+    import time
+
+    began = time.time()
+    for t in ("{" * 50_000, "a(" * 50_000, "<a>" * 30_000, "key:\n " * 30_000, "a = {" * 20_000 + "}" * 20_000, 'f("a", ' * 20_000, "secret: |\n x" * 10_000):
+        find(t)
+    assert time.time() - began < 30
