@@ -63,9 +63,9 @@ def mix(
     )
     rows = rows.withColumn("_range", F.least(F.lit(ranges - 1), F.floor((1 - F.exp(-F.col("_key"))) * ranges)).cast("int"))
     part = ["_none", "_src", "_range"]
-    slim = staged(rows.filter("_size > 0").groupBy(*part, "_key", "_tie").agg(F.sum("_size").alias("_size")), "mix")
+    slim = staged(rows.groupBy(*part, "_key", "_tie").agg(F.sum("_size").alias("_size")), "mix")
     sums = slim.groupBy(*part).agg(F.sum("_size").alias("_sum"))
-    wanted = targets(rows.groupBy("_none", "_src").agg(F.sum("_size").alias("_total")), weights, share, limit)
+    wanted = targets(sums.groupBy("_none", "_src").agg(F.sum("_sum").alias("_total")), weights, share, limit)
     epochs = F.when(F.col("_total") > 0, F.floor(F.col("_target") / F.col("_total"))).otherwise(0)
     wanted = wanted.withColumn("_epochs", epochs).withColumn("_rest", F.col("_target") - F.col("_epochs") * F.col("_total"))
     earlier = Window.partitionBy("_none", "_src").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
@@ -100,5 +100,5 @@ def words(text: str = "text") -> Column:
 def op3_source_mix(spark, sf_dir: str) -> DataFrame:
     """The mix of all documents: weights 5, 2, 1, 150 % of all words, no more than twice a source."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", words().alias("size"))
-    rated = with_quality(docs, table(spark, sf_dir, "labels"))
+    rated = staged(with_quality(docs, table(spark, sf_dir, "labels")), "mix_sizes")  # so that the words are counted once
     return mix(rated, quality="mix_quality").select("doc_id", "size", "source_size", "target", "taken")
