@@ -29,7 +29,7 @@ from fleetlens.llm.common import packed_row
 
 #: Characters at a chunk's end whose boundaries depend on what follows: the longest lookahead or fixed alternative.
 MARGIN = 8
-KEPT_PIECES, KEPT_LENGTH = 100_000, 48
+KEPT_PIECES, KEPT_LENGTH = 300_000, 48
 
 
 class Encoder(dict):
