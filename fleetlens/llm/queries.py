@@ -1,5 +1,5 @@
-"""The registered queries of this subpackage. Only the classes of op4 have a form in plain SQL that DuckDB runs on small
-tables; the others depend on hashes, learned weights or byte offsets, and are tested against brute force."""
+"""The registered queries of this subpackage. Those whose results plain SQL can state have SQL that DuckDB runs on small tables;
+the others depend on hashes, learned weights or byte offsets, and are tested against brute force."""
 
 from __future__ import annotations
 
@@ -12,6 +12,7 @@ from fleetlens.llm.fingerprints import op1_fingerprints
 from fleetlens.llm.hamming_search import op8_hamming_search
 from fleetlens.llm.jaccard_join import op4_jaccard_join
 from fleetlens.llm.language_id import op7_language_id
+from fleetlens.llm.merkle import op13_merkle_manifest
 from fleetlens.llm.pii import op9_pii
 from fleetlens.llm.repeats import op10_repeats
 from fleetlens.llm.secret_scan import op5_secret_scan
@@ -20,7 +21,7 @@ from fleetlens.llm.toxicity import op6_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fingerprints, op2_byte_bpe, op3_source_mix, op4_jaccard_join, op5_secret_scan, op6_toxicity, op7_language_id, op8_hamming_search, op9_pii, op10_repeats)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_byte_bpe, op3_source_mix, op4_jaccard_join, op5_secret_scan, op6_toxicity, op7_language_id, op8_hamming_search, op9_pii, op10_repeats, op13_merkle_manifest)}
 
 
 #: Lower-cases A-Z alone; a row for each shingle; links by counted intersections; the least id reachable.
@@ -34,6 +35,28 @@ reach AS (SELECT a, b FROM both_ UNION SELECT r.a, l.b FROM reach r JOIN both_ l
 SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, least(s.doc_id, coalesce(m.b, s.doc_id)) AS component_id FROM sets s LEFT JOIN (SELECT a, min(b) AS b FROM reach GROUP BY a) m ON m.a = s.doc_id
 """
 
+#: A level at a time, every row beside its ancestor's digest: first by place in its language, then by place of the language.
+MERKLE_SQL = r"""
+WITH RECURSIVE sums AS (SELECT *, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda ch: CAST(ord(ch) AS BIGINT))),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)), 4294967295) AS crc FROM documents),
+texts AS (SELECT *, concat(coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || CAST(doc_id AS VARCHAR), '-'), coalesce(strlen(source) || ':' || source, '-'), coalesce(strlen(lang) || ':' || lang, '-')) AS head,
+    coalesce(strlen(text) || ':' || text, '-') AS tail, CASE WHEN crc % 7 = 0 THEN n_chars + 1 ELSE n_chars END AS changed FROM sums),
+leaves AS (SELECT doc_id, lang, sha256(concat(head, coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || CAST(n_chars AS VARCHAR), '-'), tail)) AS leaf, sha256(concat(head, coalesce(strlen(CAST(changed AS VARCHAR)) || ':' || CAST(changed AS VARCHAR), '-'), tail)) AS claimed FROM texts),
+placed AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS g FROM leaves),
+low AS (
+  SELECT CAST(1 AS BIGINT) AS w, doc_id, g, i, n, leaf, leaf AS node, claimed AS folded, '' AS proof FROM placed
+  UNION ALL
+  SELECT w * 2, doc_id, g, i, n, leaf, sha256(concat(a, b)), CASE WHEN i // w % 2 = 0 THEN sha256(concat(folded, b)) ELSE sha256(concat(a, folded)) END, concat(proof, CASE WHEN i // w % 2 = 0 THEN coalesce(b, '') ELSE a END)
+  FROM (SELECT *, max(CASE WHEN i // w % 2 = 0 THEN node END) OVER (PARTITION BY g, i // (2 * w)) AS a, max(CASE WHEN i // w % 2 = 1 THEN node END) OVER (PARTITION BY g, i // (2 * w)) AS b FROM low WHERE n > w) q),
+tops AS (SELECT doc_id, g, leaf, node AS subroot, folded, proof, (SELECT count(DISTINCT g) FROM placed) AS m FROM low WHERE n <= w),
+high AS (
+  SELECT CAST(1 AS BIGINT) AS w, doc_id, g, m, leaf, subroot, subroot AS node, folded, proof FROM tops
+  UNION ALL
+  SELECT w * 2, doc_id, g, m, leaf, subroot, sha256(concat(a, b)), CASE WHEN g // w % 2 = 0 THEN sha256(concat(folded, b)) ELSE sha256(concat(a, folded)) END, concat(proof, CASE WHEN g // w % 2 = 0 THEN coalesce(b, '') ELSE a END)
+  FROM (SELECT *, max(CASE WHEN g // w % 2 = 0 THEN node END) OVER (PARTITION BY g // (2 * w)) AS a, max(CASE WHEN g // w % 2 = 1 THEN node END) OVER (PARTITION BY g // (2 * w)) AS b FROM high WHERE m > w) q)
+SELECT doc_id, leaf, subroot, node AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = node AS verified FROM high WHERE m <= w
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_jaccard_join": JACCARD_SQL}
+    return {"op4_jaccard_join": JACCARD_SQL, "op13_merkle_manifest": MERKLE_SQL}
