@@ -17,11 +17,12 @@ from fleetlens.llm.pii import op9_pii
 from fleetlens.llm.repeats import op10_repeats
 from fleetlens.llm.secret_scan import op5_secret_scan
 from fleetlens.llm.source_mix import op3_source_mix
+from fleetlens.llm.stream_bpe import op11_stream_bpe
 from fleetlens.llm.toxicity import op6_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fingerprints, op2_byte_bpe, op3_source_mix, op4_jaccard_join, op5_secret_scan, op6_toxicity, op7_language_id, op8_hamming_search, op9_pii, op10_repeats, op13_merkle_manifest)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_byte_bpe, op3_source_mix, op4_jaccard_join, op5_secret_scan, op6_toxicity, op7_language_id, op8_hamming_search, op9_pii, op10_repeats, op11_stream_bpe, op13_merkle_manifest)}
 
 
 #: Lower-cases A-Z alone; a row for each shingle; links by counted intersections; the least id reachable.
