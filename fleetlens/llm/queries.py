@@ -13,6 +13,7 @@ from fleetlens.llm.hamming_search import op8_hamming_search
 from fleetlens.llm.jaccard_join import op4_jaccard_join
 from fleetlens.llm.language_id import op7_language_id
 from fleetlens.llm.merkle import op13_merkle_manifest
+from fleetlens.llm.phrases import op12_phrases
 from fleetlens.llm.pii import op9_pii
 from fleetlens.llm.repeats import op10_repeats
 from fleetlens.llm.secret_scan import op5_secret_scan
@@ -22,7 +23,7 @@ from fleetlens.llm.toxicity import op6_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fingerprints, op2_byte_bpe, op3_source_mix, op4_jaccard_join, op5_secret_scan, op6_toxicity, op7_language_id, op8_hamming_search, op9_pii, op10_repeats, op11_stream_bpe, op13_merkle_manifest)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_byte_bpe, op3_source_mix, op4_jaccard_join, op5_secret_scan, op6_toxicity, op7_language_id, op8_hamming_search, op9_pii, op10_repeats, op11_stream_bpe, op12_phrases, op13_merkle_manifest)}
 
 
 #: Lower-cases A-Z alone; a row for each shingle; links by counted intersections; the least id reachable.
@@ -58,6 +59,23 @@ high AS (
 SELECT doc_id, leaf, subroot, node AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = node AS verified FROM high WHERE m <= w
 """
 
+#: All phrases of up to four words counted outright; a candidate's cuts, and the candidates that longer ones hide, by joins on the text.
+PHRASES_SQL = r"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+words AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda w: w <> '') AS w FROM pieces),
+grams AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i : i + k - 1], ' '))) AS p FROM words, (VALUES (1), (2), (3), (4)) t(k) WHERE len(w) >= k),
+f AS (SELECT lang, k, p, count(*) AS f FROM grams GROUP BY lang, k, p),
+total AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+found AS (SELECT lang, k, p, string_split(p, ' ') AS w, f AS a FROM f WHERE k >= 2 AND f >= 30),
+cuts AS (SELECT c.lang, c.p, c.a, i, x.f AS l, y.f AS r, CAST(2000000 * CAST(c.a AS HUGEINT) // (x.f + y.f) AS BIGINT) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS i FROM found) c JOIN f x ON x.lang = c.lang AND x.p = array_to_string(c.w[1 : i], ' ') JOIN f y ON y.lang = c.lang AND y.p = array_to_string(c.w[i + 1 : c.k], ' ')),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, i) = 1),
+inside AS (SELECT DISTINCT lang, array_to_string(w[i : j], ' ') AS p, a FROM (SELECT *, unnest(range(i, k + 1)) AS j FROM (SELECT *, unnest(range(1, k + 1)) AS i FROM found) q) q WHERE j - i + 1 < k AND j > i),
+hidden AS (SELECT DISTINCT b.lang, b.p FROM best b JOIN inside i ON i.lang = b.lang AND i.p = b.p AND 100 * i.a >= 80 * b.a),
+kept AS (SELECT b.* FROM best b ANTI JOIN hidden h ON h.lang = b.lang AND h.p = b.p)
+SELECT * FROM (SELECT k.lang, row_number() OVER (PARTITION BY k.lang ORDER BY score DESC, a DESC, p) AS rank, p AS phrase, a, l, r, n, score FROM kept k JOIN total t ON t.lang = k.lang) q WHERE rank <= 2000
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_jaccard_join": JACCARD_SQL, "op13_merkle_manifest": MERKLE_SQL}
+    return {"op4_jaccard_join": JACCARD_SQL, "op12_phrases": PHRASES_SQL, "op13_merkle_manifest": MERKLE_SQL}
