@@ -35,7 +35,9 @@ from pyspark.sql import functions as F
 BLOCK = 1 << 16
 #: Characters before and after a place that decide whether a pre-token starts there: the longest contraction has three.
 MARGIN = 4
-KEPT_PIECES, KEPT_LENGTH = 500_000, 48
+KEPT_PIECES, KEPT_LENGTH = 300_000, 48
+#: Rows whose results stand in memory at once.
+ROWS = 256
 NONE = 1 << 62
 OTHER, LETTER, NUMBER, SPACE = range(4)
 # White space of the pre-tokenizer's pattern, its contractions, and letters and numbers that Unicode 16 added.
@@ -297,11 +299,13 @@ def encode(df: DataFrame, path: str, text: str = "text", decoded: str | None = N
     file = _file(df, path)
 
     @F.pandas_udf("ids array<int>, back string")
-    def run(texts: pd.Series) -> pd.DataFrame:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         m = merges(file.value)
-        ids = [np.frombuffer(p, "<i4") for p in encode_texts(m, (t or "" for t in texts))]
-        back = [decode_ids(m, i) if decoded else None for i in ids]
-        return pd.DataFrame({"ids": pd.Series(ids, dtype=object), "back": pd.Series(back, dtype=object)})
+        for texts in batches:
+            for at in range(0, len(texts), ROWS):
+                ids = [np.frombuffer(p, "<i4") for p in encode_texts(m, (t or "" for t in texts.iloc[at : at + ROWS]))]
+                back = [decode_ids(m, i) if decoded else None for i in ids]
+                yield pd.DataFrame({"ids": pd.Series(ids, dtype=object), "back": pd.Series(back, dtype=object)})
 
     kept = [F.col(f"`{c}`") for c in df.columns if c not in ("ids", "n_tokens", decoded)]
     out = df.select(*kept, run(F.col(f"`{text}`")).alias("_out"))
@@ -314,9 +318,11 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") ->
     file = _file(df, path)
 
     @F.pandas_udf("string")
-    def run(rows: pd.Series) -> pd.Series:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         m = merges(file.value)
-        return pd.Series([None if r is None else decode_ids(m, np.asarray(r)) for r in rows], dtype=object)
+        for rows in batches:
+            for at in range(0, len(rows), ROWS):
+                yield pd.Series([None if r is None else decode_ids(m, np.asarray(r)) for r in rows.iloc[at : at + ROWS]], dtype=object)
 
     return df.withColumn(out, run(F.col(f"`{ids}`")))
 
