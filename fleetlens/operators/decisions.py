@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.functions.scalar import hex_id, image_tag, peer_endpoint, quorum, semver
-from fleetlens.operators.members import KEY, member_summary, probe_summary, status_members
+from fleetlens.operators.members import KEY, probe_aggregates
 from fleetlens.operators.rules import missing_keys, not_ready
 
 
@@ -17,10 +17,10 @@ def cases(*pairs: tuple[Column, object], otherwise=None) -> Column:
     return out.otherwise(otherwise)
 
 
-def upgrade_verdict(clusters: DataFrame, workloads: DataFrame, line: DataFrame) -> DataFrame:
-    """Current tag against wanted version. line(major, minor, idx): the versions in order, a few rows."""
-    j = clusters.select(KEY, F.col("version").alias("target")).join(workloads.select(KEY, "image"), KEY)
-    j = j.withColumn("current", image_tag("image")).withColumn("c", semver("current")).withColumn("t", semver("target"))
+def judged(rows: DataFrame, line: DataFrame) -> DataFrame:
+    """rows(image, version, ...) with `current`, `target` and `verdict`: the image's tag against the wanted version.
+    line(major, minor, idx): the versions in order, a few rows."""
+    j = rows.withColumn("target", F.col("version")).withColumn("current", image_tag("image")).withColumn("c", semver("current")).withColumn("t", semver("target"))
     at = lambda side, name: line.select(F.col("major").alias(f"{side}_a"), F.col("minor").alias(f"{side}_b"), F.col("idx").alias(name))
     j = j.join(at("c", "ci"), (F.col("c.major") == F.col("c_a")) & (F.col("c.minor") == F.col("c_b")), "left")
     j = j.join(at("t", "ti"), (F.col("t.major") == F.col("t_a")) & (F.col("t.minor") == F.col("t_b")), "left")
@@ -29,15 +29,45 @@ def upgrade_verdict(clusters: DataFrame, workloads: DataFrame, line: DataFrame)
         (F.col("current") == F.col("target"), "unchanged"), (F.col("c").isNull() | F.col("t").isNull(), "unvalidated"), (F.col("ci").isNull(), "unknown_current"),
         (F.col("ti").isNull(), "unknown_target"), (lower, "downgrade"), (F.col("ti") - F.col("ci") > 1, "skips_minor"), otherwise="supported",
     )
-    return j.select(KEY, "current", "target", verdict.alias("verdict"))
+    return j.withColumn("verdict", verdict).drop("c", "t", "c_a", "c_b", "t_a", "t_b", "ci", "ti")
+
+
+def upgrade_verdict(clusters: DataFrame, workloads: DataFrame, line: DataFrame) -> DataFrame:
+    """The verdict for each cluster that has a workload."""
+    return judged(clusters.select(KEY, "version").join(workloads.select(KEY, "image"), KEY), line).select(KEY, "current", "target", "verdict")
+
+
+#: The feeds that make up a cluster's state, and what is used of each.
+FEEDS = {
+    "spec": ["uid", "namespace", "name", "size", "generation", "version"], "workload": ["replicas", "ready_replicas", "owner_uid", "is_controller", "image"],
+    "member": ["position", "member_id", "member_name", "is_learner"], "probe": ["endpoint", "ordinal", "health", "has_status", "member_id", "leader", "revision", "version", "is_learner"],
+}
+
+
+def tagged(feeds: dict[str, DataFrame], *more: str) -> DataFrame:
+    """One table of several feeds: KEY, `feed`, the columns of more, and a struct for each feed, null but for a row's own."""
+    kinds = {f: F.struct(*FEEDS[f]).alias(f) for f in feeds}
+    types = {f: df.select(kinds[f]).schema[f].dataType for f, df in feeds.items()}
+    out = None
+    for feed, df in feeds.items():
+        one = df.select(KEY, F.lit(feed).alias("feed"), *more, *[kinds[f] if f == feed else F.lit(None).cast(types[f]).alias(f) for f in feeds])
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def gathered(rows: DataFrame) -> DataFrame:
+    """One row for each cluster that has a spec, from the tagged rows of all feeds: one exchange on the cluster, for conditions, action and
+    status alike. `each_member` and `each_probe` hold its members by position and its probes by endpoint."""
+    probes = probe_aggregates("probe.", F.col("probe").isNotNull())
+    members = [F.count("member").alias("members"), F.some(F.col("member.is_learner")).alias("any_learner")]
+    lists = [F.array_sort(F.collect_list("member")).alias("each_member"), F.array_sort(F.collect_list("probe")).alias("each_probe")]
+    out = rows.groupBy(KEY).agg(F.first("spec", ignorenulls=True).alias("spec"), F.first("workload", ignorenulls=True).alias("workload"), *members, *probes, *lists)
+    return out.filter("spec IS NOT NULL").select(KEY, "spec.*", "workload.*", *[c for c in out.columns if c not in (KEY, "spec", "workload")])
 
 
 def observed(clusters: DataFrame, workloads: DataFrame, members: DataFrame, probes: DataFrame) -> DataFrame:
-    """One row for each cluster with all that conditions, status and action need; every side is keyed by the cluster."""
-    w = workloads.select(KEY, "replicas", "ready_replicas", "owner_uid", "is_controller")
-    out = clusters.select(KEY, "uid", "namespace", "name", "size", "generation").join(w, KEY, "left")
-    out = out.join(member_summary(members), KEY, "left").join(probe_summary(probes), KEY, "left")
-    return out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("members", "probes", "healthy")})
+    """One row for each cluster with all that conditions, status and action need."""
+    return gathered(tagged({"spec": clusters, "workload": workloads, "member": members, "probe": probes}))
 
 
 def conditions(state: DataFrame) -> DataFrame:
@@ -66,9 +96,9 @@ def conditions(state: DataFrame) -> DataFrame:
     return state.select(KEY, F.explode(F.array(available, progressing, degraded)).alias("c")).select(KEY, "c.*")
 
 
-def next_action(state: DataFrame, verdicts: DataFrame, victim: str = "last_by_text") -> DataFrame:
-    """The first action that applies, its argument, and whether a learner is promoted or the victim leads."""
-    s = state.join(verdicts.select(KEY, "verdict"), KEY, "left")
+def next_action(state: DataFrame, victim: str = "last_by_text") -> DataFrame:
+    """state as `judged` gives it: the first action that applies, its argument, and whether a learner is promoted or the victim leads."""
+    s = state
     r, n, z = F.col("replicas"), F.col("members"), F.col("size")
     no_leader = (n > 0) & F.col("leader").isNull()
     learner = F.col("learner").isNotNull() & F.col("leader").isNotNull()
@@ -93,13 +123,24 @@ def next_action(state: DataFrame, verdicts: DataFrame, victim: str = "last_by_te
     )
 
 
-def cluster_status(state: DataFrame, previous: DataFrame, members: DataFrame, probes: DataFrame) -> DataFrame:
-    """One row for each cluster, with `members`: an array of (position, id, name, is_healthy, version, is_leader, is_learner)."""
+def cluster_status(state: DataFrame, previous: Column) -> DataFrame:
+    """One row for each cluster, with `members`: an array of (position, id, name, is_healthy, version, is_leader, is_learner), each
+    with what its probe (by id, the first by endpoint) says; without one a member isn't healthy. previous: the version
+    that stands where no probe gives one."""
     first = F.when(F.col("first_probe.has_status"), F.col("first_probe.version"))
-    s = state.join(previous, KEY, "left").join(status_members(members, probes).withColumnRenamed("members", "_each"), KEY, "left")
-    return s.select(
+    no = lambda c: F.coalesce(c, F.lit(False))
+
+    def one(m: Column) -> Column:
+        p = F.get(F.filter("each_probe", lambda x: x["member_id"] == m["member_id"]), F.lit(0))
+        return F.struct(
+            m["position"].alias("position"), hex_id(m["member_id"]).alias("id"), m["member_name"].alias("name"), no(p["health"]).alias("is_healthy"), p["version"].alias("version"),
+            no(p["leader"] == p["member_id"]).alias("is_leader"), no(m["is_learner"]).alias("is_learner"),
+        )
+
+    each = F.when(F.size("each_member") > 0, F.transform("each_member", one))
+    return state.select(
         KEY, F.col("generation").alias("observed_generation"), F.coalesce("replicas", F.lit(0)).alias("current_replicas"), F.coalesce("ready_replicas", F.lit(0)).alias("ready_replicas"),
-        F.col("members").alias("member_count"), hex_id(F.col("leader.member_id")).alias("leader_id"), F.coalesce("leader.version", first, "previous").alias("current_version"), F.col("_each").alias("members"),
+        F.col("members").alias("member_count"), hex_id(F.col("leader.member_id")).alias("leader_id"), F.coalesce("leader.version", first, previous).alias("current_version"), each.alias("members"),
     )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens.functions.scalar import client_endpoint, hex_id, quorum
@@ -10,22 +10,29 @@ from fleetlens.functions.scalar import client_endpoint, hex_id, quorum
 KEY = "cluster_id"
 
 
+def probe_aggregates(of: str = "", there: Column | None = None, count_unreachable: bool = False) -> list[Column]:
+    """The aggregates of `probe_summary`; of: what stands before a probe's columns; there: whether a row is a probe at all."""
+    c = lambda name: F.col(f"{of}{name}")
+    row = F.lit(True) if there is None else there
+    leads = row & F.coalesce(c("leader") == c("member_id"), F.lit(False))
+    learns = row & F.coalesce(c("is_learner"), F.lit(False))
+    bad = row & ~c("health") & (F.lit(True) if count_unreachable else c("has_status"))
+    first = lambda names, cond: F.min_by(F.when(cond, F.struct(*[c(n).alias(n) for n in names])), F.when(cond, c("endpoint")))
+    return [
+        F.count_if(row).alias("probes"), F.count_if(row & c("health")).alias("healthy"), F.every(c("health")).alias("all_healthy"),
+        first(["member_id", "revision", "version"], leads).alias("leader"), first(["member_id", "revision", "ordinal"], learns).alias("learner"),
+        first(["has_status", "version"], row).alias("first_probe"),
+        F.max_by(c("member_id"), c("endpoint")).alias("last_by_text"), F.max_by(c("member_id"), c("ordinal")).alias("last_by_ordinal"),
+        F.array_sort(F.collect_list(F.when(bad, F.struct(c("endpoint").alias("endpoint"), hex_id(F.coalesce(c("member_id"), F.lit(0))).alias("id"))))).alias("bad"),
+    ]
+
+
 def probe_summary(probes: DataFrame, count_unreachable: bool = False) -> DataFrame:
     """Everything that the decisions need of a cluster's probes, in one aggregation (one exchange on the cluster).
 
     The leader is the first probe, by endpoint text, whose status names itself; the learner likewise. Probes without a
     status are neither. Unhealthy members are those whose status is known, unless count_unreachable is set."""
-    leads = F.coalesce(F.col("leader") == F.col("member_id"), F.lit(False))
-    learns = F.coalesce(F.col("is_learner"), F.lit(False))
-    bad = ~F.col("health") & (F.lit(True) if count_unreachable else F.col("has_status"))
-    first = lambda c, cond: F.min_by(F.when(cond, F.struct(*c)), F.when(cond, F.col("endpoint")))
-    return probes.groupBy(KEY).agg(
-        F.count("*").alias("probes"), F.count_if("health").alias("healthy"), F.every(F.col("health")).alias("all_healthy"),
-        first(["member_id", "revision", "version"], leads).alias("leader"), first(["member_id", "revision", "ordinal"], learns).alias("learner"),
-        F.min_by(F.struct("has_status", "version"), "endpoint").alias("first_probe"),
-        F.max_by("member_id", "endpoint").alias("last_by_text"), F.max_by("member_id", "ordinal").alias("last_by_ordinal"),
-        F.array_sort(F.collect_list(F.when(bad, F.struct("endpoint", hex_id(F.coalesce("member_id", F.lit(0))).alias("id"))))).alias("bad"),
-    )
+    return probes.groupBy(KEY).agg(*probe_aggregates(count_unreachable=count_unreachable))
 
 
 def member_summary(members: DataFrame) -> DataFrame:
@@ -85,15 +92,6 @@ def pairing_audit(members: DataFrame, probes: DataFrame) -> DataFrame:
     return out.filter(~F.col("by_id").eqNullSafe(F.col("by_position")))
 
 
-def status_members(members: DataFrame, probes: DataFrame) -> DataFrame:
-    """(KEY, members): a cluster's members by position, with what their probe (by id) says; without one a member isn't healthy."""
-    p = probes.filter("member_id IS NOT NULL").select(KEY, "member_id", "health", "version", (F.col("leader") == F.col("member_id")).alias("leads"))
-    j = members.select(KEY, "member_id", "position", "member_name", "is_learner").join(p, [KEY, "member_id"], "left")
-    no = lambda c: F.coalesce(c, F.lit(False))
-    one = F.struct("position", hex_id("member_id").alias("id"), F.col("member_name").alias("name"), no("health").alias("is_healthy"), "version", no("leads").alias("is_leader"), no("is_learner").alias("is_learner"))
-    return j.groupBy(KEY).agg(F.array_sort(F.collect_list(one)).alias("members"))
-
-
 def probe_targets(workloads: DataFrame, members: DataFrame) -> DataFrame:
     """Endpoints of the first min(replicas, members) ordinals."""
     w = workloads.join(member_summary(members), KEY).withColumn("n", F.least("replicas", "members").cast("int")).filter("n > 0")
@@ -114,8 +112,12 @@ def identity_drift(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def snapshot_diff(desired: DataFrame, observed: DataFrame) -> DataFrame:
-    """(cluster, member_name) rows of one side only, with the side."""
-    return desired.exceptAll(observed).withColumn("side", F.lit("missing")).unionByName(observed.exceptAll(desired).withColumn("side", F.lit("unexpected")))
+    """(cluster, member_name) rows of one side only, with the side, as often as that side has more of them: one signed count."""
+    keys = desired.columns
+    both = desired.withColumn("_n", F.lit(1)).unionByName(observed.select(*keys).withColumn("_n", F.lit(-1)))
+    more = both.groupBy(*keys).agg(F.sum("_n").alias("_n")).filter("_n <> 0")
+    side = F.when(F.col("_n") > 0, "missing").otherwise("unexpected")
+    return more.select(*keys, side.alias("side"), F.explode(F.expr("sequence(1L, abs(_n))")).alias("_k")).drop("_k")
 
 
 def ordinal_gaps(members: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from fleetlens.functions import scalar as s
 from fleetlens.operators import decisions, history, members, rules
 from fleetlens.plans.fixtures import view, with_views
-from fleetlens.sources import readers
+from fleetlens.sources.keyed import StatusHistory
 from fleetlens.sources.shared import folder
 
 AS_OF = "1998-01-01 00:00:00"
@@ -332,19 +332,24 @@ _ACTION = f"""{_STATE}, verdicts AS ({_VERDICT}), acted AS (SELECT s.*, coalesce
     FROM state s LEFT JOIN verdicts v ON v.cluster_id = s.cluster_id),
     decided AS (SELECT cluster_id, action, CASE action WHEN 'workload_grow' THEN CAST(replicas + 1 AS VARCHAR) WHEN 'workload_shrink' THEN CAST(replicas - 1 AS VARCHAR) WHEN 'scale_out' THEN {url('name', 'namespace', 'replicas', 2380)} WHEN 'scale_in' THEN format('{{:x}}', CAST(victim AS UBIGINT)) END AS argument,
       action IN ('up_to_date', 'scale_out', 'scale_in') AND learner_id IS NOT NULL AND leader_id IS NOT NULL AND ready AS promote, coalesce(action = 'scale_in' AND leader_id = victim, false) AS victim_is_leader FROM acted)"""
-query("next_action", *_four, "fx_version_line", sql=f"WITH {_ACTION} SELECT * FROM decided")(lambda c, w, m, p, line: decisions.next_action(decisions.observed(c, w, m, p), decisions.upgrade_verdict(c, w, line)))
+query("next_action", *_four, "fx_version_line", sql=f"WITH {_ACTION} SELECT * FROM decided")(lambda c, w, m, p, line: decisions.next_action(decisions.judged(decisions.observed(c, w, m, p), line)))
 query("fleet_summary", *_four, "fx_version_line", sql=f"WITH {_ACTION} SELECT action, count(*) AS clusters, count(*) FILTER (WHERE promote) AS promoting FROM decided GROUP BY action")(
-    lambda c, w, m, p, line: decisions.next_action(decisions.observed(c, w, m, p), decisions.upgrade_verdict(c, w, line)).groupBy("action").agg(F.count("*").alias("clusters"), F.count_if("promote").alias("promoting"))
+    lambda c, w, m, p, line: decisions.next_action(decisions.judged(decisions.observed(c, w, m, p), line)).groupBy("action").agg(F.count("*").alias("clusters"), F.count_if("promote").alias("promoting"))
 )
 query("fleet_summary_conditions", *_four, sql=f"""WITH cond AS ({_CONDITIONS.replace("WITH state", "WITH state", 1)}), each_ AS (SELECT cluster_id, max(status) FILTER (WHERE type = 'Available') AS available, max(status) FILTER (WHERE type = 'Progressing') AS progressing,
     max(status) FILTER (WHERE type = 'Degraded') AS degraded FROM cond GROUP BY cluster_id) SELECT available, progressing, degraded, count(*) AS clusters FROM each_ GROUP BY ALL""")(lambda *v: decisions.condition_summary(decisions.conditions(decisions.observed(*v))))
+
+
+def flat_status(status: DataFrame) -> DataFrame:
+    """The member array as one text."""
+    return status.withColumn("members", F.expr("array_join(transform(members, m -> concat_ws(':', m.position, m.id, m.name, m.is_healthy, coalesce(m.version, ''), m.is_leader, m.is_learner)), ',')"))
+
+
 _EACH = """SELECT m.cluster_id, string_agg(concat(m.position, ':', format('{:x}', CAST(m.member_id AS UBIGINT)), ':', m.member_name, ':', CASE WHEN p.health THEN 'true' ELSE 'false' END, ':', coalesce(p.version, ''), ':',
     CASE WHEN p.leader = p.member_id THEN 'true' ELSE 'false' END, ':', CASE WHEN m.is_learner THEN 'true' ELSE 'false' END), ',' ORDER BY m.position) AS members FROM fx_members m LEFT JOIN fx_probes p ON p.cluster_id = m.cluster_id AND p.member_id = m.member_id GROUP BY m.cluster_id"""
 query("cluster_status", *_four, sql=f"""WITH {_STATE}, v AS ({_VERSION}), e AS ({_EACH}) SELECT s.cluster_id, e.members, generation AS observed_generation, coalesce(replicas, 0) AS current_replicas, coalesce(ready_replicas, 0) AS ready_replicas, s.members AS member_count,
     format('{{:x}}', CAST(leader_id AS UBIGINT)) AS leader_id, v.version AS current_version FROM state s JOIN v ON v.cluster_id = s.cluster_id LEFT JOIN e ON e.cluster_id = s.cluster_id""")(
-    lambda c, w, m, p: decisions.cluster_status(decisions.observed(c, w, m, p), c.select("cluster_id", F.col("version").alias("previous")), m, p).withColumn("members", F.expr(
-        "array_join(transform(members, m -> concat_ws(':', m.position, m.id, m.name, m.is_healthy, coalesce(m.version, ''), m.is_leader, m.is_learner)), ',')"
-    ))
+    lambda c, w, m, p: flat_status(decisions.cluster_status(decisions.observed(c, w, m, p), F.col("version")))
 )
 _EXPECTED = "SELECT s.cluster_id, s.provider, concat(s.name, '-', t.purpose, '-tls') AS secret_name FROM fx_specs s, (VALUES ('client'), ('server'), ('peer')) t(purpose) WHERE s.has_tls"
 
@@ -369,9 +374,10 @@ query("condition_transitions", "fx_history", sql=f"SELECT cluster_id, ordinal, p
 )
 @query("sink_status", "fx_history", sql="SELECT cluster_id, ts, probe_id, status, revision FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY ts DESC, probe_id DESC) AS k FROM fx_history) q WHERE k = 1")
 def sink_status(h: DataFrame) -> DataFrame:
-    """A status row for each cluster and day, written by day, one half of the days twice; the latest of what is there."""
-    key, order, path = ["cluster_id"], ["ts", "probe_id"], folder(h.sparkSession, "status")
-    daily = history.latest(h.select("cluster_id", F.to_date("ts").alias("day"), "ts", "probe_id", "status", "revision"), ["cluster_id", "day"], order)
-    readers.write_status(daily, path, "day")
-    readers.write_status(daily.filter("day(day) % 2 = 0"), path, "day")
-    return history.latest(h.sparkSession.read.schema(daily.schema).parquet(path).drop("day"), key, order)
+    """A status row for each cluster and day, written by day in four writes, the second of them twice; the latest of what is there."""
+    key, order, columns = ["cluster_id"], ["ts", "probe_id"], ["cluster_id", "ts", "probe_id", "status", "revision"]
+    rows = h.select(*columns)
+    sink = StatusHistory(h.sparkSession, folder(h.sparkSession, "status"), rows.schema, key, order)
+    for quarter in (0, 2, 1, 3, 2):
+        sink.write(history.latest(rows.filter(F.pmod(F.dayofmonth("ts"), F.lit(4)) == quarter), key, order).select(*columns), f"days {quarter}")
+    return sink.latest()

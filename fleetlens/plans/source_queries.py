@@ -68,8 +68,10 @@ def src_kv_hashes(h: DataFrame) -> DataFrame:
 def src_changes(h: DataFrame) -> DataFrame:
     op = F.when(F.col("event_type") == "error", "delete").otherwise("update")
     feed = h.select(F.lit("workload").alias("kind"), op.alias("op"), F.concat(F.lit("ns-"), F.col("cluster_id") % 25).alias("namespace"), F.concat(F.lit("c"), "cluster_id").alias("name"), F.col("probe_id").alias("version"))
-    stream = readers.changes(h.sparkSession, _written(feed.select(F.to_json(F.struct("*")).alias("value")), "feed"))
-    return readers.live(run_once(stream, folder(h.sparkSession, "changes")))
+    path = _written(feed.select(F.to_json(F.struct("*")).alias("value")).repartition(4, "value"), "feed")
+    live = readers.LiveTable(h.sparkSession, folder(h.sparkSession, "live"))
+    run_once(readers.changes(h.sparkSession, path, files=2), folder(h.sparkSession, "changes"), live.apply)
+    return live.objects().select("kind", "namespace", "name", "op", "version")
 
 
 @query("src_certs", "fx_certs", sql="SELECT namespace, secret_name, not_before, not_after, len(string_split(key_names, ',')) AS keys, first_condition FROM fx_certs")

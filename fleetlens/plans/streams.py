@@ -1,12 +1,13 @@
-"""Streaming queries over the events table, read as a file stream and run over what is there."""
+"""Streaming queries over the fixture views: replayed in several micro-batches, out of order, with repeats and with rows that come too late."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.plans.fixtures import VIEWS, view, with_views
-from fleetlens.plans.registry import _queries, _sql
+from fleetlens.operators.decisions import tagged
+from fleetlens.plans.fixtures import view, with_views
+from fleetlens.plans.registry import _queries, _sql, flat_status
 from fleetlens.sources.shared import folder
 from fleetlens.streaming import streams
 
@@ -15,12 +16,16 @@ def _folder(spark: SparkSession) -> str:
     return folder(spark, "stream")
 
 
-def history_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """fx_history as a stream; its times are instants, as watermarks need."""
-    path = f"{sf_dir}/events.parquet"
-    # a pattern, as a file stream takes a plain path for a folder
-    rows = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf_dir}/events.parque[t]")
-    return spark.sql(VIEWS["fx_history"], events=rows).withColumn("ts", F.col("ts").cast("timestamp"))
+def history_stream(spark: SparkSession, sf_dir: str, spans: int = 4) -> DataFrame:
+    """fx_history as a stream of micro-batches, one for each span of time. A row comes up to 20 seconds out of order; the last batch also
+    holds a fifth of the first span's rows once more, with another status: they are behind every watermark, and count nowhere."""
+    rows = view(spark, sf_dir, "fx_history").withColumn("ts", F.col("ts").cast("timestamp"))
+    first, last = rows.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    comes = F.unix_micros("ts") + F.col("probe_id") % 20 * 1_000_000
+    span = F.least(F.floor((comes - first) / ((last - first) / spans + 1)), F.lit(spans - 1))
+    rows = rows.withColumn("span", span)
+    again = rows.filter("span = 0 AND probe_id % 5 = 0").withColumns({"span": F.lit(spans - 1).cast("bigint"), "status": F.lit("Late"), "health": F.lit(False), "probe_id": -F.col("probe_id")})
+    return streams.replay(rows.unionByName(again), folder(spark, "history"), [F.col("span") == k for k in range(spans)]).drop("span")
 
 
 def _add(name: str, run, sql: str | None = None) -> None:
@@ -55,28 +60,43 @@ def _transitions(spark: SparkSession, d: str) -> DataFrame:
         return _ntz(streams.run_once(streams.condition_transitions(rows), _folder(spark)), "ts")
 
 
-_add("stream_condition_transitions", _transitions, _sql["condition_transitions"])
+_add("stream_condition_transitions", _transitions, f"SELECT * FROM ({_sql['condition_transitions'][_sql['condition_transitions'].rindex('SELECT cluster_id, ordinal, probe_id'):]}) t WHERE ts < (SELECT max(ts) - INTERVAL '10' MINUTE FROM fx_history)")
 
 
-def _upsert(spark: SparkSession, d: str) -> DataFrame:
-    path, key, order = _folder(spark), ["cluster_id"], ["ts", "probe_id"]
-    rows = history_stream(spark, d).select("cluster_id", "ts", "probe_id", "status", "revision")
-    batches = streams.run_once(rows, path, streams.status_upsert(f"{path}/rows", key, order))
-    return _ntz(streams.latest(batches.drop("batch"), key, order), "ts")
+def status_feed(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of all feeds, tagged: each as it is (version 2), as it was (1), and members that came (2) and went (3)."""
+    c, w, m, p = (view(spark, d, v) for v in ("fx_clusters", "fx_workloads", "fx_members", "fx_probes"))
+    item = {"spec": F.lit(""), "workload": F.lit(""), "member": F.col("member_id").cast("string"), "probe": F.col("endpoint")}
 
+    def feed(version: int, deleted: bool = False, **tables: DataFrame) -> DataFrame:
+        rows = {k: t.withColumns({"item": item[k], "version_": F.lit(version).cast("bigint"), "deleted": F.lit(deleted)}) for k, t in tables.items()}
+        return tagged(rows, "item", "version_", "deleted").withColumnRenamed("version_", "version")
 
-_add("stream_status_upsert", _upsert, _sql["sink_status"])
+    now = feed(2, spec=c, workload=w, member=m, probe=p)
+    before = feed(1, spec=c.withColumn("generation", F.col("generation") - 1), workload=w.withColumn("replicas", F.col("replicas") + 1), member=m.withColumn("is_learner", ~F.col("is_learner")), probe=p.withColumn("health", ~F.col("health")))
+    ghosts = m.filter("cluster_id % 7 = 0 AND ordinal = 0").withColumn("member_id", F.col("member_id") + 50)
+    return now.unionByName(before).unionByName(feed(2, member=ghosts), True).unionByName(feed(3, True, member=ghosts), True)
+
+
+def _status(spark: SparkSession, d: str, batches: int = 4) -> DataFrame:
+    rows = status_feed(spark, d)
+    table = streams.FleetStatus(spark, _folder(spark), rows.schema)
+    comes = F.pmod(F.xxhash64("cluster_id", "feed", "item", "version"), F.lit(batches))
+    streams.run_once(streams.replay(rows, folder(spark, "feed"), [comes == k for k in range(batches)]), _folder(spark), table.apply)
+    return flat_status(table.current())
+
+
+_add("stream_status_upsert", _status, _sql["cluster_status"])
 
 
 def _ready(spark: SparkSession, d: str) -> DataFrame:
     h = history_stream(spark, d)
     changes = h.filter("event_type = 'signup'").select("cluster_id", F.col("probe_id").alias("change_id"), "ts")
-    out = streams.run_once(streams.time_to_ready(changes, h.filter("event_type = 'purchase'")), _folder(spark))
-    first = out.groupBy("cluster_id", "change_id", "ts").agg(F.min("ready_at").alias("ready_at"))
-    # a change without a report that the watermark hasn't passed can still find one: it is pending and left out
-    last = lambda kind: F.max(F.when(F.col("event_type") == kind, F.col("ts")))
-    end = view(spark, d, "fx_history").agg((F.least(last("signup"), last("purchase")) - F.expr("INTERVAL 8 HOURS")).alias("end"))
-    return _ntz(first, "ts", "ready_at").join(F.broadcast(end), F.col("ready_at").isNotNull() | (F.col("ts") < F.col("end"))).drop("end")
+    with streams.with_rocksdb(spark):
+        return _ntz(streams.run_once(streams.time_to_ready(changes, h.filter("event_type = 'purchase'")), _folder(spark)), "ts", "ready_at")
 
 
-_add("stream_time_to_ready", _ready, f"SELECT cluster_id, change_id, ts, ready_at FROM (SELECT c.cluster_id, c.probe_id AS change_id, c.ts, min(r.ts) AS ready_at FROM fx_history c LEFT JOIN fx_history r ON r.cluster_id = c.cluster_id AND r.event_type = 'purchase' AND r.ts >= c.ts AND r.ts <= c.ts + INTERVAL '6' HOUR WHERE c.event_type = 'signup' GROUP BY 1, 2, 3) q WHERE ready_at IS NOT NULL OR ts < (SELECT least(max(ts) FILTER (WHERE event_type = 'signup'), max(ts) FILTER (WHERE event_type = 'purchase')) - INTERVAL '8' HOUR FROM fx_history)")
+_add("stream_time_to_ready", _ready, """
+    WITH q AS (SELECT c.cluster_id, c.probe_id AS change_id, c.ts, min(r.ts) AS ready_at FROM fx_history c LEFT JOIN fx_history r ON r.cluster_id = c.cluster_id AND r.event_type = 'purchase' AND r.ts >= c.ts AND r.ts <= c.ts + INTERVAL '6' HOUR
+      WHERE c.event_type = 'signup' GROUP BY 1, 2, 3), e AS (SELECT max(ts) - INTERVAL '1' HOUR AS mark FROM fx_history WHERE event_type IN ('signup', 'purchase'))
+    SELECT cluster_id, change_id, ts, ready_at FROM q, e WHERE ready_at < mark OR ready_at IS NULL AND ts + INTERVAL '6' HOUR < mark""")

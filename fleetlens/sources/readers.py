@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fleetlens.sources.keyed import KeyedTable
+from fleetlens.sources.shared import staged
+
 CLUSTER = (
     "metadata struct<namespace:string,name:string,uid:string,generation:bigint>,"
     "spec struct<size:int,version:string,imageRegistry:string,options:array<string>,"
@@ -101,9 +104,9 @@ def certs_text(text: DataFrame, column: str = "value") -> DataFrame:
     return text.select(F.from_json(column, CERT).alias("c")).filter("c IS NOT NULL").select("c.*")
 
 
-def changes(spark: SparkSession, path: str) -> DataFrame:
-    """The change feed as a stream of JSON lines."""
-    return spark.readStream.schema(CHANGE).json(path)
+def changes(spark: SparkSession, path: str, files: int = 1000) -> DataFrame:
+    """The change feed as a stream of JSON lines, some files in a micro-batch at most."""
+    return spark.readStream.schema(CHANGE).option("maxFilesPerTrigger", files).json(path)
 
 
 def live(feed: DataFrame) -> DataFrame:
@@ -112,6 +115,21 @@ def live(feed: DataFrame) -> DataFrame:
     return last.filter("op <> 'delete'")
 
 
-def write_status(status: DataFrame, path: str, tick: str = "tick") -> None:
-    """Keeps every tick; running a tick again replaces it alone."""
-    status.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(tick).parquet(path)
+class LiveTable:
+    """The live objects of a change feed, kept up batch by batch. The last change of every object stays, a delete as well, so that
+    an older change that comes later doesn't bring the object back; `forget` drops deletes that no such change can follow any more."""
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 16) -> None:
+        self.table = KeyedTable(spark, path, CHANGE, ["kind", "namespace", "name"], ["version"], buckets=buckets)
+
+    def apply(self, batch: DataFrame, number: int) -> None:
+        """For foreachBatch."""
+        self.table.merge(batch, number)
+
+    def objects(self) -> DataFrame:
+        return self.table.read().filter("op <> 'delete'")
+
+    def forget(self, before: int) -> None:
+        """Drops deletes of versions less than `before`, in the place of the newest version."""
+        kept = staged(self.table.read().filter(~((F.col("op") == "delete") & (F.col("version") < before))), "live")
+        self.table.replace(kept, list(range(self.table.buckets)), self.table.versions()[-1] + 1)

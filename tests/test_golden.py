@@ -66,7 +66,11 @@ def test_pairing_audit_status_and_time_to_ready(spark):
     m = spark.createDataFrame([(1, 10, 0, "c-0", False), (1, 11, 1, "c-1", True), (2, 20, 0, "d-0", None)], "cluster_id long, member_id long, position int, member_name string, is_learner boolean")
     p = spark.createDataFrame([(1, "b", 10, True, "v", 10), (1, "a", 11, False, "w", 10), (1, "c", None, True, None, None)], "cluster_id long, endpoint string, member_id long, health boolean, version string, leader long")
     assert sorted((r.member_id, r.by_id, r.by_position) for r in members.pairing_audit(m, p).collect()) == [(10, "b", "a"), (11, "a", "b")]
-    got = {r.cluster_id: [tuple(x) for x in r.members] for r in members.status_members(m, p).collect()}
+    p = p.withColumns({"ordinal": F.lit(0), "has_status": F.col("leader").isNotNull(), "revision": F.lit(1), "is_learner": F.lit(False)})
+    spec = m.select("cluster_id", F.lit(1).alias("uid"), F.lit("ns").alias("namespace"), F.lit("c").alias("name"), F.lit(3).alias("size"), F.lit(1).alias("generation"), F.lit("v").alias("version")).distinct()
+    w = spec.select("cluster_id", F.lit(3).alias("replicas"), F.lit(3).alias("ready_replicas"), F.lit(1).alias("owner_uid"), F.lit(True).alias("is_controller"), F.lit("r:v").alias("image"))
+    status = decisions.cluster_status(decisions.observed(spec, w, m, p), F.lit("before"))
+    got = {r.cluster_id: [tuple(x) for x in r.members] for r in status.collect()}
     assert got == {1: [(0, "a", "c-0", True, "v", True, False), (1, "b", "c-1", False, "w", False, True)], 2: [(0, "14", "d-0", False, None, False, False)]}
     t = lambda *rows: spark.createDataFrame(rows, "cluster_id long, change_id long, t string").select("cluster_id", "change_id", F.col("t").cast("timestamp_ntz").alias("ts"))
     out = history.time_to_ready(t((1, 1, "2020-01-01 00:00:00"), (1, 2, "2020-01-01 05:00:00"), (2, 3, "2020-01-01 00:00:00")), t((1, 0, "2020-01-01 00:00:00"), (1, 0, "2020-01-01 06:00:01"), (2, 0, "2020-01-01 06:00:01")), "6 HOURS")
