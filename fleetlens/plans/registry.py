@@ -370,7 +370,7 @@ for _name, _said in (("cert_verdict", _STATUS), ("cert_verdict_strict", _STRICT)
 
 _RUNS = "SELECT *, lag(status) OVER (PARTITION BY cluster_id, ordinal ORDER BY ts, probe_id) AS before FROM fx_history"
 query("condition_transitions", "fx_history", sql=f"SELECT cluster_id, ordinal, probe_id, ts, status, row_number() OVER (PARTITION BY cluster_id, ordinal ORDER BY ts, probe_id) AS run FROM ({_RUNS}) q WHERE before IS DISTINCT FROM status")(
-    lambda h: history.condition_transitions(h.select("cluster_id", "ordinal", "probe_id", "ts", "status"), ["cluster_id", "ordinal"], ["ts", "probe_id"])
+    lambda h: history.condition_transitions(h.select("cluster_id", "ordinal", "probe_id", "ts", "status"), ["cluster_id", "ordinal"], ["ts", "probe_id"], by=history.span())
 )
 @query("sink_status", "fx_history", sql="SELECT cluster_id, ts, probe_id, status, revision FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY ts DESC, probe_id DESC) AS k FROM fx_history) q WHERE k = 1")
 def sink_status(h: DataFrame) -> DataFrame:
