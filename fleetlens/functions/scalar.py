@@ -5,6 +5,8 @@ All are Catalyst expressions. A text that doesn't parse gives null (or a column
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -99,6 +101,11 @@ def image_tag(image, mode: str = "first") -> Column:
     return F.when(F.instr(i, ":") > 0, tag)
 
 
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of the value, which is worked out once however often body mentions it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def hex_id(id) -> Column:
     """Lower hexadecimal of an unsigned 64-bit id."""
     return F.lower(F.conv(col(id).cast("decimal(20,0)").cast("string"), 10, 16))
@@ -107,7 +114,10 @@ def hex_id(id) -> Column:
 def duration_ns(text, default_ns: int) -> Column:
     """Nanoseconds; the default for empty text; null where the text is no duration. Days are no unit. Whole numbers and
     fractions (of up to 18 digits) are multiplied by the unit one by one, and what is less than a nanosecond is cut off."""
-    t = col(text)
+    return once(col(text), lambda t: _duration(t, default_ns))
+
+
+def _duration(t: Column, default_ns: int) -> Column:
     unit = "(?:ns|us|µs|μs|ms|s|m|h)"
     parts = F.regexp_extract_all(t, F.lit(rf"([0-9]+\.?[0-9]*|\.[0-9]+){unit}"), F.lit(0))
     factor = F.create_map(*[x for u, n in DURATION_UNITS.items() for x in (F.lit(u), F.lit(n).cast("decimal(14,0)"))])
@@ -119,23 +129,31 @@ def duration_ns(text, default_ns: int) -> Column:
         return (whole + F.floor(below * unit_ns)).cast("decimal(38,0)")
 
     total = F.aggregate(parts, F.lit(0).cast("decimal(38,0)"), lambda a, p: (a + value(p)).cast("decimal(38,0)"))
-    signed = F.when(F.startswith(t, F.lit("-")), -total).otherwise(total).try_cast("bigint")
+    signed = once(total, lambda n: F.when(F.startswith(t, F.lit("-")), -n).otherwise(n).try_cast("bigint"))
     return F.when(t == "", F.lit(default_ns).cast("bigint")).when(t.isin("0", "+0", "-0"), F.lit(0).cast("bigint")).when(t.rlike(rf"^[+-]?(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+){unit})+$"), signed)
 
 
 def quantity(text) -> Column:
-    """decimal(38,9) units; null where the text is no quantity. Exponents may have a fraction."""
-    t = col(text)
-    number = F.regexp_extract(t, r"^([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+))", 1)
+    """decimal(38,9) units; null where the text is no quantity. What is less than the ninth decimal is rounded away from zero, of a
+    fraction's digits after the 16th as well; numbers that are too large give the largest. Exponents may have a fraction."""
+    return once(col(text), _quantity)
+
+
+def _quantity(t: Column) -> Column:
     suffix = F.regexp_extract(t, r"^[+-]?[0-9.]+(.*)$", 1)
     pick = lambda table, kind: F.try_element_at(F.create_map(*[x for k, v in table.items() for x in (F.lit(k), F.lit(str(v)).cast(kind))]), suffix)
+    digits = F.regexp_extract(t, r"^[+-]?[0-9]*\.([0-9]*)", 1)
+    whole = F.concat(F.lit("0"), F.regexp_extract(t, r"^[+-]?([0-9]*)", 1)).try_cast("decimal(38,0)")
+    least = F.when(digits.rlike("^.{16}.*[1-9]"), F.lit("0.0000000000000001")).otherwise("0").cast("decimal(16,16)")
+    below = F.concat(F.lit("0."), F.substring(digits, 1, 16), F.lit("0")).cast("decimal(16,16)") + least
     factor = pick(QUANTITY_FACTORS, "decimal(19,0)")
-    large = number.try_cast("decimal(18,9)") * factor
-    huge = number.try_cast("decimal(25,6)") * factor  # of more than nine digits before the point
-    small = number.try_cast("decimal(28,9)") / pick(QUANTITY_DIVISORS, "decimal(10,0)")
+    large = F.try_add(F.try_multiply(whole, factor).try_cast("decimal(37,9)"), F.ceil(below * factor, F.lit(9)).try_cast("decimal(37,9)"))
+    nano = pick({k: 10**9 // v for k, v in QUANTITY_DIVISORS.items()}, "decimal(7,0)")
+    small = (F.try_add(F.try_multiply(whole, nano), F.ceil(below * nano).cast("decimal(38,0)")).try_cast("decimal(27,0)") / F.lit(10**9).cast("decimal(10,0)")).try_cast("decimal(38,9)")
     exponent = F.regexp_extract(suffix, r"^[eE]([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+))$", 1).try_cast("double")
-    power = number.try_cast("double") * F.pow(F.lit(10.0), exponent)
-    units = F.coalesce(*[x.try_cast("decimal(38,9)") for x in (large, huge, small, power)])
+    power = (F.regexp_extract(t, r"^[+-]?([0-9.]+)", 1).try_cast("double") * F.pow(F.lit(10.0), exponent)).try_cast("decimal(38,9)")
+    size = F.coalesce(large, small, power, F.lit("9" * 29 + "." + "9" * 9).cast("decimal(38,9)"))
+    units = once(size, lambda n: F.when(F.startswith(t, F.lit("-")), -n).otherwise(n))
     return F.when(t.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([KMGTPE]i|[numkMGTPE]|[eE][+-]?([0-9]+\.?[0-9]*|\.[0-9]+))?$"), units)
 
 

@@ -20,11 +20,22 @@ def check_rules(df: DataFrame, rules: list[Rule], key: str = "cluster_id") -> Da
     return df.select(key, F.explode(F.filter(F.array(*each), lambda x: x.isNotNull())).alias("v")).select(key, "v.*")
 
 
+def parsed_specs(specs: DataFrame) -> DataFrame:
+    """specs with `validity_ns`, `requested` and `limited`, parsed once for all rules that mention them."""
+    return specs.withColumns({"validity_ns": duration_ns("validity", YEAR_NS), "requested": quantity("request_text"), "limited": quantity("limit_text")})
+
+
+def check_specs(specs: DataFrame) -> DataFrame:
+    """The violations of all rules for specs."""
+    return check_rules(parsed_specs(specs), spec_rules())
+
+
 def spec_rules() -> list[Rule]:
+    """For `parsed_specs`."""
     c = F.col
-    validity = F.coalesce(F.nullif(duration_ns("validity", YEAR_NS), F.lit(0)), F.when(duration_ns("validity", YEAR_NS) == 0, YEAR_NS))  # none set is the default
-    requested = quantity("request_text")
-    limit = F.coalesce(F.nullif(quantity("limit_text"), F.lit(0)), requested)
+    validity = F.when(c("validity_ns") == 0, YEAR_NS).otherwise(c("validity_ns"))  # none set is the default
+    requested = c("requested")
+    limit = F.coalesce(F.nullif(c("limited"), F.lit(0)), requested)
     volume = F.concat(F.coalesce(requested.cast("bigint").cast("string"), F.lit("?")), F.lit(" of "), F.coalesce(limit.cast("bigint").cast("string"), F.lit("?")))
     mode_bad = ~c("access_mode").isin("", "ReadWriteOnce", "ReadWriteMany") | ((c("access_mode") == "ReadWriteMany") & (c("pvc_name") == ""))
     manager = c("has_tls") & (c("provider") == "cert-manager")

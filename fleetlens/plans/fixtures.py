@@ -87,8 +87,9 @@ VIEWS: dict[str, str] = {
           uid % 9 <> 0 AS has_tls, CASE uid % 8 WHEN 0 THEN 'auto' WHEN 1 THEN 'cert-manager' WHEN 2 THEN 'other' ELSE '' END AS provider, uid % 10 < 7 AS has_auto, uid % 10 > 2 AS has_manager,
           CASE WHEN uid % 11 = 0 THEN NULL ELSE CASE uid % 3 WHEN 0 THEN 'Issuer' WHEN 1 THEN 'ClusterIssuer' ELSE 'Vault' END END AS issuer_kind, CASE WHEN uid % 14 = 3 THEN NULL ELSE concat('ca-', uid % 12) END AS issuer_name,
           CASE uid % 4 WHEN 0 THEN CASE WHEN uid % 16 = 0 THEN '0s' ELSE '' END WHEN 1 THEN '8760h' WHEN 2 THEN '100h' ELSE '20000h' END AS validity, CASE WHEN uid % 5 = 0 THEN '' ELSE concat(repeat('n', CAST(uid % 70 AS INT)), '.', name) END AS common_name,
-          CASE WHEN uid % 6 = 0 THEN concat('*.', name) ELSE NULL END AS dns_name, CASE WHEN uid % 4 = 2 THEN concat('10.0.', uid % 200, '.', uid % 7) ELSE NULL END AS ip_address,
-          CASE WHEN uid % 7 = 5 THEN NULL ELSE concat('org ', uid % 3) END AS organisation
+          CASE WHEN uid % 6 = 0 THEN concat('*.', name, CASE WHEN uid % 12 = 0 THEN concat(',', name, '.example,b.example') ELSE '' END) ELSE NULL END AS dns_name,
+          CASE WHEN uid % 4 = 2 THEN concat('10.0.', uid % 200, '.', uid % 7, CASE WHEN uid % 8 = 2 THEN ',::1' ELSE '' END) ELSE NULL END AS ip_address,
+          CASE WHEN uid % 7 = 5 THEN NULL ELSE concat('org ', uid % 3, CASE WHEN uid % 2 = 0 THEN ',org b' ELSE '' END) END AS organisation
         FROM fx_clusters""",
     "fx_issuers": """
         SELECT DISTINCT CASE WHEN c_nationkey % 2 = 0 THEN 'Issuer' ELSE 'ClusterIssuer' END AS kind, CASE WHEN c_nationkey % 2 = 0 THEN concat('ns-', c_custkey % 25) ELSE NULL END AS namespace, concat('ca-', c_custkey % 9) AS name

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens.functions import scalar as s
-from fleetlens.operators import decisions, history, members, rules
+from fleetlens.operators import certificates, decisions, history, members, readiness, rules
 from fleetlens.plans.fixtures import view, with_views
 from fleetlens.sources.keyed import StatusHistory
 from fleetlens.sources.shared import folder
@@ -134,25 +134,17 @@ query("cert_secret_names", "fx_clusters", sql="SELECT cluster_id, purpose, conca
 )
 
 
-@query("cert_request", "fx_specs", sql="""
-    SELECT cluster_id, p AS provider, CASE WHEN has_cfg THEN common_name ELSE fqdn END AS common_name,
-      CASE WHEN has_cfg AND dns_name IS NOT NULL THEN dns_name ELSE concat('*.', fqdn, ',', fqdn) END AS dns_names, CASE WHEN has_cfg THEN coalesce(ip_address, '') ELSE '' END AS ip_addresses, CASE WHEN has_cfg THEN organisation END AS organisation,
-      CASE WHEN has_cfg AND validity = '8760h' THEN 31536000000000000 WHEN has_cfg AND validity = '100h' THEN 360000000000000 WHEN has_cfg AND validity = '20000h' THEN 72000000000000000 WHEN p = 'auto' THEN 31536000000000000 ELSE 7776000000000000 END AS validity_ns,
-      CASE WHEN has_cfg AND validity = '100h' THEN 0 WHEN has_cfg AND validity = '20000h' THEN 2 WHEN has_cfg AND validity = '8760h' OR p = 'auto' THEN 1 ELSE 0 END AS validity_years,
-      CASE WHEN p = 'cert-manager' AND has_cfg THEN issuer_kind END AS issuer_kind, CASE WHEN p = 'cert-manager' AND has_cfg THEN issuer_name END AS issuer_name
-    FROM (SELECT *, CASE WHEN p = 'auto' THEN has_auto ELSE has_manager END AS has_cfg FROM (SELECT *, CASE WHEN provider = '' THEN 'auto' ELSE provider END AS p, concat(name, '.', namespace, '.svc.cluster.local') AS fqdn FROM fx_specs WHERE has_tls) q) q2""")
-def cert_request(c: DataFrame) -> DataFrame:
-    """What is asked of the provider. Addresses are passed on as they are; a validity of zero is the provider's default."""
-    c = c.filter("has_tls").withColumn("p", s.default_registry("provider", "auto")).withColumn("fqdn", F.concat(F.concat_ws(".", "name", "namespace"), F.lit(".svc.cluster.local")))
-    c = c.withColumn("cfg", F.when(F.col("p") == "auto", F.col("has_auto")).otherwise(F.col("has_manager")))
-    default = F.when(F.col("p") == "auto", rules.YEAR_NS).otherwise(rules.QUARTER_NS).cast("bigint")
-    validity = F.coalesce(F.nullif(F.when(F.col("cfg"), s.duration_ns("validity", 0)), F.lit(0)), default)
-    names = F.when(F.col("cfg") & F.col("dns_name").isNotNull(), F.array("dns_name")).otherwise(F.array(F.concat(F.lit("*."), "fqdn"), F.col("fqdn")))
-    return c.select(
-        "cluster_id", F.col("p").alias("provider"), F.when(F.col("cfg"), F.col("common_name")).otherwise(F.col("fqdn")).alias("common_name"), F.array_join(names, ",").alias("dns_names"),
-        F.when(F.col("cfg"), F.coalesce("ip_address", F.lit(""))).otherwise("").alias("ip_addresses"), F.when(F.col("cfg"), F.col("organisation")).alias("organisation"), validity.alias("validity_ns"),
-        F.floor(validity / rules.YEAR_NS).cast("int").alias("validity_years"), *[F.when((F.col("p") == "cert-manager") & F.col("cfg"), F.col(k)).alias(k) for k in ("issuer_kind", "issuer_name")],
-    )
+def exported(specs: DataFrame) -> DataFrame:
+    """fx_specs as exported objects in JSON: (cluster_id, value). Names, addresses and organisations are lists."""
+    split = lambda name: F.split(name, ",")
+    common = [F.col("common_name").alias("commonName"), split("organisation").alias("organizations"), F.struct(split("dns_name").alias("dnsNames"), split("ip_address").alias("ipAddresses")).alias("altNames"), F.col("validity").alias("validityDuration")]
+    auto, manager = F.when(F.col("has_auto"), F.struct(*common)), F.when(F.col("has_manager"), F.struct(*common, F.col("issuer_kind").alias("issuerKind"), F.col("issuer_name").alias("issuerName")))
+    tls = F.when(F.col("has_tls"), F.struct("provider", F.struct(auto.alias("autoCfg"), manager.alias("certManagerCfg")).alias("providerCfg")))
+    storage = F.when(F.col("has_storage"), F.struct(F.col("access_mode").alias("accessModes"), F.col("pvc_name").alias("pvcName"), F.col("request_text").alias("volumeSizeRequest"), F.col("limit_text").alias("volumeSizeLimit")))
+    notes = F.struct(F.create_map(F.lit("app"), F.col("name")).alias("labels"), F.create_map(F.lit("team"), F.concat(F.lit("t"), F.col("uid") % 5)).alias("annotations"))
+    spec = F.struct("size", "version", F.array(F.concat(F.lit("--name="), "name")).alias("options"), storage.alias("storageSpec"), tls.alias("tls"), F.struct(notes.alias("metadata")).alias("podTemplate"))
+    meta = F.struct("namespace", "name", F.col("uid").cast("string").alias("uid"), F.lit(1).alias("generation"))
+    return specs.select("cluster_id", "namespace", F.to_json(F.struct(meta.alias("metadata"), spec.alias("spec"))).alias("value"))
 
 
 # Rules --------------------------------------------------------------------------------------------------------------
@@ -168,8 +160,8 @@ _SPEC_SQL = {
     "rule_tls_missing": "SELECT cluster_id, 'warn' AS severity, 'no tls' AS detail FROM fx_specs WHERE NOT has_tls",
 }
 for _name, _text in _SPEC_SQL.items():
-    query(_name, "fx_specs", sql=_text)(lambda c, n=_name: rules.check_rules(c, [r for r in rules.spec_rules() if r[0] == n]).drop("rule"))
-query("check_rules", "fx_specs", sql=" UNION ALL ".join(f"SELECT cluster_id, '{n}' AS rule, severity, detail FROM ({t}) r{i}" for i, (n, t) in enumerate(_SPEC_SQL.items())))(lambda c: rules.check_rules(c, rules.spec_rules()))
+    query(_name, "fx_specs", sql=_text)(lambda c, n=_name: rules.check_rules(rules.parsed_specs(c), [r for r in rules.spec_rules() if r[0] == n]).drop("rule"))
+query("check_rules", "fx_specs", sql=" UNION ALL ".join(f"SELECT cluster_id, '{n}' AS rule, severity, detail FROM ({t}) r{i}" for i, (n, t) in enumerate(_SPEC_SQL.items())))(rules.check_specs)
 query("rule_condition_format", "fx_conditions", sql="""
     SELECT condition_id, bad AS detail FROM (SELECT condition_id, concat_ws(',', CASE WHEN type IN ('-bad', 'a/b/c') OR length(type) > 316 THEN 'type' END, CASE WHEN reason IN ('9lives', '') OR length(reason) > 1024 THEN 'reason' END, CASE WHEN length(message) > 32768 THEN 'message' END,
       CASE WHEN observed_generation < 0 THEN 'generation' END, CASE WHEN status = 'yes' THEN 'status' END) AS bad FROM fx_conditions) q WHERE bad <> ''""")(lambda c: rules.check_rules(c, rules.condition_rules()[:1], "condition_id").select("condition_id", "detail"))
@@ -201,9 +193,7 @@ query("rule_issuer", "fx_specs", "fx_issuers", sql="""
 
 # Joins --------------------------------------------------------------------------------------------------------------
 
-query("join_cluster_workload", "fx_clusters", "fx_workloads", sql="SELECT c.cluster_id, c.size, w.replicas, w.ready_replicas FROM fx_clusters c LEFT JOIN fx_workloads w ON w.namespace = c.namespace AND w.name = c.name")(
-    lambda c, w: c.select("cluster_id", "namespace", "name", "size").join(w.select("namespace", "name", "replicas", "ready_replicas"), ["namespace", "name"], "left").drop("namespace", "name")
-)
+query("join_cluster_workload", "fx_clusters", "fx_workloads", sql="SELECT c.cluster_id, c.size, w.replicas, w.ready_replicas FROM fx_clusters c LEFT JOIN fx_workloads w ON w.namespace = c.namespace AND w.name = c.name")(readiness.with_workload)
 query("join_member_probe", "fx_members", "fx_probes", sql="SELECT m.cluster_id, m.member_id, m.position, m.member_name, p.endpoint, p.health FROM fx_members m LEFT JOIN fx_probes p ON p.cluster_id = m.cluster_id AND p.member_id = m.member_id")(members.pair)
 _PLACE = "SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY endpoint) - 1 AS place FROM "
 query("join_member_probe_position", "fx_members_all", sql=f"SELECT m.cluster_id, m.member_id, m.position, m.member_name, p.endpoint, p.health FROM fx_members_all m LEFT JOIN ({_PLACE} fx_members_all) p ON p.cluster_id = m.cluster_id AND p.place = m.position")(
@@ -212,19 +202,13 @@ query("join_member_probe_position", "fx_members_all", sql=f"SELECT m.cluster_id,
 query("pairing_audit", "fx_members_all", sql=f"SELECT m.cluster_id, m.member_id, m.endpoint AS by_id, p.endpoint AS by_position FROM fx_members_all m JOIN ({_PLACE} fx_members_all) p ON p.cluster_id = m.cluster_id AND p.place = m.position WHERE m.endpoint <> p.endpoint")(
     lambda m: members.pairing_audit(m, m)
 )
-query("join_version_line", "fx_workloads", "fx_version_line", sql=f"SELECT w.cluster_id, w.tag, l.idx FROM (SELECT cluster_id, substr(image, instr(image, ':') + 1) AS tag FROM fx_workloads) w LEFT JOIN fx_version_line l ON l.major = TRY_CAST({SEM.format(c='w.tag', i=1)} AS BIGINT) AND l.minor = TRY_CAST({SEM.format(c='w.tag', i=2)} AS BIGINT)")(
-    lambda w, line: w.withColumn("tag", s.image_tag("image")).withColumn("v", s.semver("tag")).join(line, (F.col("v.major") == line.major) & (F.col("v.minor") == line.minor), "left").select("cluster_id", "tag", "idx")
-)
-query("cert_coverage", "fx_clusters", "fx_certs", sql="SELECT cluster_id, concat(name, '-', t.purpose, '-tls') AS secret_name FROM fx_clusters c, (VALUES ('client'), ('server'), ('peer')) t(purpose) WHERE NOT EXISTS (SELECT 1 FROM fx_certs k WHERE k.namespace = c.namespace AND k.secret_name = concat(c.name, '-', t.purpose, '-tls'))")(
-    lambda c, k: c.select("cluster_id", "namespace", F.explode(F.transform(F.array(*map(F.lit, ("client", "server", "peer"))), lambda p: F.concat_ws("-", "name", p, F.lit("tls")))).alias("secret_name")).join(k, ["namespace", "secret_name"], "left_anti").select("cluster_id", "secret_name")
-)
+query("join_version_line", "fx_workloads", "fx_version_line", sql=f"SELECT w.cluster_id, w.tag, l.idx FROM (SELECT cluster_id, substr(image, instr(image, ':') + 1) AS tag FROM fx_workloads) w LEFT JOIN fx_version_line l ON l.major = TRY_CAST({SEM.format(c='w.tag', i=1)} AS BIGINT) AND l.minor = TRY_CAST({SEM.format(c='w.tag', i=2)} AS BIGINT)")(readiness.version_index)
+query("cert_coverage", "fx_clusters", "fx_certs", sql="SELECT cluster_id, concat(name, '-', t.purpose, '-tls') AS secret_name FROM fx_clusters c, (VALUES ('client'), ('server'), ('peer')) t(purpose) WHERE NOT EXISTS (SELECT 1 FROM fx_certs k WHERE k.namespace = c.namespace AND k.secret_name = concat(c.name, '-', t.purpose, '-tls'))")(certificates.coverage)
 _AFTER = "SELECT cluster_id, member_name, CASE WHEN cluster_id % 19 = 0 THEN member_id + 1000000 ELSE member_id END AS member_id FROM fx_members WHERE NOT (cluster_id % 23 = 0 AND ordinal = 1)"
 query("member_identity_drift", "fx_members", sql=f"SELECT m.cluster_id, m.member_name, m.member_id AS old_id, a.member_id AS new_id, CASE WHEN a.member_id IS NULL THEN 'lost' ELSE 'changed' END AS kind FROM fx_members m LEFT JOIN ({_AFTER}) a ON a.cluster_id = m.cluster_id AND a.member_name = m.member_name WHERE m.member_id IS DISTINCT FROM a.member_id")(
     lambda m: members.identity_drift(m, m.filter("NOT (cluster_id % 23 = 0 AND ordinal = 1)").select("cluster_id", "member_name", F.expr("CASE WHEN cluster_id % 19 = 0 THEN member_id + 1000000 ELSE member_id END").alias("member_id")))
 )
-query("replicate_mismatch", "fx_workloads", "fx_members", sql="SELECT w.cluster_id, w.replicas, m.members, CASE WHEN w.replicas < m.members THEN 'grow' ELSE 'shrink' END AS direction FROM fx_workloads w JOIN (SELECT cluster_id, count(*) AS members FROM fx_members GROUP BY cluster_id) m ON m.cluster_id = w.cluster_id WHERE w.replicas <> m.members")(
-    lambda w, m: w.join(members.member_summary(m), "cluster_id").filter("replicas <> members").select("cluster_id", "replicas", "members", F.when(F.col("replicas") < F.col("members"), "grow").otherwise("shrink").alias("direction"))
-)
+query("replicate_mismatch", "fx_workloads", "fx_members", sql="SELECT w.cluster_id, w.replicas, m.members, CASE WHEN w.replicas < m.members THEN 'grow' ELSE 'shrink' END AS direction FROM fx_workloads w JOIN (SELECT cluster_id, count(*) AS members FROM fx_members GROUP BY cluster_id) m ON m.cluster_id = w.cluster_id WHERE w.replicas <> m.members")(readiness.replicate_mismatch)
 
 
 @query("time_to_ready", "fx_history", sql="""
@@ -248,23 +232,15 @@ query("quorum", "fx_members", "fx_probes", sql=f"SELECT m.cluster_id, members, c
 _BAD = "SELECT cluster_id, string_agg(format('{:x}', CAST(coalesce(member_id, 0) AS UBIGINT)), ', ' ORDER BY endpoint) AS members FROM fx_probes WHERE NOT health AND has_status GROUP BY cluster_id"
 query("unhealthy_members", "fx_probes", sql=_BAD)(members.unhealthy_members)
 query("any_learner", "fx_members", sql=f"SELECT cluster_id, any_learner FROM ({_MEMBERS}) m")(lambda m: members.member_summary(m).select("cluster_id", "any_learner"))
-query("all_healthy", "fx_clusters", "fx_probes", sql="SELECT c.cluster_id, coalesce(bool_and(p.health), true) AS all_healthy FROM fx_clusters c LEFT JOIN fx_probes p ON p.cluster_id = c.cluster_id GROUP BY c.cluster_id")(
-    lambda c, p: c.select("cluster_id").join(p.groupBy("cluster_id").agg(F.every("health").alias("h")), "cluster_id", "left").select("cluster_id", F.coalesce("h", F.lit(True)).alias("all_healthy"))
-)
+query("all_healthy", "fx_clusters", "fx_probes", sql="SELECT c.cluster_id, coalesce(bool_and(p.health), true) AS all_healthy FROM fx_clusters c LEFT JOIN fx_probes p ON p.cluster_id = c.cluster_id GROUP BY c.cluster_id")(readiness.all_healthy)
 query("member_count", "fx_members", sql=f"SELECT cluster_id, members FROM ({_MEMBERS}) m")(lambda m: members.member_summary(m).select("cluster_id", "members"))
 query("kv_consistency", "fx_kv_hashes", sql="SELECT cluster_id, count(*) AS responses, count(DISTINCT hash) AS hashes, count(DISTINCT hash) = 1 AS consistent FROM fx_kv_hashes GROUP BY cluster_id")(members.kv_consistency)
 query("probe_errors", "fx_probes", sql="""
     SELECT cluster_id, string_agg(line, '; ' ORDER BY line) AS errors FROM (SELECT DISTINCT cluster_id, concat('endpoint: ', endpoint, ', health: false, took: ', took, CASE WHEN has_status THEN concat(', isLearner: ', CASE WHEN is_learner THEN 'true' ELSE 'false' END) ELSE '' END,
-      CASE WHEN error <> '' THEN concat('error: ', error) ELSE '' END) AS line FROM fx_probes WHERE NOT health) q GROUP BY cluster_id""")(
-    lambda p: p.filter("NOT health").groupBy("cluster_id").agg(F.array_join(F.array_sort(F.collect_set(s.probe_text("endpoint", "health", "took", "has_status", "is_learner", "error"))), "; ").alias("errors"))
-)
-query("voters_settled", "fx_clusters", "fx_members", sql=f"SELECT c.cluster_id, coalesce(members, 0) = size AND NOT coalesce(any_learner, false) AS settled FROM fx_clusters c LEFT JOIN ({_MEMBERS}) m ON m.cluster_id = c.cluster_id")(
-    lambda c, m: c.join(members.member_summary(m), "cluster_id", "left").select("cluster_id", ((F.coalesce("members", F.lit(0)) == F.col("size")) & ~F.coalesce("any_learner", F.lit(False))).alias("settled"))
-)
-query("rollout_ready", "fx_clusters", "fx_workloads", sql="SELECT w.cluster_id, replicas = size AND observed_generation >= w.generation AND status_replicas = size AND ready_replicas = size AS ready FROM fx_workloads w JOIN fx_clusters c ON c.cluster_id = w.cluster_id")(
-    lambda c, w: w.join(c.select("cluster_id", "size"), "cluster_id").select("cluster_id", F.expr("replicas = size AND observed_generation >= generation AND status_replicas = size AND ready_replicas = size").alias("ready"))
-)
-query("workload_ready", "fx_workloads", sql="SELECT cluster_id, ready_replicas = replicas AS ready FROM fx_workloads")(lambda w: w.select("cluster_id", (F.col("ready_replicas") == F.col("replicas")).alias("ready")))
+      CASE WHEN error <> '' THEN concat('error: ', error) ELSE '' END) AS line FROM fx_probes WHERE NOT health) q GROUP BY cluster_id""")(readiness.probe_errors)
+query("voters_settled", "fx_clusters", "fx_members", sql=f"SELECT c.cluster_id, coalesce(members, 0) = size AND NOT coalesce(any_learner, false) AS settled FROM fx_clusters c LEFT JOIN ({_MEMBERS}) m ON m.cluster_id = c.cluster_id")(readiness.voters_settled)
+query("rollout_ready", "fx_clusters", "fx_workloads", sql="SELECT w.cluster_id, replicas = size AND observed_generation >= w.generation AND status_replicas = size AND ready_replicas = size AS ready FROM fx_workloads w JOIN fx_clusters c ON c.cluster_id = w.cluster_id")(readiness.rollout_ready)
+query("workload_ready", "fx_workloads", sql="SELECT cluster_id, ready_replicas = replicas AS ready FROM fx_workloads")(readiness.workload_ready)
 
 
 @query("survey_summary", "fx_answers", sql="""
@@ -282,13 +258,9 @@ _LEADER, _LEARNER, _ANY = _FIRST.format(c="leader = member_id"), _FIRST.format(c
 query("find_leader", "fx_probes", sql=f"SELECT c.cluster_id, l.member_id AS leader_id FROM (SELECT DISTINCT cluster_id FROM fx_probes) c LEFT JOIN ({_LEADER}) l ON l.cluster_id = c.cluster_id")(lambda p: members.probe_summary(p).select("cluster_id", F.col("leader.member_id").alias("leader_id")))
 query("find_learner", "fx_probes", sql=f"SELECT cluster_id, member_id AS learner_id FROM ({_LEARNER}) l")(lambda p: members.probe_summary(p).filter("learner IS NOT NULL").select("cluster_id", F.col("learner.member_id").alias("learner_id")))
 query("learner_ready", "fx_probes", sql=f"SELECT a.cluster_id, a.revision AS learner_revision, b.revision AS leader_revision, CASE WHEN b.revision = 0 THEN a.revision > 0 ELSE CAST(a.revision AS DOUBLE) / b.revision >= 0.9 END AS ready FROM ({_LEARNER}) a JOIN ({_LEADER}) b ON b.cluster_id = a.cluster_id")(members.learner_ready)
-query("scale_in_victim", "fx_members_all", sql="SELECT cluster_id, arg_max(member_id, endpoint) AS by_text, arg_max(member_id, ordinal) AS by_ordinal FROM fx_members_all GROUP BY cluster_id")(
-    lambda m: m.groupBy("cluster_id").agg(F.max_by("member_id", "endpoint").alias("by_text"), F.max_by("member_id", "ordinal").alias("by_ordinal"))
-)
+query("scale_in_victim", "fx_members_all", sql="SELECT cluster_id, arg_max(member_id, endpoint) AS by_text, arg_max(member_id, ordinal) AS by_ordinal FROM fx_members_all GROUP BY cluster_id")(readiness.scale_in_victim)
 query("probe_targets", "fx_workloads", "fx_members", sql=f"SELECT w.cluster_id, i.i AS ordinal, {url('w.name', 'w.namespace', 'i.i', 2379)} AS endpoint FROM fx_workloads w JOIN ({_MEMBERS}) m ON m.cluster_id = w.cluster_id JOIN (SELECT unnest(range(64)) AS i) i ON i.i < least(w.replicas, m.members)")(members.probe_targets)
-query("health_report", "fx_probes", sql="SELECT cluster_id, endpoint, health, row_number() OVER (PARTITION BY cluster_id ORDER BY endpoint) AS place FROM fx_probes")(
-    lambda p: p.groupBy("cluster_id").agg(F.array_sort(F.collect_list(F.struct("endpoint", "health"))).alias("r")).select("cluster_id", F.posexplode("r").alias("i", "x")).select("cluster_id", "x.endpoint", "x.health", (F.col("i") + 1).alias("place"))
-)
+query("health_report", "fx_probes", sql="SELECT cluster_id, endpoint, health, row_number() OVER (PARTITION BY cluster_id ORDER BY endpoint) AS place FROM fx_probes")(readiness.health_report)
 _VERSION = f"SELECT c.cluster_id, coalesce(l.version, CASE WHEN f.has_status THEN f.version END, c.version) AS version FROM fx_clusters c LEFT JOIN ({_LEADER}) l ON l.cluster_id = c.cluster_id LEFT JOIN ({_ANY}) f ON f.cluster_id = c.cluster_id"
 query("current_version", "fx_probes", "fx_clusters", sql=_VERSION)(lambda p, c: members.current_version(p, c.select("cluster_id", F.col("version").alias("previous"))))
 _WANTED = "SELECT c.cluster_id, concat(c.name, '-', i.i) AS member_name FROM fx_clusters c JOIN (SELECT unnest(range(64)) AS i) i ON i.i < c.size"
@@ -355,8 +327,7 @@ _EXPECTED = "SELECT s.cluster_id, s.provider, concat(s.name, '-', t.purpose, '-t
 
 
 def _expected(specs: DataFrame) -> DataFrame:
-    purposes = F.transform(F.array(*map(F.lit, ("client", "server", "peer"))), lambda p: F.concat_ws("-", "name", p, F.lit("tls")))
-    return specs.filter("has_tls").select("cluster_id", "provider", F.explode(purposes).alias("secret_name"))
+    return specs.filter("has_tls").select("cluster_id", "provider", F.explode(certificates.secret_names()).alias("secret_name"))
 
 
 for _name, _said in (("cert_verdict", _STATUS), ("cert_verdict_strict", _STRICT)):

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.plans.registry import query
+from fleetlens.operators import certificates
+from fleetlens.plans.registry import exported, query
 from fleetlens.sources import readers
 from fleetlens.sources.shared import folder
 from fleetlens.streaming.streams import run_once
@@ -18,16 +19,25 @@ def _written(texts: DataFrame, name: str) -> str:
     return path
 
 
-@query("src_clusters", "fx_clusters", sql="SELECT namespace, name, CAST(uid AS VARCHAR) AS uid, generation, size, version, image_registry FROM fx_clusters")
+@query("src_clusters", "fx_specs", sql="""
+    SELECT namespace, name, CAST(uid AS VARCHAR) AS uid, size, version, concat('--name=', name) AS options, concat('t', uid % 5) AS team, CASE WHEN has_storage THEN request_text END AS request, CASE WHEN has_tls THEN provider END AS provider,
+      CASE WHEN has_tls AND has_auto THEN dns_name END AS dns_names, CASE WHEN has_tls AND has_manager THEN ip_address END AS ip_addresses, CASE WHEN has_tls AND has_manager THEN organisation END AS organisations, CASE WHEN has_tls AND has_manager THEN validity END AS validity, CAST(0 AS BIGINT) AS rejected FROM fx_specs
+    UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 2 * (SELECT count(*) FROM fx_specs WHERE uid % 50 = 0)""")
 def src_clusters(c: DataFrame) -> DataFrame:
-    one = F.struct(
-        F.struct("namespace", "name", F.col("uid").cast("string").alias("uid"), "generation").alias("metadata"),
-        F.struct("size", "version", F.col("image_registry").alias("imageRegistry")).alias("spec"),
+    """Single objects and lists, of every fiftieth also a cut text and an object without metadata; those are counted in a row of their own."""
+    each = exported(c)
+    singles = each.filter("cluster_id % 2 = 0").select("value")
+    lists = each.filter("cluster_id % 2 <> 0").groupBy("namespace", F.expr("cluster_id DIV 1000")).agg(F.concat(F.lit('{"items":['), F.array_join(F.collect_list("value"), ","), F.lit("]}")).alias("value")).select("value")  # of bounded length
+    cut = each.filter("cluster_id % 50 = 0").select(F.explode(F.array(F.expr("substring(value, 1, length(value) - 7)"), F.lit('{"spec":{"size":3}}'))).alias("value"))
+    texts = readers.read_text(c.sparkSession, _written(singles.unionByName(lists).unionByName(cut), "clusters"), whole=False)
+    join = lambda name: F.array_join(name, ",")
+    auto, manager = "tls.providerCfg.autoCfg", "tls.providerCfg.certManagerCfg"
+    read = readers.clusters(texts).select(
+        "namespace", "name", "uid", "size", "version", join("options").alias("options"), F.col("pod_annotations")["team"].alias("team"), F.col("storage.volumeSizeRequest").alias("request"), F.col("tls.provider").alias("provider"),
+        join(f"{auto}.altNames.dnsNames").alias("dns_names"), join(f"{manager}.altNames.ipAddresses").alias("ip_addresses"), join(f"{manager}.organizations").alias("organisations"), F.col(f"{manager}.validityDuration").alias("validity"), F.lit(0).cast("bigint").alias("rejected"),
     )
-    singles = c.filter("cluster_id % 2 = 0").select(F.to_json(one).alias("value"))
-    lists = c.filter("cluster_id % 2 <> 0").groupBy("namespace", F.expr("uid DIV 1000")).agg(F.to_json(F.struct(F.collect_list(one).alias("items"))).alias("value")).select("value")  # lists of bounded length
-    texts = readers.read_text(c.sparkSession, _written(singles.unionByName(lists), "clusters"), whole=False)
-    return readers.clusters(texts).select("namespace", "name", "uid", "generation", "size", "version", "image_registry")
+    bad = readers.rejected(texts, readers.cluster_schema()).agg(F.count("*").alias("rejected"))
+    return read.unionByName(bad, allowMissingColumns=True)
 
 
 @query("src_workloads", "fx_workloads", sql="SELECT namespace, name, CAST(owner_uid AS VARCHAR) AS owner_uid, replicas, ready_replicas, image FROM fx_workloads WHERE is_controller")
@@ -80,3 +90,18 @@ def src_certs(c: DataFrame) -> DataFrame:
     text = c.select(F.to_json(F.struct("namespace", "secret_name", "not_before", "not_after", keys.alias("data_keys"), F.array(F.struct(F.col("first_condition").alias("type"))).alias("conditions"))).alias("value"))
     out = readers.certs(c.sparkSession, _written(text, "certs"))
     return out.select("namespace", "secret_name", F.col("not_before").cast("timestamp_ntz"), F.col("not_after").cast("timestamp_ntz"), F.size("data_keys").cast("long").alias("keys"), F.get("conditions", F.lit(0))["type"].alias("first_condition"))
+
+
+@query("cert_request", "fx_specs", sql="""
+    SELECT cluster_id, p AS provider, CASE WHEN has_cfg THEN common_name ELSE fqdn END AS common_name,
+      CASE WHEN has_cfg AND dns_name IS NOT NULL THEN dns_name ELSE concat('*.', fqdn, ',', fqdn) END AS dns_names, CASE WHEN has_cfg THEN coalesce(ip_address, '') ELSE '' END AS ip_addresses, CASE WHEN has_cfg THEN organisation END AS organisation,
+      CASE WHEN has_cfg AND validity = '8760h' THEN 31536000000000000 WHEN has_cfg AND validity = '100h' THEN 360000000000000 WHEN has_cfg AND validity = '20000h' THEN 72000000000000000 WHEN p = 'auto' THEN 31536000000000000 ELSE 7776000000000000 END AS validity_ns,
+      CASE WHEN has_cfg AND validity = '100h' THEN 0 WHEN has_cfg AND validity = '20000h' THEN 2 WHEN has_cfg AND validity = '8760h' OR p = 'auto' THEN 1 ELSE 0 END AS validity_years,
+      CASE WHEN p = 'cert-manager' AND has_cfg THEN issuer_kind END AS issuer_kind, CASE WHEN p = 'cert-manager' AND has_cfg THEN issuer_name END AS issuer_name
+    FROM (SELECT *, CASE WHEN p = 'auto' THEN has_auto ELSE has_manager END AS has_cfg FROM (SELECT *, CASE WHEN provider = '' THEN 'auto' ELSE provider END AS p, concat(name, '.', namespace, '.svc.cluster.local') AS fqdn FROM fx_specs WHERE has_tls) q) q2""")
+def cert_request(c: DataFrame) -> DataFrame:
+    """From exported objects, as they are read."""
+    text = readers.read_text(c.sparkSession, _written(exported(c).select("value"), "specs"), whole=False)
+    read = readers.clusters(text).withColumn("cluster_id", F.col("uid").cast("bigint"))
+    out = certificates.requests(read).withColumn("organisation", F.array_join("organizations", ",")).drop("organizations")
+    return out.withColumns({n: F.array_join(n, ",") for n in ("dns_names", "ip_addresses")})

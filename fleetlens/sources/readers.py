@@ -8,13 +8,20 @@ from pyspark.sql import functions as F
 from fleetlens.sources.keyed import KeyedTable
 from fleetlens.sources.shared import staged
 
-CLUSTER = (
-    "metadata struct<namespace:string,name:string,uid:string,generation:bigint>,"
-    "spec struct<size:int,version:string,imageRegistry:string,options:array<string>,"
-    "storageSpec:struct<accessModes:string,storageClassName:string,pvcName:string,volumeSizeRequest:string,volumeSizeLimit:string>,"
-    "tls:struct<provider:string,providerCfg:struct<autoCfg:struct<commonName:string,validityDuration:string>,certManagerCfg:struct<commonName:string,issuerKind:string,issuerName:string>>>,"
-    "podTemplate:struct<metadata:struct<labels:map<string,string>,annotations:map<string,string>>>>"
-)
+_COMMON = "commonName:string,organizations:array<string>,altNames:struct<dnsNames:array<string>,ipAddresses:array<string>>,validityDuration:string,caBundleSecret:string"
+TLS = f"struct<provider:string,providerCfg:struct<autoCfg:struct<{_COMMON}>,certManagerCfg:struct<{_COMMON},issuerKind:string,issuerName:string>>>"
+
+
+def cluster_schema(options: str = "options") -> str:
+    """The schema of an exported cluster; options: the name under which the store's options are exported."""
+    return (
+        "metadata struct<namespace:string,name:string,uid:string,generation:bigint>,"
+        f"spec struct<size:int,version:string,imageRegistry:string,{options}:array<string>,"
+        "storageSpec:struct<accessModes:string,storageClassName:string,pvcName:string,volumeSizeRequest:string,volumeSizeLimit:string>,"
+        f"tls:{TLS},podTemplate:struct<metadata:struct<labels:map<string,string>,annotations:map<string,string>>>>"
+    )
+
+
 WORKLOAD = (
     "metadata struct<namespace:string,name:string,generation:bigint,ownerReferences:array<struct<uid:string,kind:string,controller:boolean>>>,"
     "spec struct<replicas:int,template:struct<spec:struct<containers:array<struct<image:string,args:array<string>>>>>>,"
@@ -29,14 +36,34 @@ CERT = "namespace string, secret_name string, common_name string, organizations
 CHANGE = "kind string, op string, namespace string, name string, version bigint"
 
 
-def objects(text: DataFrame, schema: str, column: str = "value") -> DataFrame:
-    """One row for each object of JSON texts that are an object or a list with items. Broken texts give no rows."""
-    both = F.from_json(F.col(column), f"items array<struct<{_nested(schema)}>>, {schema}")
-    one = text.select(both.alias("o"))
-    single = F.array(F.struct(*[F.col(f"o.{n}").alias(n) for n in _names(schema)]))
+BROKEN = "_broken"
+
+
+def _parsed(text: DataFrame, schema: str, column: str) -> DataFrame:
+    """The texts with `_items`, the objects in each (one, or those of a list), and `_reason`, why a text can't be read as a whole."""
+    form = f"items array<struct<{_nested(schema)}>>, {schema}, {BROKEN} string"
+    out = text.withColumn("_o", F.from_json(F.col(column), form, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BROKEN}))
+    single = F.array(F.struct(*[F.col(f"_o.{n}").alias(n) for n in _names(schema)]))
     # null items: the text is one object
-    many = F.when(F.col("o.items").isNotNull(), F.col("o.items")).otherwise(single)
-    return one.filter("o IS NOT NULL").select(F.explode(many).alias("x")).select("x.*").filter("metadata IS NOT NULL")
+    many = F.when(F.col("_o.items").isNotNull(), F.col("_o.items")).otherwise(single)
+    reason = F.when(F.col(column).isNull() | (F.trim(F.col(column)) == ""), "empty").when(F.col(f"_o.{BROKEN}").isNotNull() | F.col("_o").isNull(), "unreadable")
+    return out.select(*text.columns, reason.alias("_reason"), many.alias("_items"))
+
+
+def objects(text: DataFrame, schema: str, column: str = "value") -> DataFrame:
+    """One row for each object of JSON texts that are an object or a list with items. Texts that can't be read, also those with a
+    value of another type than the schema's, and objects without metadata give no rows here: see `rejected`."""
+    out = _parsed(text, schema, column).filter("_reason IS NULL")
+    return out.select(F.explode("_items").alias("x")).select("x.*").filter("metadata IS NOT NULL")
+
+
+def rejected(text: DataFrame, schema: str, column: str = "value") -> DataFrame:
+    """(column, reason, item): the texts that give no objects, with their whole text, and objects without metadata, with their place in the
+    list. A text gives objects, or one row here, or for a list both."""
+    out = _parsed(text, schema, column)
+    whole = out.filter("_reason IS NOT NULL").select(column, F.col("_reason").alias("reason"), F.lit(None).cast("int").alias("item"))
+    each = out.filter("_reason IS NULL").select(column, F.posexplode("_items").alias("item", "x")).filter("x.metadata IS NULL")
+    return whole.unionByName(each.select(column, F.lit("no metadata").alias("reason"), "item"))
 
 
 def _fields(schema: str) -> list[tuple[str, str]]:
@@ -63,9 +90,13 @@ def read_text(spark: SparkSession, path: str, whole: bool = True) -> DataFrame:
     return spark.read.text(path, wholetext=whole)
 
 
-def clusters(text: DataFrame) -> DataFrame:
-    c = objects(text, CLUSTER)
-    return c.select("metadata.*", F.col("spec.size").alias("size"), F.col("spec.version").alias("version"), F.col("spec.imageRegistry").alias("image_registry"), F.col("spec.options").alias("options"), F.col("spec.storageSpec").alias("storage"), F.col("spec.tls").alias("tls"), F.col("spec.podTemplate.metadata.labels").alias("pod_labels"))
+def clusters(text: DataFrame, options: str = "options") -> DataFrame:
+    """options: the name under which the store's options are exported."""
+    c = objects(text, cluster_schema(options))
+    return c.select(
+        "metadata.*", F.col("spec.size").alias("size"), F.col("spec.version").alias("version"), F.col("spec.imageRegistry").alias("image_registry"), F.col(f"spec.{options}").alias("options"), F.col("spec.storageSpec").alias("storage"),
+        F.col("spec.tls").alias("tls"), F.col("spec.podTemplate.metadata.labels").alias("pod_labels"), F.col("spec.podTemplate.metadata.annotations").alias("pod_annotations"),
+    )
 
 
 def workloads(text: DataFrame) -> DataFrame:
@@ -96,12 +127,24 @@ def kv_hashes(text: DataFrame, key: str, column: str = "value") -> DataFrame:
 
 
 def certs(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(CERT).json(path)
+    """From JSON lines."""
+    return certs_text(read_text(spark, path, whole=False))
+
+
+def _certs(text: DataFrame, column: str) -> DataFrame:
+    return text.withColumn("_c", F.from_json(F.col(column), f"{CERT}, {BROKEN} string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BROKEN})).withColumn(
+        "_reason", F.when(F.col(f"_c.{BROKEN}").isNotNull() | F.col("_c").isNull(), "unreadable").when(F.col("_c.secret_name").isNull(), "no name")
+    )
 
 
 def certs_text(text: DataFrame, column: str = "value") -> DataFrame:
-    """The same from JSON texts in a column."""
-    return text.select(F.from_json(column, CERT).alias("c")).filter("c IS NOT NULL").select("c.*")
+    """Certificates from JSON texts in a column; those that can't be read or have no name give no rows here."""
+    return _certs(text, column).filter("_reason IS NULL").select("_c.*").drop(BROKEN)
+
+
+def rejected_certs(text: DataFrame, column: str = "value") -> DataFrame:
+    """(column, reason): the others."""
+    return _certs(text, column).filter("_reason IS NOT NULL").select(column, F.col("_reason").alias("reason"))
 
 
 def changes(spark: SparkSession, path: str, files: int = 1000) -> DataFrame:

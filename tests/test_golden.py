@@ -44,7 +44,7 @@ def test_duration(spark, text, ns):
     assert one(spark, s.duration_ns(F.lit(text).cast("string"), 7)) == ns
 
 
-@pytest.mark.parametrize("text, units", [("1Mi", "1048576"), ("1.5Gi", "1610612736"), ("100", "100"), ("2e3", "2000"), ("5m", "0.005"), ("1GB", None), ("", None), (None, None), ("-1k", "-1000"), ("3Pi", "3377699720527872"), ("7Ei", "8070450532247928832"), ("8E", "8000000000000000000"), ("2P", "2000000000000000"), ("64n", "0.000000064"), ("1500u", "0.0015"), ("1e1.0", "10"), ("12345678901234567", "12345678901234567"), ("1048575999m", "1048575.999"), ("12345678901k", "12345678901000"), ("1KI", None), ("1e", None)])
+@pytest.mark.parametrize("text, units", [("1Mi", "1048576"), ("1.5Gi", "1610612736"), ("100", "100"), ("2e3", "2000"), ("5m", "0.005"), ("1GB", None), ("", None), (None, None), ("-1k", "-1000"), ("3Pi", "3377699720527872"), ("7Ei", "8070450532247928832"), ("8E", "8000000000000000000"), ("2P", "2000000000000000"), ("64n", "0.000000064"), ("1500u", "0.0015"), ("1e1.0", "10"), ("12345678901234567", "12345678901234567"), ("1048575999m", "1048575.999"), ("12345678901k", "12345678901000"), ("1KI", None), ("1e", None), ("12345678901234567890", "12345678901234567890"), ("-12345678901234567890.5", "-12345678901234567890.5"), ("0.0000000001", "0.000000001"), ("0.1n", "0.000000001"), ("-0.1n", "-0.000000001"), ("1.5n", "0.000000002"), ("0.00000000000000000001k", "0.000000001"), ("999999999999999999999999999999", "99999999999999999999999999999.999999999"), ("0.5u", "0.0000005"), (".5Ki", "512")])
 def test_quantity(spark, text, units):
     got = one(spark, s.quantity(F.lit(text).cast("string")))
     assert (got is None) == (units is None) and (units is None or got == Decimal(units))
