@@ -90,6 +90,14 @@ def cert_rules(as_of: str, strict: bool = False) -> list[Rule]:
     ]
 
 
+def args_drift(expected: DataFrame, deployed: DataFrame, key: str = "cluster_id") -> DataFrame:
+    """(key, expected, deployed, missing, extra) where the args that a cluster should have aren't those deployed, in this order; both of
+    expected and deployed(key, args). missing and extra are empty where only the order, or how often one stands there, differs."""
+    both = expected.select(key, F.col("args").alias("expected")).join(deployed.select(key, F.col("args").alias("deployed")), key)
+    wrong = both.filter(~F.col("expected").eqNullSafe(F.col("deployed")))
+    return wrong.withColumns({"missing": F.array_except("expected", "deployed"), "extra": F.array_except("deployed", "expected")})
+
+
 def owned(clusters: DataFrame, workloads: DataFrame) -> DataFrame:
     """Workloads that their cluster doesn't control."""
     mine = clusters.select("cluster_id", F.col("uid").alias("owner_uid"))

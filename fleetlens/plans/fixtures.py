@@ -37,6 +37,7 @@ VIEWS: dict[str, str] = {
           r.l_tax, r.l_discount, r.l_extendedprice, r.l_quantity
         FROM fx_ranked r JOIN fx_workloads w ON r.cluster_id = w.cluster_id
         WHERE r.ordinal < w.replicas + CASE WHEN r.cluster_id % 10 = 0 THEN 1 WHEN r.cluster_id % 10 = 1 THEN -1 ELSE 0 END""",
+    "fx_members_gaps": "SELECT * FROM fx_members WHERE (cluster_id + ordinal) % 7 <> 0",
     "fx_probes": """
         SELECT cluster_id, namespace, name, ordinal, concat('http://', member_name, '.', name, '.', namespace, '.svc.cluster.local:2379') AS endpoint,
           NOT (l_tax = 0.08 AND l_discount < 0.03) AS health, NOT (l_tax = 0.08 AND l_discount < 0.01) AS has_status, concat(1 + ordinal, 'ms') AS took,
@@ -72,6 +73,9 @@ VIEWS: dict[str, str] = {
           concat(CASE WHEN p_partkey % 5 = 0 THEN '--name' WHEN p_partkey % 35 = 3 THEN ' --data-dir ' ELSE concat('--', lower(replace(p_brand, '#', '-'))) END,
             CASE WHEN p_partkey % 3 = 0 THEN '=' WHEN p_partkey % 3 = 1 THEN ' ' ELSE '' END, CASE WHEN p_partkey % 3 = 2 THEN '' ELSE concat('v', p_size) END) AS option_text
         FROM {part}""",
+    "fx_deployed": """
+        SELECT cluster_id, CASE WHEN cluster_id % 5 = 0 THEN -option_id ELSE option_id END AS option_id, option_text FROM fx_options WHERE option_id % 7 <> 3
+        UNION ALL SELECT cluster_id, 100000000 + cluster_id, '--extra' FROM fx_clusters WHERE cluster_id % 3 = 0""",
     "fx_texts": """
         SELECT event_id AS text_id, CASE event_id % 8 WHEN 0 THEN '' WHEN 1 THEN concat(user_id, 'h', event_id % 60, 'm') WHEN 2 THEN concat(event_id % 90, '.5s') WHEN 3 THEN CASE event_id % 24 WHEN 3 THEN '0.0000001h' WHEN 11 THEN '-1.0000000019s.5us' ELSE '365d' END
             WHEN 4 THEN concat('-', event_id % 50, 'ms') WHEN 5 THEN concat(event_id, 'us', event_id % 9, 'ns') WHEN 6 THEN '1h 3m' ELSE concat(user_id, 'h') END AS duration_text,

@@ -78,20 +78,26 @@ def _with_args(c: DataFrame, o: DataFrame) -> DataFrame:
     return c.select("cluster_id", "name").join(given, "cluster_id", "left").withColumn("args", s.effective_args("name", "options"))
 
 
-EFFECTIVE = f"""d AS (SELECT * FROM (VALUES {_defaults}) t(k, arg)),
-    given AS (SELECT cluster_id, option_text, row_number() OVER (PARTITION BY cluster_id ORDER BY option_id) AS k, {ARG.format(o='option_text')} AS arg_name FROM fx_options),
-    kept AS (SELECT c.cluster_id, d.k, replace(d.arg, '{{name}}', c.name) AS arg FROM fx_clusters c, d
-      WHERE NOT EXISTS (SELECT 1 FROM given g WHERE g.cluster_id = c.cluster_id AND g.arg_name = split_part(d.arg, '=', 1))),
-    both_ AS (SELECT cluster_id, 0 AS part, k, arg FROM kept UNION ALL SELECT g.cluster_id, 1, k, option_text FROM given g JOIN fx_clusters c ON c.cluster_id = g.cluster_id),
-    effective AS (SELECT cluster_id, row_number() OVER (PARTITION BY cluster_id ORDER BY part, k) - 1 AS position, arg FROM both_)"""
+
+
+def effective_sql(options: str = "fx_options", n: str = "") -> str:
+    """The tables up to effective{n}(cluster_id, position, arg), for the options of a view."""
+    return f"""d{n} AS (SELECT * FROM (VALUES {_defaults}) t(k, arg)),
+    given{n} AS (SELECT cluster_id, option_text, row_number() OVER (PARTITION BY cluster_id ORDER BY option_id) AS k, {ARG.format(o='option_text')} AS arg_name FROM {options}),
+    kept{n} AS (SELECT c.cluster_id, d.k, replace(d.arg, '{{name}}', c.name) AS arg FROM fx_clusters c, d{n} d
+      WHERE NOT EXISTS (SELECT 1 FROM given{n} g WHERE g.cluster_id = c.cluster_id AND g.arg_name = split_part(d.arg, '=', 1))),
+    both_{n} AS (SELECT cluster_id, 0 AS part, k, arg FROM kept{n} UNION ALL SELECT g.cluster_id, 1, k, option_text FROM given{n} g JOIN fx_clusters c ON c.cluster_id = g.cluster_id),
+    effective{n} AS (SELECT cluster_id, row_number() OVER (PARTITION BY cluster_id ORDER BY part, k) - 1 AS position, arg FROM both_{n})"""
+
+
+EFFECTIVE = effective_sql()
 query("effective_args", "fx_clusters", "fx_options", sql=f"WITH {EFFECTIVE} SELECT * FROM effective")(lambda c, o: _with_args(c, o).select("cluster_id", F.posexplode("args").alias("position", "arg")))
-query("rule_args_drift", "fx_clusters", "fx_options", sql=f"""
-    WITH {EFFECTIVE}, flat AS (SELECT cluster_id, string_agg(arg, ' ' ORDER BY position) AS expected FROM effective GROUP BY cluster_id)
-    SELECT cluster_id, expected, CASE WHEN cluster_id % 3 = 0 THEN concat(expected, ' --extra') ELSE expected END AS deployed, '' AS missing, '--extra' AS extra FROM flat WHERE cluster_id % 3 = 0""")(
-    lambda c, o: _with_args(c, o)
-    .withColumn("deployed_args", F.when(F.col("cluster_id") % 3 == 0, F.concat("args", F.array(F.lit("--extra")))).otherwise(F.col("args")))
-    .filter(~F.col("args").eqNullSafe(F.col("deployed_args")))
-    .select("cluster_id", F.array_join("args", " ").alias("expected"), F.array_join("deployed_args", " ").alias("deployed"), F.array_join(F.array_except("args", "deployed_args"), " ").alias("missing"), F.array_join(F.array_except("deployed_args", "args"), " ").alias("extra"))
+_only = lambda x, y: f"(SELECT cluster_id, string_agg(arg, ',' ORDER BY position) AS args FROM (SELECT cluster_id, arg, min(position) AS position FROM {x} e WHERE NOT EXISTS (SELECT 1 FROM {y} o WHERE o.cluster_id = e.cluster_id AND o.arg = e.arg) GROUP BY cluster_id, arg) q GROUP BY cluster_id)"
+query("rule_args_drift", "fx_clusters", "fx_options", "fx_deployed", sql=f"""
+    WITH {EFFECTIVE}, {effective_sql("fx_deployed", "2")}, flat AS (SELECT cluster_id, string_agg(arg, ' ' ORDER BY position) AS args FROM effective GROUP BY cluster_id), flat2 AS (SELECT cluster_id, string_agg(arg, ' ' ORDER BY position) AS args FROM effective2 GROUP BY cluster_id)
+    SELECT a.cluster_id, a.args AS expected, b.args AS deployed, coalesce(m.args, '') AS missing, coalesce(x.args, '') AS extra FROM flat a JOIN flat2 b ON b.cluster_id = a.cluster_id
+      LEFT JOIN {_only("effective", "effective2")} m ON m.cluster_id = a.cluster_id LEFT JOIN {_only("effective2", "effective")} x ON x.cluster_id = a.cluster_id WHERE a.args <> b.args""")(
+    lambda c, o, d: rules.args_drift(_with_args(c, o), _with_args(c, d)).select("cluster_id", *[F.array_join(n, " ").alias(n) for n in ("expected", "deployed")], *[F.array_join(n, ",").alias(n) for n in ("missing", "extra")])
 )
 query("merge_labels", "fx_clusters", sql="""
     SELECT cluster_id, 'app' AS label, name AS value FROM fx_clusters UNION ALL SELECT cluster_id, 'controller', name FROM fx_clusters
@@ -268,11 +274,9 @@ _THERE = "SELECT cluster_id, member_name FROM fx_members"
 query("snapshot_diff", "fx_clusters", "fx_members", sql=f"SELECT *, 'missing' AS side FROM ({_WANTED} EXCEPT ALL {_THERE}) a UNION ALL SELECT *, 'unexpected' FROM ({_THERE} EXCEPT ALL {_WANTED}) b")(
     lambda c, m: members.snapshot_diff(c.select("cluster_id", "name", F.explode(F.sequence(F.lit(0), F.col("size") - 1)).alias("i")).select("cluster_id", s.member_name("name", "i").alias("member_name")), m.select("cluster_id", "member_name"))
 )
-query("ordinal_gaps", "fx_members", sql="""
-    WITH h AS (SELECT cluster_id, ordinal FROM fx_members WHERE (cluster_id + ordinal) % 7 <> 0), g AS (SELECT cluster_id, max(ordinal) AS last FROM h GROUP BY cluster_id)
-    SELECT g.cluster_id, string_agg(CAST(i.i AS VARCHAR), ',' ORDER BY i.i) AS missing FROM g JOIN (SELECT unnest(range(64)) AS i) i ON i.i <= g.last WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.cluster_id = g.cluster_id AND h.ordinal = i.i) GROUP BY g.cluster_id""")(
-    lambda m: members.ordinal_gaps(m.filter("(cluster_id + ordinal) % 7 <> 0"))
-)
+query("ordinal_gaps", "fx_members_gaps", sql="""
+    WITH h AS (SELECT cluster_id, ordinal FROM fx_members_gaps), g AS (SELECT cluster_id, max(ordinal) AS last FROM h GROUP BY cluster_id)
+    SELECT g.cluster_id, string_agg(CAST(i.i AS VARCHAR), ',' ORDER BY i.i) AS missing FROM g JOIN (SELECT unnest(range(64)) AS i) i ON i.i <= g.last WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.cluster_id = g.cluster_id AND h.ordinal = i.i) GROUP BY g.cluster_id""")(members.ordinal_gaps)
 
 # Decisions ----------------------------------------------------------------------------------------------------------
 
