@@ -114,7 +114,10 @@ def hex_id(id) -> Column:
 def duration_ns(text, default_ns: int) -> Column:
     """Nanoseconds; the default for empty text; null where the text is no duration. Days are no unit. Whole numbers and
     fractions (of up to 18 digits) are multiplied by the unit one by one, and what is less than a nanosecond is cut off."""
-    return once(col(text), lambda t: _duration(t, default_ns))
+    t = col(text)
+    whole = F.regexp_extract(t, "^[0-9]+", 0).try_cast("bigint") * F.when(F.endswith(t, F.lit("h")), DURATION_UNITS["h"]).when(F.endswith(t, F.lit("m")), DURATION_UNITS["m"]).otherwise(DURATION_UNITS["s"])
+    # most texts are one small whole number of a unit
+    return F.when(t == "", F.lit(default_ns).cast("bigint")).when(t.rlike("^[0-9]{1,6}[hms]$"), whole).otherwise(once(t, lambda t: _duration(t, default_ns)))
 
 
 def _duration(t: Column, default_ns: int) -> Column:
@@ -136,7 +139,12 @@ def _duration(t: Column, default_ns: int) -> Column:
 def quantity(text) -> Column:
     """decimal(38,9) units; null where the text is no quantity. What is less than the ninth decimal is rounded away from zero, of a
     fraction's digits after the 16th as well; numbers that are too large give the largest. Exponents may have a fraction."""
-    return once(col(text), _quantity)
+    t = col(text)
+    plain = {k: v for k, v in QUANTITY_FACTORS.items() if v < 10**13}
+    factor = F.try_element_at(F.create_map(*[x for k, v in plain.items() for x in (F.lit(k), F.lit(str(v)).cast("decimal(13,0)"))]), F.regexp_extract(t, "[A-Za-z]*$", 0))
+    whole = F.regexp_extract(t, "^[0-9]+", 0).try_cast("decimal(15,0)") * factor
+    # most texts are a whole number
+    return F.when(t.rlike("^[0-9]{1,15}([KMGT]i|[kMGT])?$"), whole.cast("decimal(38,9)")).otherwise(once(t, _quantity))
 
 
 def _quantity(t: Column) -> Column:
