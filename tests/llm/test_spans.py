@@ -141,6 +141,46 @@ def test_secrets_of_an_empty_table(spark):
     assert scan(spark.createDataFrame([], "text string, secrets int")).count() == 0
 
 
+def test_secrets_in_lists_sections_and_sums():
+    secret = "u8Gz!qP0xYw2"
+    for t in (
+        f'{{"passwords": ["{secret}"]}}', f"[credentials]\nvalue = {secret}\n[other]\nvalue = k3Lm!qP0xYw2", f"database:\n  credentials:\n    value: \"{secret}\"\nname: k3Lm!qP0xYw2",
+        f"secrets:\n- {secret}\nother:\n- k3Lm!qP0xYw2", f"const db_pwd = `{secret}`;", f"<a>db_pwd={secret}</a>", f"db_pwd += '{secret}'", f"first:\n  auth_token:\n\n    value: {secret}\n  name: k3Lm!qP0xYw2",
+        f"db_pwd: dict[str, list[int]] = '{secret}'", f"a=db_pwd=x={secret}".replace("x=", ""),
+    ):
+        assert [t[s[0] : s[3]] for s in find(t)] == [secret], t
+    for t in ('db_pwd = "u8Gz!" "qP0xYw2"', 'db_pwd = (\n  "u8Gz!"\n  "qP0xYw2"\n)'):
+        assert [t[s[0] : s[3]].startswith("u8Gz!") and t[s[0] : s[3]].endswith("qP0xYw2") for s in find(t)] == [True], t
+    t = "mode = 'aaaa'\nmode = 'bbbb'\ndb_pwd = mode"  # each assignment is a value of its own
+    assert find(t) == []
+    for t in ("auth: yesterday-evening.", "Our secrets: kept safely.", "credentials: none-yet", "password: ${DB_PASSWORD}", "db_pwd = 'your-password-9x'", "db_pwd = a + b\na = b\nb = a"):
+        assert [s for s in find(t) if s[2] == "literal"] == [], t
+
+
+LONG = {
+    "reassigned": "token = x\nx = \"u8Gz!qP0xYw2\"\n", "chain": None, "braces": None, "parents": None, "runs": "secret:", "mixed runs": "a=1:", "types": "a: b[", "calls": 'f("a", ', "open": "{ aaaa",
+    "tuples": "token = (", "blocks": "secret: |\n x", "items": "secrets:\n- a1b2c3d4\n", "words": "your=", "sums": 'db_pwd = a + "x1"\na = "y"\n', "sections": "[secret]\na = b9!xQw7L\n", "elements": "<a>x", "ticks": "a=`",
+}
+
+
+def test_the_work_grows_with_the_text():
+    import time
+
+    size = 1 << 20
+    n = size // 34
+    made = {k: (v * (size // len(v) + 1))[:size] for k, v in LONG.items() if v}
+    made["chain"] = "".join(f"token_{i} = token_{i + 1}\n" for i in range(n)) + f'token_{n} = "u8Gz!qP0xYw2"\n'
+    made["braces"] = "secret = {" * (size // 22) + "a = 'u8Gz!qP0xYw2'" + "}" * (size // 22)
+    made["parents"] = "".join(" " * i + "secret:\n" for i in range(1400)) + " " * 1400 + "a: u8Gz!qP0xYw2\n"
+    made["one word"] = "{" + "a" * size
+    for name, t in made.items():
+        began = time.time()
+        found = find(t)
+        assert time.time() - began < 10, name
+        if name in ("reassigned", "chain", "braces", "parents"):
+            assert "u8Gz!qP0xYw2" in {t[s[0] : s[3]].strip("\"' ") for s in found}, name
+
+
 def test_long_texts_of_brackets_take_no_quadratic_time():
     import time
 
