@@ -27,7 +27,10 @@ def shared_dir(spark: SparkSession) -> str:
     if named:
         return named
     if not spark.sparkContext.master.startswith("local"):
-        return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_staged"
+        warehouse = spark.conf.get("spark.sql.warehouse.dir")
+        if warehouse.startswith("file:"):
+            raise ValueError("set spark.checkpoint.dir: the warehouse is a folder of each machine's own")
+        return f"{warehouse.rstrip('/')}/_staged"
     global _own
     if _own is None:
         _own = tempfile.mkdtemp(prefix="spark-stage-", dir="/tmp")

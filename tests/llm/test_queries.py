@@ -1,6 +1,9 @@
+from types import SimpleNamespace
+
 import duckdb
 import pytest
 
+from fleetlens.llm.common import shared_dir
 from fleetlens.llm.queries import oracle_sql, queries
 
 FOLDER = "/root/testdata/sf0.01"
@@ -19,3 +22,14 @@ def test_sql(spark, name):
     got = queries()[name](spark, FOLDER)
     assert sorted(columns) == sorted(got.columns)
     assert sorted(map(tuple, got.select(*columns).collect())) == sorted(cursor.fetchall()) != []
+
+
+@pytest.mark.parametrize("named, master, warehouse, expected", [("hdfs:/c", "spark://h:7077", "file:/w", "hdfs:/c"), (None, "spark://h:7077", "hdfs:/w/", "hdfs:/w/_staged"), (None, "spark://h:7077", "file:/w", None)])
+def test_the_shared_folder_is_no_machines_own(named, master, warehouse, expected):
+    context = SimpleNamespace(master=master, getConf=lambda: {"spark.checkpoint.dir": named})
+    session = SimpleNamespace(sparkContext=context, conf={"spark.sql.warehouse.dir": warehouse})
+    if expected:
+        assert shared_dir(session) == expected
+    else:
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            shared_dir(session)
