@@ -35,7 +35,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.llm.common import WORD, parts, staged, table, unstage
@@ -46,6 +46,8 @@ _P1, _P2, _P3 = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111
 _ALL = (1 << 64) - 1
 #: Shingles whose signatures are made at a time; nodes compared at a time; sets of one task with a signature that make it hot.
 AT_ONCE, MOST, HOT = 400_000, 2048, 64
+#: Parts of a partition; a signature is of all of them but one.
+PARTS = 2
 #: Hashes that a task remembers at most; it forgets all of them beyond.
 REMEMBERED = 4_000_000
 
@@ -111,7 +113,7 @@ def allowed(a: np.ndarray | int, b: np.ndarray | int, percent: int) -> np.ndarra
 class Bands:
     """Sizes from least[t] to least[t + 1] - 1 are band t."""
 
-    def __init__(self, percent: int) -> None:
+    def __init__(self, percent: int, parts: int = PARTS) -> None:
         least = [1]
         while least[-1] < 1 << 40:
             least.append(least[-1] * 100 // percent + 1)
@@ -119,9 +121,10 @@ class Bands:
         most = self.least[1:] - 1
         k = most * (100 - percent) // percent
         base = k // 2 + 1
-        self.slack = 1 + base * (100 - percent) // 160
+        # so many spare ones that few sets have more partitions with an empty part (1.4 % at 80 % on texts of some 400 words)
+        self.slack = 1 + -(-base * (100 - percent) ** 2 // 1600)
         self.partitions = np.where(k > 0, base + self.slack, 0)  # sets that may not differ at all are one node anyway
-        self.percent = percent
+        self.percent, self.parts = percent, parts
 
     def signatures(self, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """(signature, number of the set)."""
@@ -134,22 +137,22 @@ class Bands:
         owner, tag = owner[some], tag[some]
         if not len(owner):
             return np.zeros(0, U), np.zeros(0, np.int64)
-        n1 = self.partitions[tag]
+        n1, n2 = self.partitions[tag], self.parts
         elements = np.concatenate([sets[o] for o in owner])
         entry = np.repeat(np.arange(len(owner)), sizes[owner])
-        first = np.concatenate([[0], np.cumsum(3 * n1)])
-        place = ((elements >> U(33)).astype(np.int64) % n1[entry]) * 3 + (elements & U(0xFFFFFFFF)).astype(np.int64) % 3
+        first = np.concatenate([[0], np.cumsum(n2 * n1)])
+        place = ((elements >> U(33)).astype(np.int64) % n1[entry]) * n2 + (elements & U(0xFFFFFFFF)).astype(np.int64) % n2
         cell = first[entry] + place
         total = np.zeros(first[-1], U)
         np.add.at(total, cell, mix(elements + _P3))
-        count = np.bincount(cell, minlength=first[-1]).reshape(-1, 3)
-        total = total.reshape(-1, 3)
+        count = np.bincount(cell, minlength=first[-1]).reshape(-1, n2)
+        total = total.reshape(-1, n2)
         row_entry = np.repeat(np.arange(len(owner)), n1)  # of each partition
-        number = np.arange(len(row_entry)) - first[row_entry] // 3
+        number = np.arange(len(row_entry)) - first[row_entry] // n2
         rest, filled = total.sum(axis=1, dtype=U)[:, None] - total, count.sum(axis=1)[:, None] - count > 0
         weak = np.bincount(row_entry, ~filled.all(axis=1), len(owner))
         emitted = filled | (weak > self.slack[tag])[row_entry][:, None]
-        name = mix((tag[row_entry].astype(U) * _P1 + number.astype(U))[:, None] * _P2 + np.arange(3, dtype=U)[None])
+        name = mix((tag[row_entry].astype(U) * _P1 + number.astype(U))[:, None] * _P2 + np.arange(n2, dtype=U)[None])
         return mix(rest ^ name)[emitted], np.broadcast_to(owner[row_entry][:, None], emitted.shape)[emitted]
 
 
@@ -374,6 +377,19 @@ def _partners(groups: DataFrame, labels: DataFrame, sets: DataFrame, failed: Dat
     return out
 
 
+def _one_each(df: DataFrame, id: str, text: str, wanted: DataFrame) -> DataFrame:
+    """One row of df (as `_row`) for each row of wanted (_id, _h: hash of the text, and others), of all with that id and text.
+    Rows with their texts move once: they are joined and freed of repeats by the same keys."""
+
+    def keys(i: Column, h: Column) -> list[Column]:
+        return [F.coalesce(i.cast("string"), F.lit("")).alias("_key"), i.isNull().alias("_none"), h.alias("_hash")]
+
+    names = ["_key", "_none", "_hash"]
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), *keys(F.col(f"`{id}`"), F.xxhash64(F.col(f"`{text}`"))))
+    named = wanted.select(*keys(F.col("_id"), F.col("_h")), *[c for c in wanted.columns if c not in ("_id", "_h")])
+    return rows.join(named, names).dropDuplicates(names).drop(*names)
+
+
 def resolve(df: DataFrame, id: str, text: str, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Two staged tables: the rows (_id, _h: hash of the text, n: size of the set, node), and (node, least: of the class, the
     least (whether the id is null, id, hash of the text))."""
@@ -396,14 +412,14 @@ def resolve(df: DataFrame, id: str, text: str, width: int, percent: int) -> tupl
 
     salts = parts(spark)
     signed = docs.select("_text").mapInArrow(lambda b: _signature_rows(b, width, percent, salts), "signature long, tag int, node long")
-    signed = signed.repartition("signature", F.greatest("tag", F.lit(0))).sortWithinPartitions("signature", "tag", "node")
-    groups = staged(signed.mapInArrow(_group_rows, "group long, node long"), "groups")
+    # signature and node next to each other, as two runs of zeros about each would cost the exchange more bytes
+    signed = signed.select("tag", "signature", "node").repartition("signature", F.greatest("tag", F.lit(0))).sortWithinPartitions("signature", "tag", "node")
+    groups = staged(signed.select("signature", "tag", "node").mapInArrow(_group_rows, "group long, node long"), "groups")
     together = groups.dropDuplicates(["group", "node"])
 
-    wanted = groups.select("node").distinct().join(nodes, "node").select("node", "least.*")
-    same = docs["_id"].eqNullSafe(wanted["_id"]) & (F.xxhash64(docs["_text"]) == wanted["_h"])
-    sets = docs.join(wanted, same).select("node", packed("_text").alias("s")).select("node", "s.*")
-    sets = staged(sets.dropDuplicates(["node"]), "sets")  # rows that repeat an id and a text
+    wanted = groups.select("node").distinct().join(nodes, "node").select("node", "least._id", "least._h")
+    sets = _one_each(docs, "_id", "_text", wanted).select("node", packed("_row._text").alias("s")).select("node", "s.*")
+    sets = staged(sets, "sets")
 
     heads = together.groupBy("group").agg(F.min("node").alias("b"))
     stars = groups.join(heads, "group").filter("node > b").select(F.col("node").alias("a"), "b").distinct()
@@ -442,10 +458,9 @@ def first_of_class(df: DataFrame, id: str = "doc_id", text: str = "text", width:
     """The rows of df of which no class has more than one: the one of least id (null ids last, then by a hash of the text).
     Rows without words belong to no class and all stay."""
     _, classes = resolve(df, id, text, width, percent)
-    kept = classes.select("least").distinct().select(F.col("least._id").alias("_id_"), F.col("least._h").alias("_h_"))
-    of, wordless = F.col(f"`{text}`"), ~F.coalesce(F.col(f"`{text}`"), F.lit("")).rlike(WORD)
-    chosen = df.filter(~wordless).join(kept, F.col(f"`{id}`").eqNullSafe(F.col("_id_")) & (F.xxhash64(of) == F.col("_h_")), "left_semi")
-    return chosen.dropDuplicates([id, text]).unionByName(df.filter(wordless))
+    kept = classes.select("least").distinct().select("least._id", "least._h")
+    wordless = ~F.coalesce(F.col(f"`{text}`"), F.lit("")).rlike(WORD)
+    return _one_each(df.filter(~wordless), id, text, kept).select("_row.*").unionByName(df.filter(wordless))
 
 
 def op4_jaccard_join(spark, sf_dir: str) -> DataFrame:
