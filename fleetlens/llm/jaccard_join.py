@@ -45,7 +45,7 @@ U = np.uint64
 _P1, _P2, _P3 = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
 _ALL = (1 << 64) - 1
 #: Shingles whose signatures are made at a time; nodes compared at a time; sets of one task with a signature that make it hot.
-AT_ONCE, MOST, HOT = 400_000, 2048, 64
+AT_ONCE, MOST, HOT = 200_000, 2048, 32
 #: Parts of a partition; a signature is of all of them but one.
 PARTS = 2
 #: Hashes that a task remembers at most; it forgets all of them beyond.
@@ -62,7 +62,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Words(dict):
     def __missing__(self, word: bytes) -> int:
         value = xxhash.xxh3_64_intdigest(word)
-        if len(self) >= 500_000:
+        if len(self) >= 200_000:
             self.clear()
         self[word] = value
         return value
@@ -261,7 +261,7 @@ def _likeliest(nodes: np.ndarray, labels: np.ndarray, sizes: np.ndarray, maps: l
     """Rows (a, b), a < b: each node's `most` likeliest partners of another label. failed: with which a node is known not to be linked."""
     words = min(map(len, maps)) // 8
     bit = np.stack([folded(np.frombuffer(m, U), words) for m in maps])
-    place, out, rows = {n: i for i, n in enumerate(nodes.tolist())}, [], max(1, 4_000_000 // (len(nodes) * words))
+    place, out, rows = {n: i for i, n in enumerate(nodes.tolist())}, [], max(1, 500_000 // (len(nodes) * words))
     for at in range(0, len(nodes), rows):
         some = slice(at, at + rows)
         differ = np.bitwise_count(bit[some, None] ^ bit[None]).sum(axis=2, dtype=np.int64)
