@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import WORD, parts, staged, table, unstage
+from fleetlens.llm.common import BATCH_BYTES, WORD, parts, staged, table, unstage
 from fleetlens.llm.graph import components
 
 U = np.uint64
@@ -62,7 +62,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Words(dict):
     def __missing__(self, word: bytes) -> int:
         value = xxhash.xxh3_64_intdigest(word)
-        if len(self) >= 200_000:
+        if len(self) >= 100_000:
             self.clear()
         self[word] = value
         return value
@@ -372,7 +372,7 @@ def _partners(groups: DataFrame, labels: DataFrame, sets: DataFrame, failed: Dat
     held = dealt.join(sets.select("node", "n", "bits"), "node").join(known, "node", "left")
     key = ["group", "kind", "x", "y"]
     blocks = held.repartition(*key).sortWithinPartitions(*key).select(*key, "node", "label", "n", "bits", "failed")
-    out = staged(blocks.mapInArrow(lambda b: _named(b, most, percent), "group long, a long, b long"), "partners")
+    out = staged(blocks.mapInArrow(lambda b: _named(b, most, percent), "group long, a long, b long"), "partners", BATCH_BYTES)
     unstage(labelled)
     return out
 
@@ -406,7 +406,7 @@ def resolve(df: DataFrame, id: str, text: str, width: int, percent: int) -> tupl
         found = [shingles(t, width) for t in texts]
         return pd.DataFrame({"n": [len(s) for s in found], "bits": [bits(s).tobytes() for s in found], "shingles": [s.tobytes() for s in found]})
 
-    rows = staged(docs.select("_id", F.xxhash64("_text").alias("_h"), measured("_text").alias("_s")).select("_id", "_h", "_s.n", "_s.node"), "shingle_sets")
+    rows = staged(docs.select("_id", F.xxhash64("_text").alias("_h"), measured("_text").alias("_s")).select("_id", "_h", "_s.n", "_s.node"), "shingle_sets", BATCH_BYTES)
     first = F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_h"))
     nodes = staged(rows.filter("n > 0").groupBy("node").agg(first.alias("least")), "nodes")
 
@@ -414,16 +414,16 @@ def resolve(df: DataFrame, id: str, text: str, width: int, percent: int) -> tupl
     signed = docs.select("_text").mapInArrow(lambda b: _signature_rows(b, width, percent, salts), "signature long, tag int, node long")
     # signature and node next to each other, as two runs of zeros about each would cost the exchange more bytes
     signed = signed.select("tag", "signature", "node").repartition("signature", F.greatest("tag", F.lit(0))).sortWithinPartitions("signature", "tag", "node")
-    groups = staged(signed.select("signature", "tag", "node").mapInArrow(_group_rows, "group long, node long"), "groups")
+    groups = staged(signed.select("signature", "tag", "node").mapInArrow(_group_rows, "group long, node long"), "groups", BATCH_BYTES)
     together = groups.dropDuplicates(["group", "node"])
 
     wanted = groups.select("node").distinct().join(nodes, "node").select("node", "least._id", "least._h")
     sets = _one_each(docs, "_id", "_text", wanted).select("node", packed("_row._text").alias("s")).select("node", "s.*")
-    sets = staged(sets, "sets")
+    sets = staged(sets, "sets", BATCH_BYTES)
 
     heads = together.groupBy("group").agg(F.min("node").alias("b"))
     stars = groups.join(heads, "group").filter("node > b").select(F.col("node").alias("a"), "b").distinct()
-    known = [staged(_compared(stars, sets, percent, True), "compared")]
+    known = [staged(_compared(stars, sets, percent, True), "compared", BATCH_BYTES)]
     labels, most, open_groups, pairs = None, 1, together, None
     while True:
         links = known[0]
@@ -437,7 +437,7 @@ def resolve(df: DataFrame, id: str, text: str, width: int, percent: int) -> tupl
             unstage(before)
         if pairs.isEmpty():
             break
-        known.append(staged(_compared(pairs.select("a", "b").distinct(), sets, percent, False), "compared"))
+        known.append(staged(_compared(pairs.select("a", "b").distinct(), sets, percent, False), "compared", BATCH_BYTES))
         open_groups, most = together.join(pairs.select("group").distinct(), "group", "left_semi"), most * 4
 
     of = nodes.join(labels, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))

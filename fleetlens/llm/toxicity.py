@@ -35,7 +35,7 @@ DIMENSIONS, LONG = 1 << 20, 16
 _word = re.compile(r"\w+")
 #: Thai, Lao, Tibetan, Burmese, Khmer, kana, Han.
 _unsegmented = re.compile("[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
-_REMEMBERED = 200_000
+_REMEMBERED = 100_000
 
 
 def features(word: str) -> tuple[int, ...]:
@@ -127,7 +127,7 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column, max_positive: int
     # at most max_positive + max_unlabelled ids
     chosen = docs.select("doc_id", "text").join(F.broadcast(p.unionByName(u)), "doc_id").select("doc_id", "_p", ids("text").alias("ids"))
     got = sorted(((r["doc_id"], r["_p"], bytes(r["ids"])) for r in chosen.collect()))
-    return train(*[[np.frombuffer(b, np.int32).astype(np.int64) for _, kind, b in got if kind == k] for k in (True, False)], prior)
+    return train(*[[np.frombuffer(b, np.int32) for _, kind, b in got if kind == k] for k in (True, False)], prior)
 
 
 class Memory(dict):
@@ -137,7 +137,7 @@ class Memory(dict):
         self.weights = weights
 
     def __missing__(self, word: str) -> float:
-        value = float(sum(self.weights[f] for f in features(word)))
+        value = float(sum(self.weights[f] for f in _features(word)))  # not remembered there as well
         if len(self) >= _REMEMBERED:
             self.clear()
         self[word] = value

@@ -3,6 +3,8 @@ import random
 import numpy as np
 import pytest
 
+import fleetlens.llm.jaccard_join as jaccard_join
+from fleetlens.llm.common import BATCH, staged
 from fleetlens.llm.graph import components
 from fleetlens.llm.jaccard_join import Bands, first_of_class, join, op4_jaccard_join, shingles
 
@@ -129,3 +131,19 @@ def test_components(spark):
 def test_shingles_match_the_words():
     assert len(shingles("A b C a B c", 3)) == 3 and len(shingles("a b", 3)) == 1 and len(shingles(None, 3)) == 0
     assert list(shingles("A b", 5)) == list(shingles("a\tB", 5)) != list(shingles("a b c", 5))
+
+
+def test_workers_get_their_rows_in_small_batches(spark, monkeypatch):
+    def sizes(batches):
+        for b in batches:
+            yield b.from_pydict({"n": [b.num_rows]})
+
+    before = spark.conf.get(BATCH)
+    wide = spark.range(0, 2000, 1, 1).selectExpr("repeat('x', 4000) AS text")
+    got = [r["n"] for r in staged(wide.mapInArrow(sizes, "n long"), "sizes", 1 << 20).collect()]
+    assert sum(got) == 2000 and max(got) < 300 and spark.conf.get(BATCH) == before
+
+    seen = []
+    monkeypatch.setattr(jaccard_join, "staged", lambda df, name, batch=None: (seen.append((name, batch)), staged(df, name, batch))[1])
+    join(spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f g"), (3, "q")], "doc_id long, text string")).collect()
+    assert {n for n, b in seen if b} == {"shingle_sets", "groups", "sets", "compared", "partners"}

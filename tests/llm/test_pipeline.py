@@ -3,10 +3,13 @@ import struct
 import sys
 from pathlib import Path
 
+import numpy as np
 import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 import corpus_pipeline as pipeline
+from fleetlens.llm import toxicity
+from fleetlens.llm.common import BATCH, BATCH_BYTES
 from fleetlens.llm.secret_scan import find
 from tests.llm.test_jaccard_join import brute
 from tests.llm.test_source_mix import check
@@ -88,3 +91,25 @@ def test_each_stage(spark, folder, tmp_path):
 def test_run_gives_the_stages_rows(spark, folder):
     where = folder[0]
     assert sorted(map(str, pipeline.run(spark, where).collect())) == sorted(map(str, pipeline.run(spark, where).collect())) != []
+
+
+def test_stages_hand_out_small_batches(spark, folder):
+    before = spark.conf.get(BATCH)
+    try:
+        for given, wanted in (("64m", BATCH_BYTES), (str(1 << 30), BATCH_BYTES), (str(1 << 16), 1 << 16)):
+            for _, stage in pipeline.STAGES:
+                spark.conf.set(BATCH, given)
+                try:
+                    stage(spark, None, folder)
+                except AttributeError:  # no documents
+                    pass
+                assert int(spark.conf.get(BATCH).rstrip("b")) == wanted
+    finally:
+        spark.conf.set(BATCH, before)
+
+
+def test_scores_are_remembered_once(monkeypatch):
+    memory = toxicity.Memory(np.ones(toxicity.DIMENSIONS))
+    held = toxicity._short.cache_info().currsize
+    assert all(memory[f"word{i}"] > 0 for i in range(100))
+    assert len(memory) == 100 and toxicity._short.cache_info().currsize == held
