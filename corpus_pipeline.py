@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens.llm import byte_bpe, jaccard_join, secret_scan, source_mix, toxicity
-from fleetlens.llm.common import BATCH, BATCH_BYTES, staged, table, unstage
+from fleetlens.llm.common import BATCH, BATCH_BYTES, likely, staged, table, unstage
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -61,8 +61,12 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 @_small_batches
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without words go; null sources are one source. Copies of a document stand next to each other."""
-    rated = docs.select(*COLUMNS, source_mix.words().alias("_words"), F.xxhash64("doc_id", "text").alias("_tie"))
-    rated = source_mix.with_quality(rated, table(spark, sf_dir, "labels"))
+    labels = table(spark, sf_dir, "labels")
+    # only the texts of documents that have a label move to it
+    hashed = F.xxhash64(F.col("doc_id").cast("string"))
+    marked = likely(docs.select(*COLUMNS), hashed, labels.filter("doc_id IS NOT NULL").select(hashed.alias("_h")), "_h")
+    judged, rest = (marked.filter(which).select(*COLUMNS, source_mix.words().alias("_words"), F.xxhash64("doc_id", "text").alias("_tie")) for which in ("_likely", "NOT _likely"))
+    rated = source_mix.with_quality(judged, labels).unionByName(rest.withColumn("mix_quality", F.lit(1.0)))
     mixed = source_mix.mix(rated, size="_words", quality="mix_quality", tie="_tie")
     times = F.when(F.col("_words") > 0, F.expr("CAST(taken DIV _words AS INT)")).otherwise(0)
     return mixed.withColumn("_times", times).filter("_times > 0").select(*COLUMNS, F.explode(F.expr("sequence(1, _times)")).alias("_copy")).select(*COLUMNS)

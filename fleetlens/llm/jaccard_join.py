@@ -14,11 +14,13 @@ The nodes that share a signature are a group; groups of the same nodes are one.
    label, the least node that it is linked with so far.
 2. In groups with more than one label, each node names its likeliest partners among the nodes of other labels; they are
    compared exactly, and labels and failures noted. This is repeated, with four times as many partners named each time,
-   until no node has a partner left that could be linked. A group in which no node names one is finished.
+   until no node has a partner left that could be linked. A group in which no node names one is finished, and one of two
+   nodes is after the first step.
 
 So members of one class, however many, are not compared with each other. The filter keeps each set's shingles as a bit
-map of at least twice as many bits, in which every shingle flips one bit: two maps differ in no more bits than their sets
-in shingles, so no link is lost by it. In a group of more than `MOST` nodes, those of its commonest label stand in blocks, and
+map of at least as many bits, in which every shingle flips one bit: two maps differ in no more bits than their sets
+in shingles, so no link is lost by it. Sizes and maps go with the nodes; the shingles of a pair that passes the filter are made
+again from its texts, which are picked where they lie by a map of bits (`common.likely`) before they move. In a group of more than `MOST` nodes, those of its commonest label stand in blocks, and
 the others meet each block: the work is (nodes) * (nodes not of that label). A signature that one task sees often is dealt
 out over many tasks.
 
@@ -38,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import BATCH_BYTES, WORD, parts, staged, table, unstage
+from fleetlens.llm.common import BATCH_BYTES, WORD, likely, parts, staged, table, unstage
 from fleetlens.llm.graph import components
 
 U = np.uint64
@@ -48,6 +50,8 @@ _ALL = (1 << 64) - 1
 AT_ONCE, MOST, HOT = 200_000, 2048, 32
 #: Parts of a partition; a signature is of all of them but one.
 PARTS = 2
+#: The bits of a signature that are sent; those left out cost the exchange two bytes a row, and more chance groups are compared in vain.
+SENT = U(_ALL ^ 0xFFFF)
 #: Hashes that a task remembers at most; it forgets all of them beyond.
 REMEMBERED = 4_000_000
 
@@ -92,8 +96,9 @@ def node(s: np.ndarray) -> int:
 
 
 def bits(s: np.ndarray) -> np.ndarray:
-    """A bit map in which every shingle flips one bit: 64-bit words, twice to four times as many bits as shingles."""
-    size = max(64, 1 << (2 * len(s) - 1).bit_length())
+    """A bit map in which every shingle flips one bit: 64-bit words, once to twice as many bits as shingles. Of unrelated
+    sets about half the bits differ, of linked ones (80 %) two ninths at most."""
+    size = max(64, 1 << (len(s) - 1).bit_length())
     return np.packbits(np.bincount((s & U(size - 1)).astype(np.int64), minlength=size) & 1).view(U)
 
 
@@ -153,7 +158,7 @@ class Bands:
         weak = np.bincount(row_entry, ~filled.all(axis=1), len(owner))
         emitted = filled | (weak > self.slack[tag])[row_entry][:, None]
         name = mix((tag[row_entry].astype(U) * _P1 + number.astype(U))[:, None] * _P2 + np.arange(n2, dtype=U)[None])
-        return mix(rest ^ name)[emitted], np.broadcast_to(owner[row_entry][:, None], emitted.shape)[emitted]
+        return mix(rest ^ name)[emitted] & SENT, np.broadcast_to(owner[row_entry][:, None], emitted.shape)[emitted]
 
 
 def _signature_rows(batches: Iterator[pa.RecordBatch], width: int, percent: int, salts: int) -> Iterator[pa.RecordBatch]:
@@ -316,16 +321,15 @@ def _named(batches: Iterator[pa.RecordBatch], most: int, percent: int) -> Iterat
         yield found([pairs(pa.Table.from_batches(held))])
 
 
-def _both(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
-    """pairs (a, b) with n_a, n_b and the column of both nodes."""
+def _both(pairs: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
+    """pairs (a, b) with each of the columns of both nodes, as <column>_a and <column>_b."""
     for side in ("a", "b"):
-        held = sets.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col(column).alias(f"of_{side}"))
-        pairs = pairs.join(held, side)
+        pairs = pairs.join(sets.select(F.col("node").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns]), side)
     return pairs
 
 
-def _compared(pairs: DataFrame, sets: DataFrame, percent: int, maps_first: bool) -> DataFrame:
-    """pairs (a, b) with `linked`, exactly; with maps_first, only those that pass the filter."""
+def _possible(pairs: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that pass the filter, by maps (node, n, bits)."""
 
     @F.pandas_udf("boolean")
     def possible(n_a: pd.Series, n_b: pd.Series, of_a: pd.Series, of_b: pd.Series) -> pd.Series:
@@ -336,6 +340,17 @@ def _compared(pairs: DataFrame, sets: DataFrame, percent: int, maps_first: bool)
             out.append(int(np.bitwise_count(folded(x, words) ^ folded(y, words)).sum()) <= allowed(na, nb, percent))
         return pd.Series(out, dtype=bool)
 
+    near = F.abs(F.col("n_a") - F.col("n_b")) <= F.expr(f"(n_a + n_b) * {100 - percent} DIV {100 + percent}")
+    return _both(pairs, maps, "n", "bits").filter(near).filter(possible("n_a", "n_b", "bits_a", "bits_b")).select("a", "b")
+
+
+def _compared(pairs: DataFrame, docs: DataFrame, maps: DataFrame, width: int, percent: int) -> DataFrame:
+    """Staged pairs (a, b) with `linked`, exactly. Of docs (_id, _text) only the texts of nodes in pairs move, one each."""
+
+    @F.pandas_udf("binary")
+    def packed(texts: pd.Series) -> pd.Series:
+        return pd.Series([shingles(t, width).tobytes() for t in texts])
+
     @F.pandas_udf("boolean")
     def linked(of_a: pd.Series, of_b: pd.Series) -> pd.Series:
         out = []
@@ -345,13 +360,16 @@ def _compared(pairs: DataFrame, sets: DataFrame, percent: int, maps_first: bool)
             out.append(100 * shared >= percent * (len(x) + len(y) - shared))
         return pd.Series(out, dtype=bool)
 
-    if maps_first:
-        near = F.abs(F.col("n_a") - F.col("n_b")) <= F.expr(f"(n_a + n_b) * {100 - percent} DIV {100 + percent}")
-        pairs = _both(pairs, sets, "bits").filter(near).filter(possible("n_a", "n_b", "of_a", "of_b")).select("a", "b")
-    return _both(pairs, sets, "shingles").select("a", "b", linked("of_a", "of_b").alias("linked"))
+    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    wanted = staged(nodes.join(maps, "node").select("node", "least._id", "least._h"), "wanted")
+    texts = likely(docs, F.xxhash64("_text"), wanted, "_h").filter("_likely").drop("_likely")
+    sets = staged(_one_each(texts, "_id", "_text", wanted).select("node", packed("_row._text").alias("shingles")), "sets", BATCH_BYTES)
+    out = staged(_both(pairs, sets, "shingles").select("a", "b", linked("shingles_a", "shingles_b").alias("linked")), "compared", BATCH_BYTES)
+    unstage(wanted, sets)
+    return out
 
 
-def _partners(groups: DataFrame, labels: DataFrame, sets: DataFrame, failed: DataFrame, most: int, percent: int) -> DataFrame:
+def _partners(groups: DataFrame, labels: DataFrame, maps: DataFrame, failed: DataFrame, most: int, percent: int) -> DataFrame:
     """(group, a, b): the pairs named in groups of more than one label."""
     labelled = staged(groups.join(labels, "node", "left").select("group", "node", F.coalesce("component", "node").alias("label")), "labelled")
     each = labelled.groupBy("group", "label").agg(F.count("*").alias("m"))
@@ -369,7 +387,7 @@ def _partners(groups: DataFrame, labels: DataFrame, sets: DataFrame, failed: Dat
     )
     dealt = dealt.select("group", "node", "label", F.inline(deal))
     known = failed.unionByName(failed.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy(F.col("a").alias("node")).agg(F.collect_list("b").alias("failed"))
-    held = dealt.join(sets.select("node", "n", "bits"), "node").join(known, "node", "left")
+    held = dealt.join(maps.select("node", "n", "bits"), "node").join(known, "node", "left")
     key = ["group", "kind", "x", "y"]
     blocks = held.repartition(*key).sortWithinPartitions(*key).select(*key, "node", "label", "n", "bits", "failed")
     out = staged(blocks.mapInArrow(lambda b: _named(b, most, percent), "group long, a long, b long"), "partners", BATCH_BYTES)
@@ -392,23 +410,19 @@ def _one_each(df: DataFrame, id: str, text: str, wanted: DataFrame) -> DataFrame
 
 def resolve(df: DataFrame, id: str, text: str, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Two staged tables: the rows (_id, _h: hash of the text, n: size of the set, node), and (node, least: of the class, the
-    least (whether the id is null, id, hash of the text))."""
+    least (whether the id is null, id, hash of the text), m: the rows of the class)."""
     spark = df.sparkSession
     docs = df.select(F.col(f"`{id}`").alias("_id"), F.col(f"`{text}`").alias("_text"))
 
-    @F.pandas_udf("n long, node long")
+    @F.pandas_udf("n long, node long, bits binary")
     def measured(texts: pd.Series) -> pd.DataFrame:
         found = [shingles(t, width) for t in texts]
-        return pd.DataFrame({"n": [len(s) for s in found], "node": [node(s) for s in found]})
+        return pd.DataFrame({"n": [len(s) for s in found], "node": [node(s) for s in found], "bits": [bits(s).tobytes() if len(s) else None for s in found]})
 
-    @F.pandas_udf("n long, bits binary, shingles binary")
-    def packed(texts: pd.Series) -> pd.DataFrame:
-        found = [shingles(t, width) for t in texts]
-        return pd.DataFrame({"n": [len(s) for s in found], "bits": [bits(s).tobytes() for s in found], "shingles": [s.tobytes() for s in found]})
-
-    rows = staged(docs.select("_id", F.xxhash64("_text").alias("_h"), measured("_text").alias("_s")).select("_id", "_h", "_s.n", "_s.node"), "shingle_sets", BATCH_BYTES)
+    rows = staged(docs.select("_id", F.xxhash64("_text").alias("_h"), measured("_text").alias("_s")).select("_id", "_h", "_s.*"), "shingle_sets", BATCH_BYTES)
     first = F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_h"))
-    nodes = staged(rows.filter("n > 0").groupBy("node").agg(first.alias("least")), "nodes")
+    each = rows.filter("n > 0").groupBy("node").agg(first.alias("least"), F.count("*").alias("m"), F.first("n").alias("n"), F.first("bits").alias("bits"))
+    nodes = staged(each, "nodes")
 
     salts = parts(spark)
     signed = docs.select("_text").mapInArrow(lambda b: _signature_rows(b, width, percent, salts), "signature long, tag int, node long")
@@ -416,15 +430,17 @@ def resolve(df: DataFrame, id: str, text: str, width: int, percent: int) -> tupl
     signed = signed.select("tag", "signature", "node").repartition("signature", F.greatest("tag", F.lit(0))).sortWithinPartitions("signature", "tag", "node")
     groups = staged(signed.select("signature", "tag", "node").mapInArrow(_group_rows, "group long, node long"), "groups", BATCH_BYTES)
     together = groups.dropDuplicates(["group", "node"])
-
-    wanted = groups.select("node").distinct().join(nodes, "node").select("node", "least._id", "least._h")
-    sets = _one_each(docs, "_id", "_text", wanted).select("node", packed("_row._text").alias("s")).select("node", "s.*")
-    sets = staged(sets, "sets", BATCH_BYTES)
-
-    heads = together.groupBy("group").agg(F.min("node").alias("b"))
-    stars = groups.join(heads, "group").filter("node > b").select(F.col("node").alias("a"), "b").distinct()
-    known = [staged(_compared(stars, sets, percent, True), "compared", BATCH_BYTES)]
-    labels, most, open_groups, pairs = None, 1, together, None
+    heads = together.groupBy("group").agg(F.min("node").alias("b"), F.count("*").alias("m"))
+    headed = staged(together.join(heads, "group"), "headed")
+    unstage(groups)
+
+    maps = staged(nodes.join(headed.select("node").distinct(), "node", "left_semi").select("node", "least", "n", "bits"), "maps")
+    stars = headed.filter("node > b").select(F.col("node").alias("a"), "b").distinct()
+    pairs = staged(_possible(stars, maps, percent), "compared", BATCH_BYTES)
+    known = [_compared(pairs, docs, maps, width, percent)]
+    unstage(pairs)
+    larger = headed.filter("m > 2").select("group", "node")
+    labels, most, open_groups, pairs = None, 1, larger, None
     while True:
         links = known[0]
         for more in known[1:]:
@@ -432,18 +448,18 @@ def resolve(df: DataFrame, id: str, text: str, width: int, percent: int) -> tupl
         if labels is not None:
             unstage(labels)
         labels = components(links.filter("linked"), "a", "b")
-        before, pairs = pairs, _partners(open_groups, labels, sets, links.filter("NOT linked").select("a", "b"), most, percent)
+        before, pairs = pairs, _partners(open_groups, labels, maps, links.filter("NOT linked").select("a", "b"), most, percent)
         if before is not None:
             unstage(before)
         if pairs.isEmpty():
             break
-        known.append(staged(_compared(pairs.select("a", "b").distinct(), sets, percent, False), "compared", BATCH_BYTES))
-        open_groups, most = together.join(pairs.select("group").distinct(), "group", "left_semi"), most * 4
+        known.append(_compared(pairs.select("a", "b").distinct(), docs, maps, width, percent))
+        open_groups, most = larger.join(pairs.select("group").distinct(), "group", "left_semi"), most * 4
 
-    of = nodes.join(labels, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
-    least = of.groupBy("component").agg(F.min("least").alias("least"))
-    classes = staged(of.select("node", "component").join(least, "component").select("node", "least"), "classes")
-    unstage(nodes, groups, sets, labels, pairs, *known)
+    of = nodes.join(labels, "node", "left").select("node", "least", "m", F.coalesce("component", "node").alias("component"))
+    least = of.groupBy("component").agg(F.min("least").alias("least"), F.sum("m").alias("m"))
+    classes = staged(of.select("node", "component").join(least, "component").select("node", "least", "m"), "classes")
+    unstage(nodes, headed, maps, labels, pairs, *known)
     return rows, classes
 
 
@@ -457,10 +473,14 @@ def join(df: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5,
 def first_of_class(df: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of df of which no class has more than one: the one of least id (null ids last, then by a hash of the text).
     Rows without words belong to no class and all stay."""
-    _, classes = resolve(df, id, text, width, percent)
-    kept = classes.select("least").distinct().select("least._id", "least._h")
+    rows, classes = resolve(df, id, text, width, percent)
+    # only the texts of classes of several rows move; the others are all there is of their class
+    several = staged(rows.join(classes.filter("m > 1").select("node"), "node").select("_h").distinct(), "several")
+    kept = likely(classes.select("least").distinct().select("least._id", "least._h"), F.col("_h"), several, "_h").filter("_likely").drop("_likely")
+    found = likely(df, F.xxhash64(F.col(f"`{text}`")), several, "_h")
     wordless = ~F.coalesce(F.col(f"`{text}`"), F.lit("")).rlike(WORD)
-    return _one_each(df.filter(~wordless), id, text, kept).select("_row.*").unionByName(df.filter(wordless))
+    moved, left = found.filter(F.col("_likely") & ~wordless).drop("_likely"), found.filter(~F.col("_likely") | wordless).drop("_likely")
+    return _one_each(moved, id, text, kept).select("_row.*").unionByName(left)
 
 
 def op4_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -147,3 +147,13 @@ def test_workers_get_their_rows_in_small_batches(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "staged", lambda df, name, batch=None: (seen.append((name, batch)), staged(df, name, batch))[1])
     join(spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f g"), (3, "q")], "doc_id long, text string")).collect()
     assert {n for n, b in seen if b} == {"shingle_sets", "groups", "sets", "compared", "partners"}
+
+
+def test_only_texts_that_are_needed_move(spark, monkeypatch):
+    moved, one_each = [], jaccard_join._one_each
+    monkeypatch.setattr(jaccard_join, "_one_each", lambda df, *others: (moved.append(df.count()), one_each(df, *others))[1])
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(30))) for i in range(200)]
+    rows += [(500, rows[7][1] + " more"), (501, rows[8][1]), (502, ""), (503, None)]
+    kept = first_of_class(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.text) for r in kept if r.text) == rows[:200] and len(kept) == 202
+    assert len(moved) > 1 and max(moved) == 4  # of two classes; 204 or 202 rows before

@@ -113,3 +113,14 @@ def test_scores_are_remembered_once(monkeypatch):
     held = toxicity._short.cache_info().currsize
     assert all(memory[f"word{i}"] > 0 for i in range(100))
     assert len(memory) == 100 and toxicity._short.cache_info().currsize == held
+
+
+def test_only_labelled_texts_meet_the_labels(spark, tmp_path, monkeypatch):
+    from corpus_pipeline import mix_sources, source_mix
+
+    met, with_quality = [], source_mix.with_quality
+    monkeypatch.setattr(source_mix, "with_quality", lambda df, labels: (met.append([r.doc_id for r in df.collect()]), with_quality(df, labels))[1])
+    spark.createDataFrame([(3, 1, 0), (999, 0, 0), (None, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = [(i, f"some words {i}", "en", "ab"[i % 2], 12) for i in range(50)] + [(None, "no id", "en", "a", 5)]
+    out = mix_sources(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), str(tmp_path)).collect()
+    assert out and met == [[3]]  # all 51 before
