@@ -13,7 +13,7 @@ The nodes that share a signature are a group; groups of the same nodes are one.
 1. Each node meets the first of its groups. Pairs that pass a filter are compared exactly; the true links give each node a
    label, the least node that it is linked with so far.
 2. In groups with more than one label, each node names its likeliest partners among the nodes of other labels; they are
-   compared exactly, and labels and failures noted. This is repeated, with four times as many partners named each time,
+   compared exactly, and labels and failures noted. This is repeated, with 4, then 16 times as many partners named each time,
    until no node has a partner left that could be linked. A group in which no node names one is finished, and one of two
    nodes is after the first step.
 
@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import BATCH_BYTES, WORD, likely, parts, staged, table, unstage
+from fleetlens.llm.common import BATCH_BYTES, WORD, likely, parts, small, staged, table, unstage
 from fleetlens.llm.graph import components
 
 U = np.uint64
@@ -371,7 +371,7 @@ def _compared(pairs: DataFrame, docs: DataFrame, maps: DataFrame, width: int, pe
 
 def _partners(groups: DataFrame, labels: DataFrame, maps: DataFrame, failed: DataFrame, most: int, percent: int) -> DataFrame:
     """(group, a, b): the pairs named in groups of more than one label."""
-    labelled = staged(groups.join(labels, "node", "left").select("group", "node", F.coalesce("component", "node").alias("label")), "labelled")
+    labelled = staged(groups.join(small(labels), "node", "left").select("group", "node", F.coalesce("component", "node").alias("label")), "labelled")
     each = labelled.groupBy("group", "label").agg(F.count("*").alias("m"))
     kinds = each.groupBy("group").agg(F.sum("m").alias("all"), F.max("m").alias("m"), F.max_by("label", F.struct("m", "label")).alias("common"), F.count("*").alias("labels"))
     dealt = labelled.join(kinds.filter("labels > 1"), "group")
@@ -440,21 +440,22 @@ def resolve(df: DataFrame, id: str, text: str, width: int, percent: int) -> tupl
     known = [_compared(pairs, docs, maps, width, percent)]
     unstage(pairs)
     larger = headed.filter("m > 2").select("group", "node")
-    labels, most, open_groups, pairs = None, 1, larger, None
+    labels, most, open_groups, pairs = components(known[0].filter("linked"), "a", "b"), 1, larger, None
     while True:
         links = known[0]
         for more in known[1:]:
             links = links.unionByName(more)
-        if labels is not None:
-            unstage(labels)
-        labels = components(links.filter("linked"), "a", "b")
         before, pairs = pairs, _partners(open_groups, labels, maps, links.filter("NOT linked").select("a", "b"), most, percent)
         if before is not None:
             unstage(before)
         if pairs.isEmpty():
             break
         known.append(_compared(pairs.select("a", "b").distinct(), docs, maps, width, percent))
-        open_groups, most = larger.join(pairs.select("group").distinct(), "group", "left_semi"), most * 4
+        found = known[-1].filter("linked").select("a", "b")
+        if not found.isEmpty():  # classes only grow: what was found before is stars about their labels
+            known_as, labels = labels, components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found), "a", "b")
+            unstage(known_as)
+        open_groups, most = larger.join(pairs.select("group").distinct(), "group", "left_semi"), most * (4 if most == 1 else 16)
 
     of = nodes.join(labels, "node", "left").select("node", "least", "m", F.coalesce("component", "node").alias("component"))
     least = of.groupBy("component").agg(F.min("least").alias("least"), F.sum("m").alias("m"))

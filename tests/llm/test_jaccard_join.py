@@ -157,3 +157,24 @@ def test_only_texts_that_are_needed_move(spark, monkeypatch):
     kept = first_of_class(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.doc_id, r.text) for r in kept if r.text) == rows[:200] and len(kept) == 202
     assert len(moved) > 1 and max(moved) == 4  # of two classes; 204 or 202 rows before
+
+
+def test_steps_on_small_tables_are_few_and_in_few_tasks(spark, monkeypatch):
+    from fleetlens.llm import graph
+
+    sizes = []
+    monkeypatch.setattr(graph, "staged", lambda df, name: (out := staged(df, name), sizes.append(len(out.inputFiles())))[0])
+    conf = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        edges = spark.createDataFrame([(i, i % 10) for i in range(10, 400)], "a long, b long")
+        assert dict(components(edges, "a", "b").collect()) == {i: i % 10 for i in range(400)}
+        assert len(sizes) == 2 and sizes[-1] <= 8  # stars are seen to be stars: 10 tables of up to 40 files before
+        sizes.clear()
+        chain = spark.createDataFrame([(i, i + 1) for i in range(200)], "a long, b long")
+        assert dict(components(chain, "a", "b").collect()) == {i: 0 for i in range(201)} and max(sizes[1:]) <= 8
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
