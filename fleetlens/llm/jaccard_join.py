@@ -31,6 +31,7 @@ different sets meet by chance n^2 / 2^65 times.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,8 +51,9 @@ _ALL = (1 << 64) - 1
 AT_ONCE, MOST, HOT = 200_000, 2048, 32
 #: Parts of a partition; a signature is of all of them but one.
 PARTS = 2
-#: The bits of a signature that are sent; those left out cost the exchange two bytes a row, and more chance groups are compared in vain.
-SENT = U(_ALL ^ 0xFFFF)
+#: The bits of a signature that are sent: 40. Those left out would cost the exchange up to three bytes a row. n signatures meet by chance
+#: n^2 / 2^41 times (some 2,000 times in 65 million, 7 million times in 4 billion); such groups are compared in vain.
+SENT = U(_ALL ^ 0xFFFFFF)
 #: Hashes that a task remembers at most; it forgets all of them beyond.
 REMEMBERED = 4_000_000
 
@@ -161,12 +163,16 @@ class Bands:
         return mix(rest ^ name)[emitted] & SENT, np.broadcast_to(owner[row_entry][:, None], emitted.shape)[emitted]
 
 
-def _signature_rows(batches: Iterator[pa.RecordBatch], width: int, percent: int, salts: int) -> Iterator[pa.RecordBatch]:
-    """(signature, tag, node). Sets with a hot signature get tags above 0, one of them a row with tag -1 that says so."""
+def _signature_rows(batches: Iterator[pa.RecordBatch], width: int, percent: int, salts: int, turn: int = 0, turns: int = 1) -> Iterator[pa.RecordBatch]:
+    """(signature, tag, node), of the signatures whose turn it is. Sets with a hot signature get tags above 0, one of them a row
+    with tag -1 that says so."""
     bands, seen = Bands(percent), set()  # equal sets of a task give their signatures once
 
     def made(sets: list[np.ndarray], nodes: list[int]) -> pa.RecordBatch:
         signature, owner = bands.signatures(sets)
+        if turns > 1:
+            mine = (signature >> U(32)) % U(turns) == turn
+            signature, owner = signature[mine], owner[mine]
         node, tag = np.array(nodes, np.int64)[owner], np.zeros(len(owner), np.int32)
         if salts > 1 and len(signature):
             _, first, place, count = np.unique(signature, return_index=True, return_inverse=True, return_counts=True)
@@ -408,9 +414,10 @@ def _one_each(df: DataFrame, id: str, text: str, wanted: DataFrame) -> DataFrame
     return rows.join(named, names).dropDuplicates(names).drop(*names)
 
 
-def resolve(df: DataFrame, id: str, text: str, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+def resolve(df: DataFrame, id: str, text: str, width: int, percent: int, turns: int = 1) -> tuple[DataFrame, DataFrame]:
     """Two staged tables: the rows (_id, _h: hash of the text, n: size of the set, node), and (node, least: of the class, the
-    least (whether the id is null, id, hash of the text), m: the rows of the class)."""
+    least (whether the id is null, id, hash of the text), m: the rows of the class). turns: in how many turns all signatures
+    are made and grouped; each holds its share of them on disk at once, and reads the texts again."""
     spark = df.sparkSession
     docs = df.select(F.col(f"`{id}`").alias("_id"), F.col(f"`{text}`").alias("_text"))
 
@@ -425,14 +432,16 @@ def resolve(df: DataFrame, id: str, text: str, width: int, percent: int) -> tupl
     nodes = staged(each, "nodes")
 
     salts = parts(spark)
-    signed = docs.select("_text").mapInArrow(lambda b: _signature_rows(b, width, percent, salts), "signature long, tag int, node long")
-    # signature and node next to each other, as two runs of zeros about each would cost the exchange more bytes
-    signed = signed.select("tag", "signature", "node").repartition("signature", F.greatest("tag", F.lit(0))).sortWithinPartitions("signature", "tag", "node")
-    groups = staged(signed.select("signature", "tag", "node").mapInArrow(_group_rows, "group long, node long"), "groups", BATCH_BYTES)
-    together = groups.dropDuplicates(["group", "node"])
+    each_turn = []
+    for turn in range(turns):
+        signed = docs.select("_text").mapInArrow(lambda b, turn=turn: _signature_rows(b, width, percent, salts, turn, turns), "signature long, tag int, node long")
+        # signature and node next to each other, as two runs of zeros about each would cost the exchange more bytes
+        signed = signed.select("tag", "signature", "node").repartition("signature", F.greatest("tag", F.lit(0))).sortWithinPartitions("signature", "tag", "node")
+        each_turn.append(staged(signed.select("signature", "tag", "node").mapInArrow(_group_rows, "group long, node long"), "groups", BATCH_BYTES))
+    together = functools.reduce(DataFrame.unionByName, each_turn).dropDuplicates(["group", "node"])
     heads = together.groupBy("group").agg(F.min("node").alias("b"), F.count("*").alias("m"))
     headed = staged(together.join(heads, "group"), "headed")
-    unstage(groups)
+    unstage(*each_turn)
 
     maps = staged(nodes.join(headed.select("node").distinct(), "node", "left_semi").select("node", "least", "n", "bits"), "maps")
     stars = headed.filter("node > b").select(F.col("node").alias("a"), "b").distinct()
@@ -473,8 +482,9 @@ def join(df: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5,
 
 def first_of_class(df: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of df of which no class has more than one: the one of least id (null ids last, then by a hash of the text).
-    Rows without words belong to no class and all stay."""
-    rows, classes = resolve(df, id, text, width, percent)
+    Rows without words belong to no class and all stay. Signatures come in two turns: at five words and 80 % they would be most of
+    the disk at once."""
+    rows, classes = resolve(df, id, text, width, percent, turns=2)
     # only the texts of classes of several rows move; the others are all there is of their class
     several = staged(rows.join(classes.filter("m > 1").select("node"), "node").select("_h").distinct(), "several")
     kept = likely(classes.select("least").distinct().select("least._id", "least._h"), F.col("_h"), several, "_h").filter("_likely").drop("_likely")

@@ -159,6 +159,27 @@ def test_only_texts_that_are_needed_move(spark, monkeypatch):
     assert len(moved) > 1 and max(moved) == 4  # of two classes; 204 or 202 rows before
 
 
+def test_signatures_come_in_turns(spark, monkeypatch):
+    """Each set has all its signatures over the turns, none twice; first_of_class holds half of them at once."""
+    import pyarrow as pa
+
+    texts = [t for _, t in corpus(8, families=6)]
+
+    def rows(*turn):
+        made = jaccard_join._signature_rows(iter([pa.record_batch({"t": pa.array(texts, pa.string())})]), 3, 80, 1, *turn)
+        return [r for b in made for r in zip(*(c.to_pylist() for c in b.columns))]
+
+    turns = [rows(k, 2) for k in range(2)]
+    assert sorted(turns[0] + turns[1]) == sorted(rows()) and min(map(len, turns)) > 0.4 * len(rows())
+    assert not {r[0] for r in turns[0]} & {r[0] for r in turns[1]}
+    seen = []
+    monkeypatch.setattr(jaccard_join, "staged", lambda df, name, batch=None: (seen.append(name), staged(df, name, batch))[1])
+    given = corpus(9, families=5)
+    kept = first_of_class(spark.createDataFrame(given, "doc_id long, text string"), width=5, percent=80).collect()
+    assert sorted(r.doc_id for r in kept) == sorted(k for k, (_, least) in brute(given, 5, 80).items() if k == least)
+    assert seen.count("groups") == 2
+
+
 def test_steps_on_small_tables_are_few_and_in_few_tasks(spark, monkeypatch):
     from fleetlens.llm import graph
 
