@@ -68,19 +68,23 @@ def status_feed(spark: SparkSession, d: str) -> DataFrame:
     c, w, m, p = (view(spark, d, v) for v in ("fx_clusters", "fx_workloads", "fx_members", "fx_probes"))
     item = {"spec": F.lit(""), "workload": F.lit(""), "member": F.col("member_id").cast("string"), "probe": F.col("endpoint")}
 
-    def feed(version: int, deleted: bool = False, **tables: DataFrame) -> DataFrame:
-        rows = {k: t.withColumns({"item": item[k], "version_": F.lit(version).cast("bigint"), "deleted": F.lit(deleted)}) for k, t in tables.items()}
-        return tagged(rows, "item", "version_", "deleted").withColumnRenamed("version_", "version")
+    def versions(t: DataFrame, ghosts: str = "false") -> DataFrame:
+        """Each row as it is and as it was; where there are ghosts, also as one that came and one that went. t is made once."""
+        return t.selectExpr("*", f"inline(IF({ghosts}, array((2L, false, 0), (1L, false, 0), (2L, false, 50), (3L, true, 50)), array((2L, false, 0), (1L, false, 0)))) AS (version_, deleted, more)")
 
-    now = feed(2, spec=c, workload=w, member=m, probe=p)
-    before = feed(1, spec=c.withColumn("generation", F.col("generation") - 1), workload=w.withColumn("replicas", F.col("replicas") + 1), member=m.withColumn("is_learner", ~F.col("is_learner")), probe=p.withColumn("health", ~F.col("health")))
-    ghosts = m.filter("cluster_id % 7 = 0 AND ordinal = 0").withColumn("member_id", F.col("member_id") + 50)
-    return now.unionByName(before).unionByName(feed(2, member=ghosts), True).unionByName(feed(3, True, member=ghosts), True)
+    was = F.col("version_") == 1
+    m = versions(m, "cluster_id % 7 = 0 AND ordinal = 0").withColumn("member_id", F.col("member_id") + F.col("more"))
+    tables = {
+        "spec": versions(c).withColumn("generation", F.col("generation") - was.cast("int")), "workload": versions(w).withColumn("replicas", F.col("replicas") + was.cast("int")),
+        "member": m.withColumn("is_learner", F.col("is_learner") != was), "probe": versions(p).withColumn("health", F.col("health") != was),
+    }
+    return tagged({k: t.withColumn("item", item[k]) for k, t in tables.items()}, "item", "version_", "deleted").withColumnRenamed("version_", "version")
 
 
 def _status(spark: SparkSession, d: str, batches: int = 4) -> DataFrame:
     rows = status_feed(spark, d)
-    table = streams.FleetStatus(spark, _folder(spark), rows.schema)
+    # a bucket's rows are those of some 100,000 clusters, as a task merges it
+    table = streams.FleetStatus(spark, _folder(spark), rows.schema, buckets=max(16, view(spark, d, "fx_clusters").count() // 100_000))
     comes = F.pmod(F.xxhash64("cluster_id", "feed", "item", "version"), F.lit(batches))
     streams.run_once(streams.replay(rows, folder(spark, "feed"), [comes == k for k in range(batches)]), _folder(spark), table.apply)
     return flat_status(table.current())

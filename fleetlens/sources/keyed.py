@@ -52,22 +52,31 @@ class KeyedTable:
         """The buckets of some rows: as many numbers as the table has buckets, at most."""
         return [r[0] for r in rows.select(self.bucket()).distinct().collect()]
 
-    def merge(self, rows: DataFrame, version: int) -> bool:
-        """Keeps the latest of what is there and of rows. False where the version is there already."""
+    def dealt(self, rows: DataFrame) -> DataFrame:
+        """rows with `_b`, a task for each bucket."""
+        return rows.withColumn("_b", self.bucket()).repartitionById(self.buckets, "_b")
+
+    def merge(self, rows: DataFrame, version: int, buckets: list[int] | None = None) -> bool:
+        """Keeps the latest of what is there and of rows, which touch some buckets (None: looked up, by making rows once more). False
+        where the version is there already. Rows move once: a bucket is merged in the task that writes it."""
         known = self.versions()
         if known and known[-1] >= version:
             return False
         columns = self.spark.createDataFrame([], self.schema).columns
         rows = rows.select(*columns)
-        buckets = self.touched(rows)
-        return self.replace(latest(self.read(buckets).unionByName(rows), self.key, self.order).select(*columns), buckets, version)
+        buckets = self.touched(rows) if buckets is None else buckets
+        both = self.dealt(self.read(buckets).unionByName(rows))
+        return self._put(latest(both, [*self.key, "_b"], self.order).select(*columns, "_b"), buckets, version)
 
     def replace(self, rows: DataFrame, buckets: list[int], version: int) -> bool:
         """Puts rows in the place of some buckets."""
+        return self._put(self.dealt(rows), buckets, version)
+
+    def _put(self, rows: DataFrame, buckets: list[int], version: int) -> bool:
         known, held = self.versions(), self.manifest()
         if buckets:
             # a bucket without rows has no folder, and no place in the manifest
-            rows.withColumn("_b", self.bucket()).repartition("_b").write.mode("overwrite").partitionBy("_b").parquet(f"{self.path}/data/{version}")
+            rows.write.mode("overwrite").partitionBy("_b").parquet(f"{self.path}/data/{version}")
         made = {int(n.removeprefix("_b=")) for n in self.files.names(f"data/{version}") if n.startswith("_b=")} if buckets else set()
         held = {b: v for b, v in held.items() if b not in buckets} | dict.fromkeys(sorted(made), version)
         if not self.files.put(f"manifests/{version:012d}.json", json.dumps(held)):

@@ -11,12 +11,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from fleetlens.operators.decisions import cluster_status, gathered
 from fleetlens.operators.members import KEY
 from fleetlens.sources.keyed import KeyedTable
-from fleetlens.sources.shared import Files
+from fleetlens.sources.shared import Files, folder, remove
+
+#: About how many rows of a replayed micro-batch one task writes.
+FILE_ROWS = 1 << 18
 
 
 def probe_ticks(probes: DataFrame, tick: str = "1 hour", late: str = "30 seconds") -> DataFrame:
@@ -170,32 +173,48 @@ class FleetStatus:
 
     def __init__(self, spark: SparkSession, path: str, rows: StructType, buckets: int = 16) -> None:
         self.state = KeyedTable(spark, f"{path}/state", rows, [KEY, "feed", "item"], ["version"], [KEY], buckets)
-        form = self.status_of(spark.createDataFrame([], rows)).schema
-        self.status = KeyedTable(spark, f"{path}/status", form, [KEY], ["version"], buckets=buckets)
+        empty = spark.createDataFrame([], rows)
+        self.status = KeyedTable(spark, f"{path}/status", self.status_of(empty, empty.select(KEY)).schema, [KEY], ["version"], buckets=buckets)
 
     @staticmethod
-    def status_of(rows: DataFrame) -> DataFrame:
-        """The status of the clusters of tagged rows, and a deleted row for those without a spec."""
-        clusters = rows.select(KEY).distinct()
-        now = cluster_status(gathered(rows.filter("NOT deleted")), F.col("version"))
+    def status_of(rows: DataFrame, clusters: DataFrame) -> DataFrame:
+        """The status of clusters by their tagged rows, and a deleted row for those without a spec."""
+        now = cluster_status(gathered(rows.filter("NOT deleted").join(clusters, KEY, "left_semi")), F.col("version"))
         return clusters.join(now, KEY, "left").withColumns({"version": F.lit(0).cast("bigint"), "deleted": F.col("observed_generation").isNull() & F.col("member_count").isNull()})
 
     def apply(self, batch: DataFrame, number: int) -> None:
-        """For foreachBatch."""
+        """For foreachBatch. Both tables deal clusters into the same buckets, and what a batch touches is looked up once."""
         batch = batch.select(*self.state.schema.names)
-        self.state.merge(batch, number)
-        rows = self.state.read(self.state.touched(batch), number).join(batch.select(KEY).distinct(), KEY, "left_semi")
-        self.status.merge(self.status_of(rows).withColumn("version", F.lit(number).cast("bigint")), number)
+        clusters = batch.select(KEY).distinct().persist()
+        try:
+            buckets = self.state.touched(clusters)
+            self.state.merge(batch, number, buckets)
+            status = self.status_of(self.state.read(buckets, number), clusters)
+            self.status.merge(status.withColumn("version", F.lit(number).cast("bigint")), number, buckets)
+        finally:
+            clusters.unpersist()
 
     def current(self) -> DataFrame:
         return self.status.read().filter("NOT deleted").drop("deleted", "version")
 
 
 def replay(rows: DataFrame, path: str, batches: list[Column]) -> DataFrame:
-    """rows as a file stream that gives those of each condition in a micro-batch of its own, in this order."""
-    for k, condition in enumerate(batches):
-        rows.filter(condition).withColumn("_r", F.xxhash64(*rows.columns[:2], F.lit(k))).sort("_r").drop("_r").coalesce(1).write.mode("append").parquet(path)
-    return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    """rows as a file stream that gives those of each condition in a micro-batch of its own, in this order. rows are made once, and many
+    tasks write a batch: each has as many files as the largest needs, empty ones where it has too few, as a trigger takes so many."""
+    spark = rows.sparkSession
+    which = F.explode(F.array_compact(F.array(*[F.when(condition, k) for k, condition in enumerate(batches)])))
+    made = folder(spark, "replay")
+    rows.withColumn("_batch", which).write.partitionBy("_batch").parquet(made)
+    dealt = spark.read.schema(StructType([*rows.schema.fields, StructField("_batch", IntegerType())])).parquet(made)
+    most = dealt.groupBy("_batch").count().agg(F.max("count")).first()[0] or 0
+    each, files = max(1, -(-most // FILE_ROWS)), Files(spark, path)
+    for k in range(len(batches)):
+        batch = dealt.filter(F.col("_batch") == k).drop("_batch").withColumn("_r", F.xxhash64(*rows.columns[:2], F.lit(k)))
+        batch.repartition(each, "_r").sortWithinPartitions("_r").drop("_r").write.mode("append").parquet(path)
+        for _ in range((k + 1) * each - len([n for n in files.names("") if n.startswith("part-")])):
+            spark.createDataFrame([], rows.schema).write.mode("append").parquet(path)
+    remove(spark, made)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", each).parquet(path)
 
 
 def run_once(stream: DataFrame, path: str, each: Callable[[DataFrame, int], None] | None = None) -> DataFrame | None:

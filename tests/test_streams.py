@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from fleetlens.operators import decisions, history
 from fleetlens.plans.registry import flat_status
 from fleetlens.plans.streams import status_feed
+from fleetlens.sources.keyed import KeyedTable
 from fleetlens.streaming import streams
 
 START = dt.datetime(2024, 1, 1)
@@ -111,3 +112,33 @@ def test_status_after_each_batch_is_that_of_its_rows(spark, tmp_path, batches):
     table.state.merge(gone.withColumns({"version": F.lit(11).cast("bigint")}), batches + 2)
     table.apply(gone.withColumns({"version": F.lit(11).cast("bigint")}), batches + 2)
     assert table.current().filter(F.col("cluster_id") == one).count() == 0
+
+
+def test_many_tasks_write_a_replayed_batch(spark, tmp_path, monkeypatch):
+    """A batch was one task's, and rows were made anew for each."""
+    monkeypatch.setattr(streams, "FILE_ROWS", 50, raising=False)
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(value):
+        made.add(1)
+        return value
+
+    rows = spark.range(1000).select("id", F.udf(seen, "bigint")("id").alias("n"))
+    batches = [F.col("n") % 10 < 7, F.col("n") < 0, F.col("n") % 10 == 7, F.col("n") >= 990, F.lit(None).cast("boolean")]
+    replayed, got = streams.replay(rows, f"{tmp_path}/feed", batches), {}
+    assert made.value == 1000
+    files = [p.name for p in (tmp_path / "feed").iterdir() if p.name.startswith("part-")]
+    assert len(files) == 14 * len(batches)  # 700 rows are the most
+    streams.run_once(replayed, f"{tmp_path}/out", lambda batch, k: got.__setitem__(k, sorted(r.n for r in batch.collect())))
+    assert got == {0: [n for n in range(1000) if n % 10 < 7], 1: [], 2: list(range(7, 1000, 10)), 3: list(range(990, 1000)), 4: []}
+
+
+def test_a_batch_of_status_is_looked_up_once(spark, tmp_path, monkeypatch):
+    rows = status_feed(spark, "/root/testdata/sf0.001").filter("cluster_id < 50").cache()
+    table, calls, touched = streams.FleetStatus(spark, f"{tmp_path}/table", rows.schema, buckets=4), [], KeyedTable.touched
+    monkeypatch.setattr(KeyedTable, "touched", lambda self, batch: calls.append(self.path) or touched(self, batch))
+    table.apply(rows, 0)
+    assert len(calls) == 1 and table.current().count() > 10
+    # one task writes a bucket, and no bucket is in two files
+    for kept in (table.state, table.status):
+        assert sorted(f.split("_b=")[1].split("/")[0] for f in kept.read().inputFiles()) == sorted(map(str, kept.manifest()))
